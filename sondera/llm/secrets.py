@@ -1,0 +1,302 @@
+"""Credentials embedded in code and configuration, found and redacted.
+
+A line that names something secret, or that holds a value of a credential's
+shape, is parsed into a key path and a value with its place in the text:
+assignments of programming languages, JSON, YAML (with its nesting), INI,
+TOML, environment files, XML, command-line flags, look-ups with a default and
+remarks. The key's last word must be a secret's name and the value must look
+like a secret and not like a placeholder or a reference; values with a shape
+of their own (issued tokens, connection URLs with a password, private keys)
+need no key. Redaction splices fixed-width marks into the original bytes, so
+quotes, line ends and everything else stay as they were.
+"""
+
+from __future__ import annotations
+
+import re
+from typing import NamedTuple
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from sondera.llm.columns import TIE, map_rows, suffix, versions
+from sondera.operators.latest import latest
+
+#: Last words of a key that name a secret; a value that none of the
+#: other tests refuses is then a credential.
+SECRET_WORDS = frozenset(
+    "password passwd pwd passphrase passcode secret token apikey apitoken credential credentials authorization bearer pass".split()
+)
+#: Words before "key" that make it a secret's name.
+KEY_OWNERS = frozenset("api secret private access signing encryption service auth master account deploy storage session hmac client app admin".split())
+#: What stands in a place of a secret, in lower case.
+PLACEHOLDERS = frozenset(
+    "todo tbd fixme changeme change_me change-me replaceme replace_me replace-me example sample dummy placeholder redacted hidden none null nil "
+    "true false undefined empty secret password passwd token apikey api_key string str text value test unset default yes no".split()
+)
+_HOLDER_PART = re.compile(r"(?i)your[-_ ]|[-_]here$|changeme|replace[-_]?me|placeholder|redacted|example|insert[-_]|<[^>]*>|\.\.\.|^(.)\1{3,}$|^x{3,}|x{6,}|\*{3,}|^(?:sk|pk)_test_?x*$")
+_REFERENCE = re.compile(
+    r"(?i)^(?:\$\{|\$\(|\$[A-Za-z_]|\{\{|\{%|%\(|%[A-Z_]+%|<|@|#\{|(?:vault|env|ssm|file|secretref|secretsmanager|sops|op|keyring|ref|arn|projects|k8s|secret|config|keychain|gcp|aws|azure):|env\.|process\.env|os\.|!vault|!ref|!sub)"
+)
+_PATH = re.compile(r"^(?:~|\.{0,2})/[\w.\-/]*$|^[A-Za-z]:\\|^[\w.\-]+(?:/[\w.\-]+)+\.\w{1,5}$")
+_NUMBER = re.compile(r"^[-+]?[\d_.,]+(?:[a-zA-Z%]{1,2})?$")
+
+#: Shapes of issued tokens, which need no key.
+_ISSUED = re.compile(
+    r"(?<![A-Za-z0-9_\-/+])(?:gh[pousr]_[A-Za-z0-9]{30,}|github_pat_\w{30,}|glpat-[\w\-]{18,}|AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|xox[abeprs]-[\w\-]{16,}"
+    r"|[spr]k_live_[A-Za-z0-9]{16,}|eyJ[\w\-]{8,}\.eyJ[\w\-]{8,}\.[\w\-]{8,}|AIza[\w\-]{30,}|hf_[A-Za-z0-9]{30,}|npm_[A-Za-z0-9]{30,}"
+    r"|[a-z]{2,6}_(?=[A-Za-z0-9]*\d)(?=[A-Za-z0-9]*[A-Z])(?=[A-Za-z0-9]*[a-z])[A-Za-z0-9]{24,}|[a-z]{2,5}-(?:prod|live)-(?=[A-Za-z0-9]*\d)(?=[A-Za-z0-9]*[A-Z])[A-Za-z0-9]{16,})(?![A-Za-z0-9_\-/+=])"
+)
+_SCHEME = re.compile(r"(?i)(?<![\w])(?:bearer|basic|token)\s+([A-Za-z0-9._~+/=\-]{16,})")
+_URL = re.compile(r"[A-Za-z][A-Za-z0-9+.\-]{1,20}://[^\s:/@'\"`<>]{0,80}:([^\s@/'\"`<>]{1,120})@[\w.\-\[]")
+_BEGIN = re.compile(r"-----BEGIN (?:[A-Z0-9]+ ){0,3}PRIVATE KEY(?: BLOCK)?-----")
+_END = re.compile(r"-----END (?:[A-Z0-9]+ ){0,3}PRIVATE KEY(?: BLOCK)?-----")
+_KEY_BODY = re.compile(r"[A-Za-z0-9+/=]{16,}")
+
+#: A line without one of these can't hold a credential.
+_HINT = re.compile(
+    r"passw|passphrase|passcode|pass\b|pass[\"'_]|pwd|secret|token|apikey|api[_\-]?key|credential|authori[sz]ation|bearer|basic |_key|-key|[a-z]key\b|PRIVATE KEY|://[^\s/:@]*:[^\s/@]+@"
+    r"|gh[pousr]_|AKIA|ASIA|xox[abeprs]-|k_live_|eyJ|AIza|hf_|npm_|glpat|-(?:prod|live)-|\b[a-z]{2,6}_[a-z0-9]{24}",
+    re.I,
+)
+
+_QUOTED = r"(?P<q>[rbuf]{0,2}(?:\"\"\"|'''|\"|'|`))"
+_KEY = r"(?P<key>[A-Za-z_][A-Za-z0-9_.\-]*)"
+#: key, then what may close a subscript or a quoted key, a type, and a sign of assignment or comparison
+_ASSIGN = re.compile(
+    _KEY + r"(?:[\"'`]\s*)?\]?\)?\s*(?::\s*(?:str|string|String|bytes|Optional\[str\]|\*?string)\s*)?(?P<op>:=|===?|!==?|=>|=|:|\bwas\b|\bis\b|,(?=\s*[\"'`]))[ \t]*\(?[ \t]*"
+)
+_DEFINE = re.compile(r"#\s*define\s+" + _KEY + r"[ \t]+")
+_FLAG = re.compile(r"(?<![\w\-])--(?P<key>[A-Za-z][A-Za-z0-9\-]*)(?:=|[ \t]+)")
+_TAG = re.compile(r"<(?P<key>[A-Za-z_][\w.\-]*)(?:\s[^<>]*)?>\s*(?:<!\[CDATA\[)?(?P<value>[^<>\n]+?)(?:\]\]>)?\s*</")
+_ATTRS = re.compile(r"(?:key|name|id|property|field)\s*[=:]\s*[\"']?(?P<key>[A-Za-z_][\w.\-]*)[\"']?[\s,;]+(?:value|content|default|val)\s*[=:]\s*")
+_VALUE_ONLY = re.compile(r"^\s*[\"']?(?:value|default|content|data|val)[\"']?\s*[:=]\s*")
+_NAME_ONLY = re.compile(r"^\s*(?:-\s*)?[\"']?(?:name|key)[\"']?\s*[:=]\s*[\"']?(?P<key>[A-Za-z_][\w.\-]*)[\"']?\s*,?\s*$")
+_OPEN_KEY = re.compile(r"^\s*(?:-\s*)?[\"']?" + _KEY + r"[\"']?(?:\s*:\s*\w+)?\s*[:=]\s*[>|(\[{\\]?[-+]?\s*$")
+_REMARK = re.compile(r"^\s*(?:#|//|/\*|\*|;|--|<!--|%)")
+_NEXT_PART = re.compile(r"\s*(?:\+|\.\.|\\)?\s*(?:\n\s*)?[rbuf]{0,2}([\"'`])")
+_WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
+
+#: File types whose values stand without quotes.
+CONFIG_TYPES = frozenset("yaml yml ini env toml cfg conf properties sh bash txt md xml".split())
+
+
+class Found(NamedTuple):
+    """A credential: its line from 1 and the characters it takes up."""
+
+    line_no: int
+    start: int
+    end: int
+
+
+def is_secret_name(key: str) -> bool:
+    """Whether a key's last word names a secret: api_key and dbPassword do, token_count doesn't."""
+    words = [w.lower() for w in _WORDS.findall(key.rsplit(".", 1)[-1])]
+    while len(words) > 1 and words[-1].isdigit():
+        words.pop()
+    if not words:
+        return False
+    if words[-1] == "key":
+        return len(words) > 1 and words[-2] in KEY_OWNERS
+    return words[-1] in SECRET_WORDS and not (len(words) > 1 and words[-2] in ("max", "min", "num", "n", "total"))
+
+
+def is_secret_value(value: str) -> bool:
+    """Whether a value can be a secret: no placeholder, reference, path, number or phrase."""
+    value = value.strip()
+    scheme = re.match(r"(?i)(?:bearer|basic|token)\s+(.*)$", value)
+    if scheme:
+        value = scheme[1]
+    bare = value.strip("\"'`")
+    return (
+        5 <= len(bare) <= 4096
+        and bare.lower() not in PLACEHOLDERS
+        and not any(p.search(bare) for p in (_HOLDER_PART, _REFERENCE, _PATH, _NUMBER))
+        and not re.search(r"\s", bare)
+        and "://" not in bare
+    )
+
+
+def _plain_value(value: str, remark: bool) -> bool:
+    """An unquoted value: in remarks it must not read like a word of a sentence."""
+    if not is_secret_value(value) or re.search(r"[(){}\[\]<>$]", value):
+        return False
+    return not remark or bool(re.search(r"\d|[-_/+=!@%^&*]", value)) or bool(re.search(r"[a-z][A-Z]", value))
+
+
+def _read_quoted(text: str, at: int) -> tuple[int, int, str, int] | None:
+    """A string literal at ``at`` with what is joined on to it: start, end, whole value, place after it."""
+    m = re.compile(_QUOTED).match(text, at)
+    if not m:
+        return None
+    value, start, end, quote, i = "", m.end(), m.end(), m["q"].lstrip("rbufRBUF"), m.end()
+    while True:
+        close = i
+        while True:
+            close = text.find(quote, close)
+            if close < 0 or (len(quote) == 1 and quote != "`" and "\n" in text[i:close]):
+                return None
+            if text[close - 1] != "\\" or quote == "`":
+                break
+            close += 1
+        value += text[i:close]
+        end = close
+        more = _NEXT_PART.match(text, close + len(quote))
+        joined = more and ("+" in more[0] or "\\" in more[0] or ".." in more[0])
+        if not joined:
+            return start, end, value, close + len(quote)
+        i, quote = more.end(), more[1]
+
+
+def find(text: str, kind: str = "") -> list[Found]:
+    """The credentials of a text in order; ``kind`` is its file type (``yaml``, ``py``)."""
+    if not text or not _HINT.search(text):
+        return []
+    found: dict[int, Found] = {}
+    lines_done: set[int] = set()
+    unquoted = kind in CONFIG_TYPES
+    closed = 0
+
+    def add(start: int, end: int) -> None:
+        begin = text.rfind("\n", 0, start) + 1
+        if begin not in found:
+            found[begin] = Found(0, start, end)
+        elif found[begin].start != start:
+            found[begin] = Found(0, min(found[begin].start, start), max(found[begin].end, end))
+
+    for hint in _HINT.finditer(text):
+        begin = text.rfind("\n", 0, hint.start()) + 1
+        if begin in lines_done or hint.start() < closed:
+            continue
+        lines_done.add(begin)
+        stop = text.find("\n", hint.start())
+        stop = len(text) if stop < 0 else stop
+        line = text[begin:stop]
+        block = _BEGIN.search(line)
+        if block:
+            at = begin + block.start()
+            ending = _END.search(text, at)
+            last = ending.end() if ending else min(len(text), at + 4096)
+            if _KEY_BODY.search(text[begin + block.end() : last].replace("\\n", "\n")):
+                add(at, last)
+                closed = last if ending else stop
+            continue
+        for start, end in _values(text, line, begin, unquoted):
+            add(start, end)
+    if not found:
+        return []
+    out, line_no, seen = [], 1, 0
+    for begin in sorted(found):
+        line_no += text.count("\n", seen, begin)
+        seen = begin
+        out.append(Found(line_no, found[begin].start, found[begin].end))
+    return out
+
+
+def _values(text: str, line: str, begin: int, unquoted: bool):
+    """Where the credentials of one line stand."""
+    remark = bool(_REMARK.match(line))
+    for m in _URL.finditer(line):
+        word = m[1]
+        if not (_REFERENCE.match(word) or _HOLDER_PART.search(word) or word.lower() in PLACEHOLDERS) and not re.search(r"[{}$]", word):
+            yield begin + m.start(1), begin + m.end(1)
+    for m in _ISSUED.finditer(line):
+        if not _HOLDER_PART.search(m[0]):
+            yield begin + m.start(), begin + m.end()
+    for m in _SCHEME.finditer(line):
+        if is_secret_value(m[1]) and re.search(r"\d|[A-Z]", m[1]) and re.search(r"(?i)authori[sz]ation|bearer|basic", line) and len(set(m[1])) > 6:
+            yield begin + m.start(1), begin + m.end(1)
+    for m in _TAG.finditer(line):
+        if is_secret_name(m["key"]) and is_secret_value(m["value"]):
+            yield begin + m.start("value"), begin + m.end("value")
+    for pattern in (_ATTRS, _DEFINE, _FLAG, _ASSIGN):
+        at = 0
+        while True:
+            m = pattern.search(line, at)
+            if not m:
+                break
+            at = m.end("key")
+            if not is_secret_name(m["key"]):
+                continue
+            place = begin + m.end()
+            op = m.groupdict().get("op") or ""
+            literal = _read_quoted(text, place)
+            if literal:
+                if is_secret_value(literal[2]) and not (op == "," and not re.search(r"(?i)getenv|environ|get\w*\(|default|setting|config|header|set\w*\(", line)):
+                    yield literal[0], literal[1]
+                continue
+            if op in ("==", "!=", "===", "!==", ","):
+                continue
+            rest = re.match(r"((?:(?i:bearer|basic|token)[ \t]+)?[^\s\"'`,;]+)[,;]?[ \t]*(?:(?:#|//).*)?\r?$", text[place : begin + len(line)])
+            value = rest[1] if rest else ""
+            if not value and not text[place : begin + len(line)].strip(" \t\r>|-+(\\"):
+                yield from _below(text, begin + len(line), unquoted)
+            elif value and (unquoted or remark or pattern is _FLAG) and _plain_value(value, remark or op in ("was", "is")):
+                if op == "is" and not re.search(r"\d", value):
+                    continue
+                yield place, place + len(value)
+            elif value is not None and not rest and (unquoted or remark) and op in ("=", ":", "was"):
+                one = re.match(r"[^\s\"'`,;)\]}<]{8,}", text[place : begin + len(line)])
+                if one and _plain_value(one[0].rstrip("."), True) and re.search(r"\d", one[0]) and not re.search(r"[(\[]", one[0]):
+                    yield place, place + len(one[0])
+    name = _NAME_ONLY.match(line)
+    if name and is_secret_name(name["key"]):
+        yield from _below(text, begin + len(line), unquoted, True)
+
+
+def _below(text: str, at: int, unquoted: bool, named: bool = False):
+    """The value on the line after a key that stands alone."""
+    begin = at + 1
+    stop = text.find("\n", begin)
+    line = text[begin : len(text) if stop < 0 else stop]
+    own = _VALUE_ONLY.match(line)
+    if named and not own:
+        return
+    place = begin + (own.end() if own else len(line) - len(line.lstrip()))
+    literal = _read_quoted(text, place)
+    if literal:
+        if is_secret_value(literal[2]):
+            yield literal[0], literal[1]
+    elif unquoted:
+        value = text[place : begin + len(line)].strip().rstrip(",;")
+        if value and ":" not in value and "=" not in value.rstrip("=") and _plain_value(value, False):
+            yield place, place + len(value)
+
+
+def redact(text: str, found: list[Found], mark: str = "*") -> bytes:
+    """The text's bytes with every credential overwritten, byte for byte.
+
+    Line ends inside a credential (a private key) stay, so lines keep their numbers.
+    """
+    data = bytearray(text.encode("utf-8", "surrogatepass"))
+    for f in found:
+        low = len(text[: f.start].encode("utf-8", "surrogatepass"))
+        for i in range(low, low + len(text[f.start : f.end].encode("utf-8", "surrogatepass"))):
+            if data[i] not in b"\r\n":
+                data[i] = ord(mark)
+    return bytes(data)
+
+
+_ROWS = "array<struct<line_no:int,start:int,end:int>>"
+
+
+def _scan(text: str | None, kind: str):
+    found = find(text, kind) if text else []
+    return ([f._asdict() for f in found], redact(text, found).decode("utf-8", "surrogatepass")) if found else (None, None)
+
+
+def find_credentials(chunks: DataFrame) -> DataFrame:
+    """Credentials of every chunk but scanned pages: chunk_id, found (line_no, start, end), redacted.
+
+    ``start`` and ``end`` are characters of the text; ``redacted`` is the text
+    with the credentials overwritten and otherwise the same, byte for byte. Of
+    each chunk the latest version counts. Chunks without credentials, without a
+    text or without an id give no rows; a missing path means that values need
+    quotes. Other columns are ignored.
+    """
+    rows = versions(chunks, "text", "source_path").withColumn("_kind", suffix(F.col("source_path")))
+    scanned = map_rows(
+        rows, f"chunk_id string, indexed_at timestamp, {TIE} long, found {_ROWS}, redacted string", _scan,
+        ["chunk_id", "indexed_at", TIE], ["text", "_kind"],
+    )
+    return latest(scanned, "chunk_id", "indexed_at", ["found", "redacted"], TIE).where(F.col("found").isNotNull())
