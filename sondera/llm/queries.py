@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sondera.llm import neardup, secrets, splitting
+from sondera.llm import leaks, mixing, neardup, quality, secrets, splitting
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -44,12 +44,45 @@ def _pieces(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.split_oversized(_table(spark, folder, "chunks"), _table(spark, folder, "instances"))
 
 
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with the evaluation items that leaked into them."""
+    return p6_leaks(spark, folder).select("doc_id", "item_id")
+
+
+def p6_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    """Leaks with the words matched and edited."""
+    return leaks.leaked_passages(_table(spark, folder, "documents"), _table(spark, folder, "eval_items"))
+
+
+def p7_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """How often each document is used in the mixture."""
+    return mixing.plan_mixture(_table(spark, folder, "documents"), _table(spark, folder, "mix_targets"))[0]
+
+
+def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """The shares that the mixture reaches."""
+    return mixing.plan_mixture(_table(spark, folder, "documents"), _table(spark, folder, "mix_targets"))[1]
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that are not prose."""
+    return quality.text_forms(_table(spark, folder, "documents")).where("form <> 'prose'").select("doc_id")
+
+
+def p8_forms(spark: SparkSession, folder: str) -> DataFrame:
+    """Statistics and posterior forms of all documents."""
+    return quality.text_forms(_table(spark, folder, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Queries by name."""
     return {
         "p3_found": p3_found,
         "p4_found": p4_found, "p4_redacted": p4_redacted,
         "p5_found": p5_found, "p5_pieces": p5_pieces,
+        "p6_found": p6_found, "p6_leaks": p6_leaks,
+        "p7_mix": p7_mix, "p7_shares": p7_shares,
+        "p8_found": p8_found, "p8_forms": p8_forms,
     }
 
 
