@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -51,3 +52,26 @@ def suffix(path: Column) -> Column:
     """The file name's last extension, lower-case, without the dot; empty if there is none."""
     name = F.element_at(F.split(F.coalesce(path, F.lit("")), "/"), -1)
     return F.lower(F.regexp_extract(name, r"\.([A-Za-z0-9]+)$", 1))
+
+
+class KeyFilter:
+    """A filter of fixed size that tells apart most of what isn't among some 64-bit keys.
+
+    However many keys there are, the driver and the tasks hold ``bits`` bits;
+    with very many keys it only lets more through. What it lets through must be
+    joined with the keys still.
+    """
+
+    def __init__(self, keys: DataFrame, column: str, bits: int = 1 << 24):
+        self.bits = bits
+        marks = np.zeros(bits, dtype=bool)
+        marks[keys.select(F.pmod(F.col(column), F.lit(bits)).cast("int").alias("bit")).distinct().toPandas()["bit"].to_numpy(dtype=np.int64)] = True
+        self.packed = keys.sparkSession.sparkContext.broadcast(np.packbits(marks))
+
+    def __getstate__(self) -> dict:
+        return {"bits": self.bits, "packed": self.packed}
+
+    def passes(self, keys: np.ndarray) -> np.ndarray:
+        """For each signed or unsigned 64-bit key whether it may be among the keys."""
+        at = (keys.astype(np.int64, copy=False) % self.bits).astype(np.int64)
+        return (self.packed.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1

@@ -16,16 +16,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sondera.llm.columns import KeyFilter
 from sondera.llm.neardup import WordCodes, mix
 from sondera.session import settle
 
 _MARKUP = re.compile(r"<[^<>\n]{0,200}>|&[a-z]{2,8};|\]\([^)\s]*\)")
 _WORD = re.compile(r"[^\W_]+")
 
-#: Bits of the fixed-size filter that tells a document's runs apart from those no passage has.
-FILTER_BITS = 1 << 22
-
-
 def words(text: str | None) -> list[str]:
     """Words without case, punctuation, spacing and markup."""
     return _WORD.findall(_MARKUP.sub(" ", text).lower()) if text else []
@@ -76,7 +73,6 @@ def leaked_passages(documents: DataFrame, items: DataFrame, width: int = 4, near
     repeated document ids every text counts and pairs are listed once. Other
     columns are ignored.
     """
-    spark = documents.sparkSession
     held = settle(passages(items))
 
     def item_seeds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -89,24 +85,21 @@ def leaked_passages(documents: DataFrame, items: DataFrame, width: int = 4, near
                     yield pd.DataFrame({"item_id": item, "at": np.arange(len(seeds)), "seed": seeds.view(np.int64), "item_words": len(coded)})
 
     seeds = settle(held.mapInPandas(item_seeds, "item_id long, at int, seed long, item_words int"))
-    # a filter of fixed size: bounded, whatever the number of items
-    marks = np.zeros(FILTER_BITS, dtype=bool)
-    bits = seeds.select(F.pmod("seed", F.lit(FILTER_BITS)).alias("bit")).distinct().toPandas()["bit"].to_numpy(dtype=np.int64)
-    marks[bits] = True
-    packed = spark.sparkContext.broadcast(np.packbits(marks))
+    # bounded, whatever the number of items
+    known = KeyFilter(seeds, "seed", bits=1 << 22)
 
     def doc_seeds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codes, known = WordCodes(), np.unpackbits(packed.value).view(bool)
+        codes = WordCodes()
         for batch in batches:
             ids, found = [], []
             for doc, text in zip(batch["doc_id"], batch["text"]):
-                made = runs(_coded(text, codes), width)
-                made = np.unique(made[known[(made % np.uint64(FILTER_BITS)).astype(np.int64)]])
+                made = runs(_coded(text, codes), width).view(np.int64)
+                made = np.unique(made[known.passes(made)])
                 if len(made):
                     ids.append(np.full(len(made), doc, dtype=np.int64))
                     found.append(made)
             if ids:
-                yield pd.DataFrame({"doc_id": np.concatenate(ids), "seed": np.concatenate(found).view(np.int64)})
+                yield pd.DataFrame({"doc_id": np.concatenate(ids), "seed": np.concatenate(found)})
 
     texts = documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long"), "text")
     hits = settle(texts.mapInPandas(doc_seeds, "doc_id long, seed long").distinct())

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sondera.llm.columns import TIE, versions
+from sondera.llm.columns import TIE, KeyFilter, versions
 from sondera.operators.latest import latest
 from sondera.session import settle
 
@@ -73,37 +73,34 @@ def signature(runs: np.ndarray, bands: int, rows: int, seed: int) -> np.ndarray:
     return band
 
 
-def _signed(texts: pd.DataFrame, width: int, least_words: int, bands: int, rows: int, seed: int, codes: WordCodes) -> pd.DataFrame:
-    sets, keys, alike, sizes = [], [], [], []
-    for text in texts["text"]:
-        words = _WORD.findall(text.lower()) if text else []
-        if len(words) < max(1, least_words):
-            for column in (sets, keys, alike):
-                column.append(None)
-            sizes.append(0)
-            continue
-        runs = shingles(np.fromiter(map(codes.__getitem__, words), np.uint64, len(words)), width)
-        # two digests of the set beside each other, so that equal means equal
-        with np.errstate(over="ignore"):
-            alike.append(np.array([np.bitwise_xor.reduce(mix(runs)), mix(runs + _MIX).sum()], np.uint64).view(np.int64).tobytes().hex())
-        sets.append(runs.view(np.int64))
-        keys.append(signature(runs, bands, rows, seed).view(np.int64))
-        sizes.append(len(runs))
-    return pd.DataFrame({"runs": sets, "bands": keys, "alike": alike, "size": sizes}, index=texts.index)
+def _runs_of(text: str | None, width: int, least_words: int, codes: WordCodes) -> np.ndarray | None:
+    words = _WORD.findall(text.lower()) if text else []
+    if len(words) < max(1, least_words):
+        return None
+    return shingles(np.fromiter(map(codes.__getitem__, words), np.uint64, len(words)), width)
+
+
+def _digest(runs: np.ndarray) -> bytes:
+    """128 bits that tell a set of runs from others."""
+    with np.errstate(over="ignore"):
+        return np.array([np.bitwise_xor.reduce(mix(runs)), mix(runs + _MIX).sum()], np.uint64).tobytes()
 
 
 def signed_texts(df: DataFrame, keep: list[str], width: int, least_words: int, bands: int, rows: int, seed: int = 7) -> DataFrame:
-    """``keep`` and alike (a digest of the set of runs), size, runs, bands of each text; nulls for short ones."""
+    """``keep`` and alike (a digest of the set of runs), size, bands of each text; nulls for short ones."""
     types = dict(df.select(*keep).dtypes)
-    schema = ", ".join([f"`{k}` {types[k]}" for k in keep]) + ", alike string, size int, runs array<long>, bands array<long>"
+    schema = ", ".join([f"`{k}` {types[k]}" for k in keep]) + ", alike binary, size int, bands array<long>"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codes = WordCodes()
         for batch in batches:
-            for i in range(0, len(batch), 2000):
-                part = batch.iloc[i : i + 2000]
-                made = _signed(part, width, least_words, bands, rows, seed, codes)
-                yield pd.concat([part[keep], made[["alike", "size", "runs", "bands"]]], axis=1)
+            alike, sizes, keys = [], [], []
+            for text in batch["text"]:
+                runs = _runs_of(text, width, least_words, codes)
+                alike.append(None if runs is None else _digest(runs))
+                sizes.append(0 if runs is None else len(runs))
+                keys.append(None if runs is None else signature(runs, bands, rows, seed).view(np.int64))
+            yield batch[keep].assign(alike=alike, size=sizes, bands=pd.Series(keys, dtype=object, index=batch.index))
 
     return df.select(*keep, "text").mapInPandas(run, schema)
 
@@ -121,18 +118,36 @@ def near_duplicate_classes(
     id, without words or with fewer than ``least_words`` are in neither frame.
     Other columns are ignored.
     """
-    made = signed_texts(versions(chunks, "text"), ["chunk_id", "indexed_at", TIE], width, least_words, bands, rows, seed)
-    newest = latest(made, "chunk_id", "indexed_at", ["alike", "size", "runs", "bands"], TIE).where(F.col("alike").isNotNull())
+    source = versions(chunks, "text")
+    made = signed_texts(source, ["chunk_id", "indexed_at", TIE], width, least_words, bands, rows, seed)
+    newest = latest(made, "chunk_id", "indexed_at", ["alike", "size", "bands"], TIE).where(F.col("alike").isNotNull())
     # read several times below, and costly to make: kept in the shared folder
     newest = settle(newest)
     members = newest.select("chunk_id", "alike")
-    classes = newest.groupBy("alike").agg(F.first("size").alias("size"), F.first("bands").alias("bands"))
-    keyed = classes.select("alike", "size", F.posexplode("bands").alias("band", "key")).select("alike", "size", F.xxhash64("band", "key").alias("key"))
+    # any copy has the same bands, so the first will do
+    keyed = newest.dropDuplicates(["alike"]).select("alike", "size", F.posexplode("bands").alias("band", "key"))
+    keyed = keyed.select("alike", "size", F.xxhash64("band", "key").alias("key"))
     other = keyed.select(F.col("alike").alias("alike_b"), F.col("size").alias("size_b"), "key")
     # a set can reach t only if the smaller has t times the runs of the larger
     close = (F.least("size", "size_b") >= threshold * F.greatest("size", "size_b") - 1e-9) & (F.col("alike") < F.col("alike_b"))
-    pairs = keyed.join(other, "key").where(close).select(F.col("alike").alias("alike_a"), "alike_b").distinct()
-    runs = newest.groupBy("alike").agg(F.first("runs").alias("runs"))
+    pairs = settle(keyed.join(other, "key").where(close).select(F.col("alike").alias("alike_a"), "alike_b").distinct())
+
+    # only the texts of candidates are cut into runs again, one of each class
+    wanted = pairs.select(F.col("alike_a").alias("alike")).unionByName(pairs.select(F.col("alike_b").alias("alike"))).distinct()
+    wanted = settle(members.join(wanted, "alike").groupBy("alike").agg(F.min("chunk_id").alias("chunk_id")))
+    asked = KeyFilter(wanted.select(F.xxhash64("chunk_id").alias("key")), "key")
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        codes = WordCodes()
+        for batch in batches:
+            batch = batch[asked.passes(batch["key"].to_numpy(dtype=np.int64))]
+            runs = [_runs_of(text, width, 1, codes) for text in batch["text"]]
+            runs = [None if r is None else r.view(np.int64) for r in runs]
+            yield batch[["chunk_id", "indexed_at", TIE]].assign(runs=pd.Series(runs, dtype=object, index=batch.index))
+
+    keyed_texts = source.where(F.col("chunk_id").isNotNull()).select("chunk_id", "indexed_at", TIE, "text", F.xxhash64("chunk_id").alias("key"))
+    again = keyed_texts.mapInPandas(cut, f"chunk_id string, indexed_at timestamp, {TIE} long, runs array<long>")
+    runs = settle(latest(again, "chunk_id", "indexed_at", ["runs"], TIE).join(wanted, "chunk_id").select("alike", "runs"))
     with_runs = pairs.join(runs.select(F.col("alike").alias("alike_a"), F.col("runs").alias("runs_a")), "alike_a").join(
         runs.select(F.col("alike").alias("alike_b"), F.col("runs").alias("runs_b")), "alike_b"
     )
@@ -146,7 +161,7 @@ def near_duplicate_classes(
             out = batch[["alike_a", "alike_b"]].assign(similarity=np.array(scores, dtype=float))
             yield out[out["similarity"] >= threshold - 1e-12]
 
-    links = with_runs.select("alike_a", "alike_b", "runs_a", "runs_b").mapInPandas(check, "alike_a string, alike_b string, similarity double")
+    links = with_runs.select("alike_a", "alike_b", "runs_a", "runs_b").mapInPandas(check, "alike_a binary, alike_b binary, similarity double")
     return members, links
 
 

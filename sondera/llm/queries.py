@@ -7,16 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sondera.llm import leaks, mixing, neardup, quality, secrets, splitting
+from sondera.llm import leaks, mixing, neardup, quality, scans, secrets, splitting
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Faults of scanned pages."""
+    return scans.ScanRepair(_table(spark, folder, "chunks")).faults()
+
+
+def p2_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Scanned pages in continuous paragraphs."""
+    return scans.ScanRepair(_table(spark, folder, "chunks")).repaired()
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of chunks of at least 30 words that share 0.6 of their runs of three words."""
-    return neardup.near_duplicate_pairs(_table(spark, folder, "chunks"), width=3, threshold=0.6, least_words=30, bands=40, rows=3)
+    return neardup.near_duplicate_pairs(_table(spark, folder, "chunks"), width=3, threshold=0.6, least_words=30, bands=32, rows=3)
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -77,6 +87,7 @@ def p8_forms(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Queries by name."""
     return {
+        "p2_found": p2_found, "p2_pages": p2_pages,
         "p3_found": p3_found,
         "p4_found": p4_found, "p4_redacted": p4_redacted,
         "p5_found": p5_found, "p5_pieces": p5_pieces,
