@@ -7,13 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sondera.llm import leaks, mixing, neardup, quality, scans, secrets, splitting
+from sondera.llm import handwritten, leaks, mixing, neardup, quality, scans, secrets, splitting
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Code files that no project member wrote by hand."""
+    return p1_files(spark, folder).where("size(signs) > 0").select("file_key")
+
+
+def p1_files(spark: SparkSession, folder: str) -> DataFrame:
+    """All code files with the signs that they weren't written by hand."""
+    return handwritten.foreign_files(_table(spark, folder, "chunks"))
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """Faults of scanned pages."""
     return scans.ScanRepair(_table(spark, folder, "chunks")).faults()
@@ -87,6 +97,7 @@ def p8_forms(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Queries by name."""
     return {
+        "p1_found": p1_found, "p1_files": p1_files,
         "p2_found": p2_found, "p2_pages": p2_pages,
         "p3_found": p3_found,
         "p4_found": p4_found, "p4_redacted": p4_redacted,
