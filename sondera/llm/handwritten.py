@@ -45,7 +45,7 @@ _LINE_START = r"^[ \t]*(?:#+|//+[!/]?|/\*+!?|\*+|--+|;+|%+|<!--|\"\"\"|''')?[ \t
 _GENERATED_NOTICE = re.compile(
     _LINE_START
     + r"(?:<auto-?generated>|@generated\b|(?:this (?:file|code|module) (?:is|was|has been) )?(?:code |file )?(?:auto(?:matically)?[ -]?generated|(?:machine|code|file)[ -]?generated|generated (?:code|file|by|from|with|using|automatically))\b"
-    r"|[\w.\-]+(?: [\d.]+)?: emitted \d|machine[ -]made\b|(?:this (?:file|code|module) (?:is|was|has been) )?(?:automatically|machine)[ -](?:written|created|produced|built|emitted)\b)|changes (?:made here |to this file )?will be (?:lost|overwritten)|\b(?:do not|don't) (?:edit|modify|touch|change)(?: (?:by hand|manually|this file|directly))*[\W_]*$",
+    r"|[\w.\-]+(?: [\d.]+)?: emitted \d|machine[ -]made\b|(?:this (?:file|code|module) (?:is|was|has been) )?(?:automatically|machine)[ -](?:written|created|produced|built|emitted)\b|(?:end|start|begin(?:ning)?) of (?:generated )?(?:output|code) (?:written|generated|produced|emitted) by\b|produced (?:with|by) \w+\s*$)|changes (?:made here |to this file )?(?:will be|are) (?:lost|overwritten|discarded)|\b(?:do not|don't) (?:edit|modify|touch|change)(?: (?:by hand|manually|this file|directly))*[\W_]*$",
     re.I | re.M,
 )
 _VENDORED_NOTICE = re.compile(
@@ -55,8 +55,8 @@ _VENDORED_NOTICE = re.compile(
     re.I | re.M,
 )
 _COPYRIGHT = re.compile(r"(?:^|\W)(?:copyright\b|\(c\)|©)[ \t]*(?:\(c\)|©)?[ \t]*(?:[\d\-, ]+)?(?:by )?(?:the )?([\w.\-]+)", re.I)
-_HINT = re.compile(r"generated|emitted|machine|automatically|will be |do not|don't|vendored|copied|upstream|bundled|licen[sc]|\(c\)|copyright|©| from ", re.I)
-_MASKED = re.compile(r"generated|machine[ -]made|automatically (?:written|created|produced)|will be (?:lost|overwritten)|do not (?:edit|modify|touch)|emitted|vendored|copied|upstream|bundled|licen[sc]e|copyright|\(c\)|do-not-edit", re.I)
+_HINT = re.compile(r"generated|emitted|machine|automatically|will be |output|overwritten|produced|do not|don't|vendored|copied|upstream|bundled|licen[sc]|\(c\)|copyright|©| from ", re.I)
+_MASKED = re.compile(r"generated|machine[ -]made|automatically (?:written|created|produced)|(?:will be|are) (?:lost|overwritten)|output (?:written|produced) by|do not (?:edit|modify|touch)|emitted|vendored|copied|upstream|bundled|licen[sc]e|copyright|\(c\)|do-not-edit", re.I)
 
 _STRINGY = re.compile(r"[A-Za-z0-9+/=]{50,}|(?:\\x[0-9a-f]{2}){12,}", re.I)
 _SQL_ROW = re.compile(r"^\s*(?:insert into\b.*values|\([\d'\"].*\)[,;]$)", re.I)
