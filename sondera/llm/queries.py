@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sondera.llm import handwritten, leaks, mixing, neardup, quality, scans, secrets, splitting
+from sondera.llm import credentials, handwritten, leaks, mixing, neardup, quality, scans, splitting
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -41,13 +41,13 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Lines on which credentials begin."""
-    found = secrets.find_credentials(_table(spark, folder, "chunks"))
+    found = credentials.find_credentials(_table(spark, folder, "chunks"))
     return found.select("chunk_id", F.explode("found.line_no").alias("line_no")).distinct()
 
 
 def p4_redacted(spark: SparkSession, folder: str) -> DataFrame:
     """Chunks that hold credentials, with these overwritten."""
-    return secrets.find_credentials(_table(spark, folder, "chunks")).select("chunk_id", "redacted")
+    return credentials.find_credentials(_table(spark, folder, "chunks")).select("chunk_id", "redacted")
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
