@@ -16,18 +16,27 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def bound(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def token_variants(token: Column) -> Column:
     """A token in lower case, then its runs of letters and of digits, each once; ``pix`` also means pixel and pixels."""
-    parts = F.transform(F.regexp_extract_all(token, F.lit(PART), F.lit(0)), F.lower)
-    more = F.when(F.array_contains(parts, "pix"), F.array(F.lit("pixel"), F.lit("pixels"))).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.concat(F.array(F.lower(token)), parts, more))
+
+    def of(low: Column) -> Column:
+        # runs of letters and digits are the same in lower case
+        parts = lambda p: F.array_distinct(F.concat(F.array(low), p, F.when(F.array_contains(p, "pix"), F.array(F.lit("pixel"), F.lit("pixels"))).otherwise(F.array().cast("array<string>"))))
+        return F.when(low.rlike("[._0-9]") | (low == "pix"), bound(F.regexp_extract_all(low, F.lit("[a-z]+|[0-9]+"), F.lit(0)), parts)).otherwise(F.array(low))
+
+    return bound(F.lower(token), of)
 
 
 def tokens(text: Column | str) -> Column:
     """All tokens of a text with their variants; plurals longer than three letters also without the s."""
     singular = lambda v: F.when(v.endswith("s") & (F.length(v) > 3), F.array(v, F.left(v, F.length(v) - 1))).otherwise(F.array(v))
     found = F.regexp_extract_all(F.coalesce(col(text), F.lit("")), F.lit(TOKEN), F.lit(0))
-    return F.flatten(F.transform(found, lambda t: F.flatten(F.transform(token_variants(t), singular))))
+    return F.flatten(F.transform(F.flatten(F.transform(found, token_variants)), singular))
 
 
 def document_text(text="text", symbol="symbol", xml_path="xml_path", source_path="source_path", kind="kind") -> Column:

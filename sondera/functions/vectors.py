@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sondera.functions.text import bound
+
 
 def dot(a: Column, b: Column) -> Column:
     """The inner product, in double precision."""
@@ -24,15 +26,15 @@ def cosine(a: Column, b: Column) -> Column:
 
 def unit(v: Column) -> Column:
     """A vector at length 1; one without length stays."""
-    n = norm(v)
-    return F.transform(v, lambda x: x.cast("double") / F.when(n > 0, n).otherwise(F.lit(1.0)))
+    scaled = lambda b: F.transform(b["v"], lambda x: x.cast("double") / b["n"])
+    sized = lambda w: F.struct(w.alias("v"), F.coalesce(F.nullif(norm(w), F.lit(0.0)), F.lit(1.0)).alias("n"))
+    return bound(bound(v, sized), scaled)
 
 
 def hash_embedding(text: Column, dimensions: int) -> Column:
     """A deterministic unit vector from the bytes of a text's digest, for tests."""
-    digest = F.sha2(F.coalesce(text, F.lit("")), 256)
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.conv(F.substring(digest, (i % 32) * 2 + 1, F.lit(2)), 16, 10).cast("double") / 255.0 * 2.0 - 1.0)
-    return unit(raw)
+    byte = lambda d: F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.conv(F.substring(d, (i % 32) * 2 + 1, F.lit(2)), 16, 10).cast("double") / 255.0 * 2.0 - 1.0)
+    return unit(bound(F.sha2(F.coalesce(text, F.lit("")), 256), byte))
 
 
 def to_int8(v: Column, scale: Column) -> Column:

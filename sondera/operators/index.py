@@ -6,7 +6,7 @@ import json
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sondera.operators.latest import latest
@@ -92,7 +92,12 @@ def noisy_files(files: DataFrame) -> DataFrame:
         .when(F.col("size") > 1_000_000, "large files")
     )
     marked = files.select("path", "size", category.alias("category")).where(F.col("category").isNotNull())
-    return marked.groupBy("category").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"), F.array_join(F.slice(F.sort_array(F.collect_set(F.substring_index("path", "/", -1))), 1, 3), ", ").alias("samples"))
+    sums = marked.groupBy("category").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
+    # three names of each category leave each task, however many files it has
+    names = marked.select("category", F.substring_index("path", "/", -1).alias("name")).distinct()
+    first = Window.partitionBy("category").orderBy("name")
+    few = names.withColumn("_r", F.row_number().over(first)).where("_r <= 3").groupBy("category").agg(F.array_join(F.sort_array(F.collect_list("name")), ", ").alias("samples"))
+    return sums.join(few, "category")
 
 
 @dataclass

@@ -60,31 +60,40 @@ def query_tokens(queries: DataFrame, distinct: bool = False) -> DataFrame:
     return queries.select("query_id", F.explode(found).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("qtf"))
 
 
+def _identity(chunks: DataFrame) -> DataFrame:
+    """What of a chunk the bonus looks at, with the tokens of its element path made once for the chunk."""
+    xml = F.coalesce("xml_path", F.lit(""))
+    return chunks.select(
+        "chunk_id", F.coalesce("symbol", F.lit("")).alias("_symbol"), F.coalesce("source_path", F.lit("")).alias("_path"),
+        F.when(xml.contains("/"), tx.tokens(xml)).alias("_elements"),
+    )
+
+
 def bonus(query: Column, qtokens: Column) -> Column:
-    """What a chunk gains when a query names its symbol or path."""
-    empty = lambda c: F.coalesce(F.col(c), F.lit(""))
-    symbol = F.when(query == empty("symbol"), F.lit(BONUS_EXACT)).when(F.contains(F.lower(empty("symbol")), F.lower(query)), F.lit(BONUS_SYMBOL)).otherwise(F.lit(0.0))
-    path = F.when(F.contains(empty("source_path"), query), F.lit(BONUS_PATH)).otherwise(F.lit(0.0))
-    xml = empty("xml_path").contains("/")
-    own = tx.tokens(empty("xml_path"))
-    words = F.array(*[F.lit(w) for w in PIXEL_WORDS])
-    named = F.when(xml & F.arrays_overlap(qtokens, own), F.lit(BONUS_XML)).otherwise(F.lit(0.0))
-    pixels = F.when(xml & F.arrays_overlap(qtokens, words) & F.arrays_overlap(own, words), F.lit(BONUS_XML)).otherwise(F.lit(0.0))
+    """What a chunk (as ``_identity`` shows it) gains when a query names its symbol, path or element path."""
+    symbol = F.when(query == F.col("_symbol"), F.lit(BONUS_EXACT)).when(F.contains(F.lower("_symbol"), F.lower(query)), F.lit(BONUS_SYMBOL)).otherwise(F.lit(0.0))
+    path = F.when(F.contains(F.col("_path"), query), F.lit(BONUS_PATH)).otherwise(F.lit(0.0))
+    own, words = F.col("_elements"), F.array(*[F.lit(w) for w in PIXEL_WORDS])
+    named = F.when(own.isNotNull() & F.arrays_overlap(qtokens, own), F.lit(BONUS_XML)).otherwise(F.lit(0.0))
+    pixels = F.when(own.isNotNull() & F.arrays_overlap(qtokens, words) & F.arrays_overlap(own, words), F.lit(BONUS_XML)).otherwise(F.lit(0.0))
     return symbol + path + named + pixels
 
 
 def _named(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     """query_id, chunk_id where the query stands in the symbol or the path, found by its first letters."""
-    width = 3
-    asked = queries.where(F.length("query") > 0).select("query_id", "query", F.lower(F.left("query", F.lit(width))).alias("seed"))
+    asked = queries.where(F.length("query") > 0).select("query_id", "query")
     ground = F.lower(F.concat_ws("\n", F.coalesce("symbol", F.lit("")), F.coalesce("source_path", F.lit(""))))
-    pieces = F.when(F.length(ground) > 0, F.transform(F.sequence(F.lit(1), F.length(ground)), lambda i: F.substring(ground, i, F.lit(width)))).otherwise(F.array().cast("array<string>"))
-    # shorter queries are met by the beginnings of pieces
-    spread = F.array_distinct(F.flatten(F.transform(pieces, lambda p: F.array(p, F.left(p, F.lit(2)), F.left(p, F.lit(1))))))
-    here = chunks.select("chunk_id", "symbol", "source_path", F.explode(spread).alias("seed"))
-    met = here.join(asked, "seed")
+
+    def met(width: int, part: DataFrame) -> DataFrame:
+        n = F.length(ground) - width + 1
+        pieces = F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(ground, i, F.lit(width)))).otherwise(F.array().cast("array<string>"))
+        here = chunks.select("chunk_id", "symbol", "source_path", F.explode(F.array_distinct(pieces)).alias("seed"))
+        return here.join(part.withColumn("seed", F.lower(F.left("query", F.lit(width)))), "seed")
+
     inside = F.contains(F.lower(F.coalesce("symbol", F.lit(""))), F.lower(F.col("query"))) | F.contains(F.coalesce("source_path", F.lit("")), F.col("query"))
-    return met.where(inside).select("query_id", "chunk_id").distinct()
+    parts = [met(3, asked.where(F.length("query") >= 3)), met(2, asked.where(F.length("query") == 2)), met(1, asked.where(F.length("query") == 1))]
+    found = [p.where(inside).select("query_id", "chunk_id") for p in parts]
+    return found[0].unionByName(found[1]).unionByName(found[2]).distinct()
 
 
 def ranked(scores: DataFrame, limit: int, score: str = "score") -> DataFrame:
@@ -125,7 +134,7 @@ def bm25(chunks: DataFrame, queries: DataFrame, limit: int = 10, filters: Mappin
 
 
 def _with_bonus(scores: DataFrame, chunks: DataFrame, queries: DataFrame, filters: Mapping[str, Any] | None, limit: int) -> DataFrame:
-    allowed = flt.apply(chunks, filters).select("chunk_id", "symbol", "source_path", "xml_path")
+    allowed = _identity(flt.apply(chunks, filters))
     asked = queries.select("query_id", F.col("query").alias("_query"), tx.tokens("query").alias("_qtokens"))
     total = scores.join(allowed, "chunk_id").join(asked, "query_id").withColumn("score", F.col("score") + bonus(F.col("_query"), F.col("_qtokens")))
     return ranked(total.where("score > 0").select("query_id", "chunk_id", "score"), limit).select("query_id", "rank", "chunk_id", "score")
@@ -135,7 +144,7 @@ def phrase_scores(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     """query_id, chunk_id, score by BM25 over phrases in weighted fields.
 
     A query's distinct tokens are phrases of letter and digit runs, any of
-    which may match. Candidates of longer phrases are found by their first term.
+    which may match.
     """
     joined = lambda c: F.array_join(tx.tokens(c), " ")
     docs = chunks.select(
@@ -143,13 +152,20 @@ def phrase_scores(chunks: DataFrame, queries: DataFrame) -> DataFrame:
         tx.phrase_terms(joined(F.coalesce("source_path", F.lit("")))).alias("path"),
     ).withColumn("length", F.size("text") + F.size("symbol") + F.size("path"))
     asked = queries.select("query_id", F.explode(tx.match_terms("query")).alias("token")).withColumn("phrase", tx.phrase_terms("token")).where(F.size("phrase") > 0)
-    phrases = asked.select("phrase", F.col("phrase")[0].alias("first")).distinct()
-    # candidates first, narrow; the chunks' terms are joined only to these
-    firsts = docs.select("chunk_id", F.explode(F.array_distinct(F.concat("text", "symbol", "path"))).alias("first"))
-    counts = {f: tx.phrase_count(F.col(f), F.col("phrase")) for f in FIELD_WEIGHTS}
-    weighted = sum((counts[f] * w for f, w in FIELD_WEIGHTS.items()), F.lit(0.0))
-    met = firsts.join(phrases, "first").select("chunk_id", "phrase")
-    hits = met.join(docs, "chunk_id").select("chunk_id", "length", "phrase", weighted.alias("f")).where("f > 0")
+    phrases = asked.select("phrase").distinct()
+    wanted = phrases.select(F.explode("phrase").alias("term")).distinct()
+    # occurrences of wanted terms, weighted by field: all that phrases of one term need
+    weigh = lambda w: lambda t: F.struct(t.alias("term"), F.lit(w).alias("w"))
+    weighted = F.flatten(F.array(*[F.transform(F.col(f), weigh(w)) for f, w in FIELD_WEIGHTS.items()]))
+    seen = docs.select("chunk_id", "length", F.inline(weighted)).join(wanted, "term").groupBy("chunk_id", "length", "term").agg(F.sum("w").alias("f"))
+    one = phrases.where(F.size("phrase") == 1).select("phrase", F.col("phrase")[0].alias("term"))
+    single = seen.join(one, "term").select("chunk_id", "length", "phrase", "f")
+    # longer phrases are looked for only where all their terms stand
+    many = phrases.where(F.size("phrase") > 1).select("phrase", F.size(F.array_distinct("phrase")).alias("n"), F.explode(F.array_distinct("phrase")).alias("term"))
+    met = seen.join(many, "term").groupBy("chunk_id", "phrase", "n").agg(F.count("*").alias("k")).where("k = n").select("chunk_id", "phrase")
+    counts = sum((tx.phrase_count(F.col(f), F.col("phrase")) * w for f, w in FIELD_WEIGHTS.items()), F.lit(0.0))
+    longer = met.join(docs, "chunk_id").select("chunk_id", "length", "phrase", counts.alias("f")).where("f > 0")
+    hits = single.unionByName(longer)
     df = hits.groupBy("phrase").agg(F.count("*").alias("df"))
     stats = docs.agg(F.count("*").alias("n"), F.coalesce(F.avg("length"), F.lit(1.0)).alias("avg")).first()
     n, avg = F.lit(int(stats["n"])), F.lit(float(stats["avg"]) or 1.0)

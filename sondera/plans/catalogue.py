@@ -1,17 +1,472 @@
-"""The engine's own queries by name, and the SQL that checks them."""
+"""The engine's own queries by name, over whole tables."""
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from sondera import schema as sc
+from sondera.engine import Engine, cited
+from sondera.functions import citations as ct
+from sondera.functions import text as tx
+from sondera.functions import vectors as vx
+from sondera.operators import dense, evaluate, fusion, index, lexical, lookup, normalize
+from sondera.operators import filters as flt
+from sondera.plans.oracle import oracle_sql as oracle_sql
+from sondera.providers import HashEmbedding
+from sondera.session import shared_folder
+from sondera.sources import parsers, tables
+from sondera.streaming import events as ev
+from sondera.streaming.watch import index_stream
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+Query = Callable[[SparkSession, str], DataFrame]
+_registered: dict[str, Query] = {}
+
+#: Dimensions of the deterministic vectors that stand in for a model's.
+DIMENSIONS = 32
+
+
+def _query(f: Query) -> Query:
+    _registered[f.__name__] = f
+    return f
+
+
+def queries() -> dict[str, Query]:
     """Queries by name."""
-    return {}
+    return dict(_registered)
+
+
+def _t(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def _chunks(spark: SparkSession, folder: str) -> DataFrame:
+    return index.newest_chunks(_t(spark, folder, "chunks"))
+
+
+def _asked(spark: SparkSession, folder: str) -> DataFrame:
+    """The held-out items' queries: the stated set of queries for searches by words."""
+    return _t(spark, folder, "eval_items").select(F.col("item_id").alias("query_id"), "query", "expected")
+
+
+def _score(df: DataFrame) -> DataFrame:
+    return df.withColumn("score", F.round("score", 6))
+
+
+@_query
+def count_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    return index.counts(_t(spark, folder, "chunks"))
+
+
+@_query
+def chunk_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return _t(spark, folder, "chunks").select(sc.chunk_id().alias("computed_id"), sc.content_hash().alias("computed_hash"))
+
+
+@_query
+def newest_versions(spark: SparkSession, folder: str) -> DataFrame:
+    return _chunks(spark, folder).select("chunk_id", "content_hash", F.length("text").alias("n_chars"))
+
+
+@_query
+def promoted_metadata(spark: SparkSession, folder: str) -> DataFrame:
+    return _t(spark, folder, "chunks").select("chunk_id", *[c.alias(k) for k, c in sc.promoted().items()])
+
+
+@_query
+def document_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    return tables.documents_as_chunks(_t(spark, folder, "documents")).select("chunk_id", "source_path", "start_line", "end_line", "content_hash")
+
+
+@_query
+def token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.postings(_chunks(spark, folder)).groupBy("token").agg(F.sum("tf").alias("tf"), F.count("*").alias("df"))
+
+
+@_query
+def document_frequencies(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.document_frequencies(_chunks(spark, folder))
+
+
+@_query
+def corpus_statistics(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.corpus_statistics(_chunks(spark, folder)).select("n_docs", F.round("avg_len", 6).alias("avg_len"))
+
+
+@_query
+def query_terms(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.query_tokens(_asked(spark, folder), distinct=True).select("query_id", "token")
+
+
+@_query
+def bm25_topk(spark: SparkSession, folder: str) -> DataFrame:
+    return _score(lexical.bm25(_chunks(spark, folder), _asked(spark, folder), 10))
+
+
+@_query
+def bm25_filtered(spark: SparkSession, folder: str) -> DataFrame:
+    wanted = {"source_type": "code", "language": ["python", "go", "c"], "path_prefix": "carillon-core/"}
+    return _score(lexical.bm25(_chunks(spark, folder), _asked(spark, folder), 10, wanted))
+
+
+@_query
+def bm25_named(spark: SparkSession, folder: str) -> DataFrame:
+    """Queries that are symbols or parts of paths: the bonus decides."""
+    named = _asked(spark, folder).select("query_id", F.regexp_extract(F.col("expected")[0], r"([a-z]+)[^/]*$", 1).alias("query"))
+    return _score(lexical.bm25(_chunks(spark, folder), named, 10))
+
+
+@_query
+def bm25_phrase(spark: SparkSession, folder: str) -> DataFrame:
+    return _score(lexical.bm25_phrases(_chunks(spark, folder), _phrased(spark, folder), 10))
+
+
+@_query
+def bm25_two_stage(spark: SparkSession, folder: str) -> DataFrame:
+    return _score(lexical.bm25_phrases(_chunks(spark, folder), _phrased(spark, folder), 10, two_stage=True))
+
+
+def _phrased(spark: SparkSession, folder: str) -> DataFrame:
+    """The items' queries, each with its last two words joined to an identifier."""
+    return _asked(spark, folder).withColumn("query", F.regexp_replace("query", r" ([a-z\-]+) ([a-z\-]+)$", " $1_$2"))
+
+
+def _vectors(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    rows = _t(spark, folder, "embeddings").select("vec_id", F.col("embedding").alias("vector"), "label")
+    return rows, rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "vector")
+
+
+@_query
+def dense_topk(spark: SparkSession, folder: str) -> DataFrame:
+    return _score(dense.nearest(*_vectors(spark, folder), key="vec_id"))
+
+
+@_query
+def dense_topk_filtered(spark: SparkSession, folder: str) -> DataFrame:
+    return _score(dense.nearest(*_vectors(spark, folder), filters={"label": [1, 2, 3]}, key="vec_id"))
+
+
+@_query
+def dense_scalar_rescored(spark: SparkSession, folder: str) -> DataFrame:
+    return _score(dense.nearest(*_vectors(spark, folder), key="vec_id", mode="scalar"))
+
+
+@_query
+def dense_binary_rescored(spark: SparkSession, folder: str) -> DataFrame:
+    return _score(dense.nearest(*_vectors(spark, folder), key="vec_id", mode="binary", oversampling=4.0))
+
+
+@_query
+def dense_hashed(spark: SparkSession, folder: str) -> DataFrame:
+    rows, asked = _vectors(spark, folder)
+    return _score(dense.HashedIndex(rows, 64, key="vec_id").search(asked))
+
+
+@_query
+def dense_hashed_recall(spark: SparkSession, folder: str) -> DataFrame:
+    """How many of the exact neighbours the hashed index finds."""
+    rows, asked = _vectors(spark, folder)
+    exact = dense.nearest(rows, asked, key="vec_id").select("query_id", "vec_id")
+    found = dense.HashedIndex(rows, 64, key="vec_id").search(asked).select("query_id", "vec_id", F.lit(1).alias("hit"))
+    return exact.join(found, ["query_id", "vec_id"], "left").agg(F.round(F.count("hit") / F.count("*"), 4).alias("recall"), F.count("*").alias("expected"))
+
+
+@_query
+def vector_norms(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _vectors(spark, folder)[0]
+    return rows.select("vec_id", F.round(vx.norm(F.col("vector")), 6).alias("norm"), vx.sign_bits(F.col("vector"), 64)[0].alias("first_signs"))
+
+
+@_query
+def hash_embedding(spark: SparkSession, folder: str) -> DataFrame:
+    made = _chunks(spark, folder).select("chunk_id", vx.hash_embedding(F.col("text"), DIMENSIONS).alias("v"))
+    return made.select("chunk_id", F.posexplode("v").alias("dimension", "value")).where("dimension < 4").select("chunk_id", "dimension", F.round("value", 6).alias("value"))
+
+
+@_query
+def rrf_fusion(spark: SparkSession, folder: str) -> DataFrame:
+    fused = fusion.reciprocal_ranks(_t(spark, folder, "ranked_results"), 10, group=("run_id", "query_id"))
+    return _score(fused).select("run_id", "query_id", "rank", "chunk_id", "score")
+
+
+def _engine(spark: SparkSession, folder: str, with_vectors: bool = True) -> Engine:
+    chunks = _chunks(spark, folder)
+    provider = HashEmbedding(DIMENSIONS)
+    vectors = chunks.select("chunk_id", vx.hash_embedding(F.col("text"), DIMENSIONS).alias("vector")) if with_vectors else None
+    return Engine(chunks, vectors, provider if with_vectors else None)
+
+
+@_query
+def hybrid_search(spark: SparkSession, folder: str) -> DataFrame:
+    """Words and vectors fused, at most three of a source."""
+    return _score(_engine(spark, folder).stages(_asked(spark, folder)).where("stage = 'final'").select("query_id", "rank", "chunk_id", "score"))
+
+
+@_query
+def search_stages(spark: SparkSession, folder: str) -> DataFrame:
+    return _engine(spark, folder).stages(_asked(spark, folder)).groupBy("query_id", "stage").agg(F.count("*").alias("results"), F.max("rank").alias("last_rank"))
+
+
+@_query
+def sparse_fallback(spark: SparkSession, folder: str) -> DataFrame:
+    """A search without vectors: by words, not diversified."""
+    return _score(_engine(spark, folder, False).stages(_asked(spark, folder), 8).where("stage = 'final'").select("query_id", "rank", "chunk_id", "score"))
+
+
+@_query
+def search_documents(spark: SparkSession, folder: str) -> DataFrame:
+    return _score(_engine(spark, folder, False).search_words(_asked(spark, folder), 5, which="documents")).select("query_id", "rank", "chunk_id", "score")
+
+
+@_query
+def diversified(spark: SparkSession, folder: str) -> DataFrame:
+    """The best twenty by words, at most one of a repository, then the first five."""
+    chunks = _chunks(spark, folder)
+    best = lexical.bm25(chunks, _asked(spark, folder), 20).join(chunks.select("chunk_id", "repository_name"), "chunk_id")
+    return _score(fusion.diversify(best, 1, "repository_name", 5)).select("query_id", "rank", "chunk_id", "score")
+
+
+@_query
+def lexical_rerank(spark: SparkSession, folder: str) -> DataFrame:
+    chunks, asked = _chunks(spark, folder), _asked(spark, folder)
+    best = lexical.bm25(chunks, asked, 20).join(chunks.select("chunk_id", "text", "symbol"), "chunk_id").join(asked.select("query_id", "query"), "query_id")
+    return _score(fusion.rerank(best, 10)).select("query_id", "rank", "chunk_id", "score")
+
+
+@_query
+def find_symbol(spark: SparkSession, folder: str) -> DataFrame:
+    """Every symbol that several chunks have, and where."""
+    chunks = _chunks(spark, folder).where("symbol is not null")
+    shared = chunks.groupBy("symbol").agg(F.count("*").alias("n")).where("n > 1").select("symbol")
+    place = Window.partitionBy("symbol").orderBy("source_path", "ord", "chunk_id")
+    return chunks.join(shared, "symbol").withColumn("rank", F.row_number().over(place)).where("rank <= 8").select("symbol", "rank", "chunk_id", "source_path")
+
+
+@_query
+def lookup_repository(spark: SparkSession, folder: str) -> DataFrame:
+    return lookup.by_repository(_chunks(spark, folder), "carillon-core").select("chunk_id", "source_path", "ord")
+
+
+@_query
+def lookup_path(spark: SparkSession, folder: str) -> DataFrame:
+    chunks = _chunks(spark, folder)
+    return flt.apply(chunks, {"source_path_prefix": "carillon-core/packages/unit1", "kind": ["class", "module"], "symbol": None}).select("chunk_id", "source_path", "kind")
+
+
+def _targets(chunks: DataFrame) -> DataFrame:
+    """The second chunk of each file as a target."""
+    return chunks.where("ord = 1").withColumn("target_id", F.col("chunk_id"))
+
+
+@_query
+def read_source_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    chunks = _chunks(spark, folder)
+    return lookup.neighbours(chunks, _targets(chunks), 1, 2).select("target_id", "chunk_id", "ord")
+
+
+@_query
+def find_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """Targets by source where they have no chunk id: the source's first chunk."""
+    chunks = _chunks(spark, folder)
+    targets = chunks.select(F.col("chunk_id").alias("target_id"), F.when(F.col("ord") == 0, F.col("chunk_id")).alias("chunk_id"), F.col("source_path").alias("source_id"))
+    return lookup.find(chunks, targets).select("target_id", "chunk_id")
+
+
+@_query
+def same_section(spark: SparkSession, folder: str) -> DataFrame:
+    chunks = _chunks(spark, folder)
+    return lookup.same_section(chunks, _targets(chunks)).select("target_id", "chunk_id")
+
+
+@_query
+def parent_symbol(spark: SparkSession, folder: str) -> DataFrame:
+    chunks = _chunks(spark, folder)
+    return lookup.parent(chunks, chunks.where("kind = 'method'").withColumn("target_id", F.col("chunk_id"))).select("target_id", "chunk_id", "symbol")
+
+
+@_query
+def related_sources(spark: SparkSession, folder: str) -> DataFrame:
+    """What is like the first chunk of each Markdown file."""
+    engine = _engine(spark, folder, False)
+    targets = engine.chunks.where("kind = 'markdown' and ord = 0").select(F.col("chunk_id").alias("target_id"), "chunk_id", F.lit(None).cast("string").alias("source_id"))
+    return _score(engine.related(targets, 5))
+
+
+@_query
+def markdown_sections(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _t(spark, folder, "documents").where("document_type = 'markdown'")
+    return tables.markdown_sections(rows, "doc_id").select("doc_id", "start_line", "end_line", "heading", F.length("text").alias("n_chars"))
+
+
+@_query
+def text_lines(spark: SparkSession, folder: str) -> DataFrame:
+    return _t(spark, folder, "documents").select("doc_id", F.greatest(F.lit(1), F.size(tx.lines("text"))).alias("n_lines"), F.size(tx.lines_with_ends("text")).alias("n_ended"), tx.preview("text").alias("preview"))
+
+
+@_query
+def line_windows(spark: SparkSession, folder: str) -> DataFrame:
+    """Every chunk cut to 400 tokens with 40 in common."""
+    made = normalize.split_chunks(_chunks(spark, folder), 400, 40)
+    return made.select("chunk_id", "piece", "pieces", "start_line", "end_line", F.length("text").alias("n_chars"))
+
+
+@_query
+def normalized(spark: SparkSession, folder: str) -> DataFrame:
+    return normalize.normalize(_chunks(spark, folder), 400, 40).select("chunk_id", "file_key", "ord", "start_line", "end_line", "content_hash")
+
+
+@_query
+def renumbered(spark: SparkSession, folder: str) -> DataFrame:
+    return normalize.renumber(_chunks(spark, folder)).select("chunk_id", "file_key", "ord")
+
+
+@_query
+def html_sections(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _t(spark, folder, "documents").select("doc_id", F.concat(F.lit("<h1>"), F.coalesce("source", F.lit("none")), F.lit("</h1><p>"), "text", F.lit("</p>")).alias("html"))
+    return tables.parsed_texts(rows, "doc_id", "html", lambda t: parsers.markdown_chunks(parsers.html_text(t)))
+
+
+@_query
+def xml_elements(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _chunks(spark, folder).where(F.lower("source_path").endswith(".xml"))
+    return tables.parsed_texts(rows, "chunk_id", "text", parsers.xml_chunks)
+
+
+@_query
+def python_symbols(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _chunks(spark, folder).where(F.col("source_path").endswith(".py"))
+    return tables.parsed_texts(rows, "chunk_id", "text", parsers.python_chunks)
+
+
+def _changed_state(state: DataFrame) -> DataFrame:
+    """The state after some files went and some were touched, and with one more for each that went."""
+    size = F.length("path")
+    kept = state.where(size % 11 != 0).withColumn("mtime", F.when(size % 7 == 0, F.col("mtime") + 1).otherwise(F.col("mtime")))
+    return kept.unionByName(state.where(size % 11 == 0).withColumn("path", F.concat("path", F.lit(".new"))))
+
+
+@_query
+def classify_files(spark: SparkSession, folder: str) -> DataFrame:
+    state = _t(spark, folder, "file_state")
+    return index.classify(_changed_state(state), state)
+
+
+@_query
+def index_report(spark: SparkSession, folder: str) -> DataFrame:
+    state = _t(spark, folder, "file_state")
+    return index.report(index.classify(_changed_state(state), state))
+
+
+@_query
+def replaced_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Of each file with a class, its classes in place of all its chunks."""
+    chunks = _chunks(spark, folder)
+    return index.replace_files(chunks, chunks.where("kind = 'class'")).groupBy("kind").agg(F.count("*").alias("chunks"), F.countDistinct("file_key").alias("files"))
+
+
+@_query
+def pruned_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Files that are left if only those with a commit on record are known."""
+    chunks = _chunks(spark, folder)
+    allowed = _t(spark, folder, "file_state").where("git_commit is not null").select(F.regexp_extract("path", "/sources/(.*)$", 1).alias("path"))
+    return index.prune_unknown(chunks, allowed)[0].groupBy("knowledge_id").agg(F.countDistinct("file_key").alias("files"), F.count("*").alias("chunks"))
+
+
+@_query
+def copied_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts that stand in several files, and in which first."""
+    rows = _chunks(spark, folder)
+    each = rows.groupBy("content_hash").agg(F.count("*").alias("copies"), F.countDistinct("file_key").alias("files"), F.min_by("source_path", F.struct("source_path", "ord")).alias("first_path"))
+    return each.where("files > 1")
+
+
+@_query
+def citations(spark: SparkSession, folder: str) -> DataFrame:
+    return cited(_chunks(spark, folder)).select("chunk_id", "citation")
+
+
+@_query
+def citation_links(spark: SparkSession, folder: str) -> DataFrame:
+    """Links to lines on the two hosts, by the repository's remote."""
+    chunks = _chunks(spark, folder).where("repository_name is not null")
+    lab = F.length("repository_name") % 2 == 0
+    remote = F.when(lab, F.concat(F.lit("git@gitlab.com:team/"), "repository_name", F.lit(".git"))).otherwise(F.concat(F.lit("https://github.com/team/"), "repository_name"))
+    web = ct.public_remote(remote)
+    return chunks.select("chunk_id", web.alias("web"), ct.citation_url(web, F.lit("abc123"), F.col("source_path"), F.col("start_line"), F.col("end_line")).alias("url"))
+
+
+@_query
+def redacted_messages(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _t(spark, folder, "documents")
+    message = F.concat(F.lit("GET https://svc:"), "source", F.lit("@host/x?token="), F.col("doc_id").cast("string"), F.lit(" password = p"), F.col("n_chars").cast("string"), F.lit("; end"))
+    return rows.select("doc_id", tx.without_credentials(message).alias("message"))
+
+
+@_query
+def evaluation(spark: SparkSession, folder: str) -> DataFrame:
+    """Recall and reciprocal rank of each list of each run, against chunks named as the lists' best."""
+    ranked = _t(spark, folder, "ranked_results").where("score is not null").groupBy("run_id", "query_id", "list_idx", "chunk_id").agg(F.min("rank").alias("rank"))
+    key = F.concat_ws("/", "run_id", "query_id").alias("query_id")
+    found = ranked.where("list_idx = 1").select(key, "rank", F.array("chunk_id").alias("identifiers"))
+    aims = ranked.where("list_idx = 0 and rank <= 3").groupBy(key).agg(F.sort_array(F.collect_set("chunk_id")).alias("expected"))
+    out = evaluate.metrics(found, aims)
+    return out.select("query_id", *[F.round(c, 6).alias(c) for c in ("recall_at_5", "recall_at_10", "mrr")])
+
+
+@_query
+def evaluation_averages(spark: SparkSession, folder: str) -> DataFrame:
+    each = evaluation(spark, folder)
+    return evaluate.averages(each).select(*[F.round(c, 6).alias(c) for c in ("recall_at_5", "recall_at_10", "mrr")])
+
+
+@_query
+def noisy_files(spark: SparkSession, folder: str) -> DataFrame:
+    return index.noisy_files(_t(spark, folder, "file_state").select("path", "size").distinct())
+
+
+@_query
+def metadata_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return flt.apply(_chunks(spark, folder), {"page": ["1", "2"], "document_type": "pdf"}).select("chunk_id", F.get_json_object("metadata", "$.page").alias("page"))
+
+
+@_query
+def expected_sources(spark: SparkSession, folder: str) -> DataFrame:
+    """Items that name a file some chunk is of (semi), and how many don't (anti)."""
+    names = _asked(spark, folder).select("query_id", F.explode("expected").alias("path"))
+    known = _chunks(spark, folder).select(F.regexp_replace("source_path", "^[^/]*/", "").alias("path")).distinct()
+    yes = names.join(known, "path", "left_semi").select("query_id", "path", F.lit(True).alias("known"))
+    return yes.unionByName(names.join(known, "path", "left_anti").select("query_id", "path", F.lit(False).alias("known")))
+
+
+@_query
+def events_tumbling(spark: SparkSession, folder: str) -> DataFrame:
+    return ev.windows(_t(spark, folder, "events"), "1 hour").withColumn("total", F.round("total", 2))
+
+
+@_query
+def events_sliding(spark: SparkSession, folder: str) -> DataFrame:
+    return ev.windows(_t(spark, folder, "events"), "2 hours", "1 hour", ()).withColumn("total", F.round("total", 2))
+
+
+@_query
+def events_session(spark: SparkSession, folder: str) -> DataFrame:
+    return ev.sessions(_t(spark, folder, "events"), "30 minutes")
+
+
+@_query
+def stream_index(spark: SparkSession, folder: str) -> DataFrame:
+    """The chunk table read as a stream into an index of its own, to its end."""
+    place = tempfile.mktemp(prefix="stream-", dir="").lstrip("/").replace("/", "-")
+    base = f"{shared_folder(spark)}/{place}"
+    store = index.Snapshots(spark, f"{base}/chunks")
+    source = spark.readStream.schema(sc.CHUNKS).parquet(f"{folder}/chunks.parquet*")
+    index_stream(source, store, f"{base}/checkpoint").awaitTermination()
+    return store.read(sc.CHUNKS).groupBy("knowledge_id").agg(F.count("*").alias("chunks"), F.countDistinct("file_key").alias("files"))
 
 
-def oracle_sql() -> dict[str, str]:
-    """SQL by query name."""
-    return {}
+@_query
+def knowledge_info(spark: SparkSession, folder: str) -> DataFrame:
+    return _engine(spark, folder, False).info()
