@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
+#: Folders made for sessions on one machine, by application.
+_folders: dict[str, str] = {}
+
 
 def build_session(master: str | None = None, app: str = "sondera", **conf: str) -> SparkSession:
     """A session with adaptive execution on and UTC timestamps.
@@ -54,8 +57,10 @@ def shared_folder(spark: SparkSession) -> str:
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="sondera-")
-        spark.conf.set(CHECKPOINT_CONF, folder)
+        own = spark.sparkContext.applicationId
+        if own not in _folders:
+            _folders[own] = "file://" + tempfile.mkdtemp(prefix="sondera-")
+        folder = _folders[own]
     return folder
 
 
