@@ -47,7 +47,7 @@ def text_statistics(documents: DataFrame) -> DataFrame:
     counted = lambda x: F.struct(
         F.length(F.trim(x["l"])).alias("c"), F.size(x["w"]).alias("n"), F.size(F.filter(x["w"], lambda w: w.isin(*COMMON_WORDS))).alias("s"),
         x["l"].rlike(r"[.!?…][\"'”»)\]]*\s*$").cast("int").alias("p"), x["l"].rlike(r"^\s*(?:[-*+•–]\s|\d{1,3}[.)]\s|\[)").cast("int").alias("b"),
-        (F.regexp_count(x["l"], F.lit(r"[;|\t]|,\S|\S {2,}(?=\S)")) >= 2).cast("int").alias("t"),
+        (F.regexp_count(x["l"], F.lit(r"[;|\t]|,\S|\S {2,}")) >= 2).cast("int").alias("t"),
     )
     base = documents.select("doc_id", text.alias("_t")).select("doc_id", "_t", F.transform(F.split("_t", "\n"), line).alias("_w"))
     base = base.select("doc_id", "_t", F.filter(F.transform("_w", counted), lambda x: x["c"] > 0).alias("_l"), F.flatten(F.transform("_w", lambda x: x["w"])).alias("_words"))

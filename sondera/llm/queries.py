@@ -94,6 +94,12 @@ def p8_forms(spark: SparkSession, folder: str) -> DataFrame:
     return quality.text_forms(_table(spark, folder, "documents"))
 
 
+def p8_statistics(spark: SparkSession, folder: str) -> DataFrame:
+    """Statistics of all documents, shares rounded."""
+    made = quality.text_statistics(_table(spark, folder, "documents"))
+    return made.select(*[F.round(c, 6).alias(c) if kind == "double" else F.col(c) for c, kind in made.dtypes])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Queries by name."""
     return {
@@ -104,14 +110,31 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p5_found": p5_found, "p5_pieces": p5_pieces,
         "p6_found": p6_found, "p6_leaks": p6_leaks,
         "p7_mix": p7_mix, "p7_shares": p7_shares,
-        "p8_found": p8_found, "p8_forms": p8_forms,
+        "p8_found": p8_found, "p8_forms": p8_forms, "p8_statistics": p8_statistics,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL that gives the same rows as a query, where there is such SQL."""
     latest = "(SELECT * FROM chunks QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY indexed_at DESC, text DESC) = 1)"
+    share = lambda part, whole, name: f"round(CASE WHEN {whole} > 0 THEN {part} / {whole} ELSE 0 END, 6) AS {name}"
+    common = ", ".join(f"'{w}'" for w in quality.COMMON_WORDS)
+    word = "[\\p{L}\\p{N}_]+"
     return {
+        "p8_statistics": f"""
+            WITH t AS (SELECT doc_id, row_number() OVER () AS r, lower(regexp_replace(coalesce(text, ''), '\\r\\n?', chr(10), 'g')) AS t FROM documents),
+            w AS (SELECT r, l, regexp_extract_all(l, '{word}') AS w FROM (SELECT r, unnest(string_split(t, chr(10))) AS l FROM t)),
+            n AS (SELECT r, length(trim(l)) AS c, len(w) AS n, len(list_filter(w, lambda x: x IN ({common}))) AS s, regexp_matches(l, '[.!?…]["''”’»)\\]]*\\s*$') AS p,
+                regexp_matches(l, '^\\s*([-*+•–]\\s|\\d{{1,3}}[.)]\\s|\\[)') AS b, len(regexp_extract_all(l, '[;|\\t]|,\\S|\\S {{2,}}')) >= 2 AS x FROM w),
+            g AS (SELECT r, count(*) AS n_lines, sum(c) AS c, sum(s) AS s, count(*) FILTER (p) AS p, count(*) FILTER (b) AS b, count(*) FILTER (x) AS x, coalesce(sum(c) FILTER (n >= 3 AND s * 6 >= n), 0) AS prose FROM n WHERE c > 0 GROUP BY r),
+            d AS (SELECT doc_id, r, length(t) AS n_chars, len(q) AS n_words, coalesce(list_sum(list_transform(q, lambda x: length(x))), 0) AS wc, len(list_distinct(q)) AS u,
+                len(regexp_extract_all(t, '[^\\p{{L}}\\p{{N}}\\s]')) AS sy, len(regexp_extract_all(t, '\\p{{N}}')) AS dg, len(regexp_extract_all(t, '[.!?…]["''”’»)\\]]*(?:\\s|$)')) AS e,
+                len(list_filter(q, lambda x: regexp_matches(x, '[bcdfghjklmnpqrstvwxz]{{5}}|^\\p{{L}}{{22}}|\\p{{L}}\\d\\p{{L}}|^[a-f\\d]{{12}}'))) AS o FROM (SELECT *, regexp_extract_all(t, '{word}') AS q FROM t)),
+            a AS (SELECT d.*, coalesce(n_lines, 0) AS n_lines, coalesce(c, 0) AS c, coalesce(s, 0) AS s, coalesce(p, 0) AS p, coalesce(b, 0) AS b, coalesce(x, 0) AS x, coalesce(prose, 0) AS prose FROM d LEFT JOIN g USING (r))
+            SELECT doc_id, n_chars, n_words, n_lines, {share('wc', 'n_words', 'mean_word_length')}, {share('sy', 'n_chars', 'symbol_ratio')}, {share('dg', 'n_chars', 'digit_ratio')},
+                {share('p', 'n_lines', 'line_end_punctuation')}, {share('s', 'n_words', 'common_word_share')}, {share('prose', 'c', 'prose_share')}, {share('n_words', 'n_lines', 'words_per_line')},
+                {share('e', 'n_words', 'sentence_rate')}, {share('x', 'n_lines', 'cell_share')}, {share('b', 'n_lines', 'bullet_share')}, {share('u', 'n_words', 'distinct_share')}, {share('o', 'n_words', 'odd_word_share')}
+            FROM a""",
         "p5_found": f"""
             SELECT c.chunk_id, CASE WHEN list_max(list_transform(string_split(c.text, chr(10)), lambda l: length(rtrim(l, chr(13))))) > 4 * i.max_chunk_tokens
                    THEN 'forced' ELSE 'natural' END AS cut
