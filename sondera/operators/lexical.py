@@ -8,7 +8,7 @@ with the chunk's id against ties, so results don't depend on summation order.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from sondera.functions import text as tx
 from sondera.operators import filters as flt
+from sondera.session import settle
 
 #: Saturation and length normalisation of the two rankings, and the fields' weights.
 BAG_K1, BAG_B = 1.5, 0.75
@@ -102,91 +103,121 @@ def ranked(scores: DataFrame, limit: int, score: str = "score") -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 
 
-def bag_scores(chunks: DataFrame, queries: DataFrame) -> DataFrame:
-    """query_id, chunk_id, score of every chunk that shares a token with a query; repeated query tokens count."""
-    docs = tokenised(chunks)
-    asked = query_tokens(queries)
-    wanted = asked.select("token").distinct()
-    hits = docs.select("chunk_id", "length", F.explode("tokens").alias("token")).join(wanted, "token").groupBy("chunk_id", "length", "token").agg(F.count("*").alias("tf"))
-    df = hits.groupBy("token").agg(F.count("*").alias("df"))
-    stats = docs.agg(F.greatest(F.count("*"), F.lit(1)).alias("n"), F.coalesce(F.avg("length"), F.lit(1.0)).alias("avg")).first()
-    n, avg = F.lit(int(stats["n"])), F.lit(float(stats["avg"]))
-    idf = F.log(F.lit(1.0) + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = F.col("qtf") * idf * F.col("tf") * (BAG_K1 + 1) / (F.col("tf") + BAG_K1 * (1 - BAG_B + BAG_B * F.col("length") / avg))
-    scored = hits.join(asked.join(df, "token"), "token").withColumn("w", weight)
-    return scored.groupBy("query_id", "chunk_id").agg(F.sum("w").alias("score"))
+#: A token in more than this share of the chunks is common: what it adds to a score is small.
+COMMON = 0.05
+
+#: The key of the row that every chunk has beside its tokens, for the corpus's statistics.
+_ALL = ""
+
+
+def _best(
+    hits: DataFrame, asked: DataFrame, chunks: DataFrame, queries: DataFrame, filters: Mapping[str, Any] | None, limit: int, k1: float, b: float,
+    idf: Callable[[Column, Column], Column], named: bool, bonus_too: bool = True,
+) -> DataFrame:
+    """The best chunks of each query, exactly, without scoring what can't be among them.
+
+    ``hits`` has chunk_id, length, key, f (how much of a key a chunk has) and a
+    row of every chunk with an empty key; ``asked`` has query_id, key, qtf. A
+    chunk that shares no rare key with a query, and isn't named by it, scores
+    at most what all the query's common keys could add and the bonus for
+    element paths. Where the limit-th best of the other chunks has more than
+    that already, such chunks are left out before common keys are joined.
+    ``named``: whether being named is enough to be listed; ``bonus_too``:
+    whether being named counts at all.
+    """
+    hits = settle(hits)
+    stats = hits.where(F.col("key") == _ALL).agg(F.count("*").alias("n"), F.avg("length").alias("avg")).first()
+    n, avg = int(stats["n"] or 0), float(stats["avg"] or 1.0)
+    df = hits.where(F.col("key") != _ALL).groupBy("key").agg(F.count("*").alias("df"))
+    terms = settle(asked.join(df, "key").withColumn("w", F.col("qtf") * idf(F.lit(max(1, n)), F.col("df"))).withColumn("common", F.col("df") > COMMON * n))
+    weight = F.col("w") * F.col("f") * (k1 + 1) / (F.col("f") + k1 * (1 - b + b * F.col("length") / F.lit(avg)))
+    allowed = _identity(flt.apply(chunks, filters))
+
+    rare = hits.join(terms.where(~F.col("common")).select("query_id", "key", "w"), "key").select("query_id", "chunk_id", weight.alias("s"))
+    if bonus_too:
+        rare = rare.unionByName(_named(queries, chunks).withColumn("s", F.lit(0.0)))
+    first = settle(rare.groupBy("query_id", "chunk_id").agg(F.sum("s").alias("score")).join(allowed.select("chunk_id"), "chunk_id", "left_semi"))
+    floor = ranked(first, limit).groupBy("query_id").agg(F.count("*").alias("_k"), F.min("score").alias("_floor"))
+    most = terms.where("common").groupBy("query_id").agg((F.sum("w") * (k1 + 1) + (2 * BONUS_XML if bonus_too else 0.0) + 1e-6).alias("_most"))
+    # of these queries every chunk must be scored
+    whole = settle(most.join(floor, "query_id", "left").select("query_id", (F.coalesce(F.col("_k") < limit, F.lit(True)) | (F.col("_most") >= F.col("_floor"))).alias("whole")))
+    common = terms.where("common").select("query_id", "key", "w").join(whole, "query_id")
+    everywhere = hits.join(common.where("whole").select("query_id", "key", "w"), "key").select("query_id", "chunk_id", weight.alias("s"))
+    ahead = first.select("query_id", "chunk_id").join(common.where("not whole").select("query_id", "key", "w"), "query_id")
+    among = hits.join(ahead, ["chunk_id", "key"]).select("query_id", "chunk_id", weight.alias("s"))
+    parts = first.select("query_id", "chunk_id", F.col("score").alias("s")).unionByName(everywhere).unionByName(among)
+    scores = parts.groupBy("query_id", "chunk_id").agg(F.sum("s").alias("score"))
+    if not bonus_too:
+        return ranked(scores.join(allowed.select("chunk_id"), "chunk_id", "left_semi"), limit).select("query_id", "rank", "chunk_id", "score")
+    return _with_bonus(scores if named else scores.where("score > 0"), allowed, queries, limit)
 
 
 def bm25(chunks: DataFrame, queries: DataFrame, limit: int = 10, filters: Mapping[str, Any] | None = None, named: bool = True) -> DataFrame:
     """The best chunks of each query by BM25 over bags of tokens: query_id, rank, chunk_id, score.
 
-    ``queries`` has query_id and query. Statistics are those of all chunks,
-    filters only choose who may be listed. A chunk whose symbol or path the
-    query names gains a bonus, which alone is enough to be listed
-    (``named=False`` leaves such chunks out). Blank queries and queries
-    without tokens list only what they name; an empty query lists nothing.
+    ``queries`` has query_id and query; repeated query tokens count. Statistics
+    are those of all chunks, filters only choose who may be listed. A chunk
+    whose symbol or path the query names gains a bonus, which alone is enough
+    to be listed (``named=False`` leaves such chunks out). Queries without
+    tokens list only what they name; an empty query lists nothing.
     """
     checked_limit(limit)
-    scores = bag_scores(chunks, queries)
-    if named:
-        scores = scores.unionByName(_named(queries, chunks).withColumn("score", F.lit(0.0))).groupBy("query_id", "chunk_id").agg(F.sum("score").alias("score"))
-    return _with_bonus(scores, chunks, queries, filters, limit)
+    asked = query_tokens(queries).withColumnRenamed("token", "key")
+    wanted = asked.select("key").distinct().unionByName(queries.sparkSession.createDataFrame([(_ALL,)], "key string"))
+    every = tokenised(chunks).select("chunk_id", "length", F.explode(F.concat("tokens", F.array(F.lit(_ALL)))).alias("key"))
+    hits = every.join(wanted, "key").groupBy("chunk_id", "length", "key").agg(F.count("*").alias("f"))
+    return _best(hits, asked, chunks, queries, filters, limit, BAG_K1, BAG_B, lambda n, df: F.log(F.lit(1.0) + (n - df + 0.5) / (df + 0.5)), named)
 
 
-def _with_bonus(scores: DataFrame, chunks: DataFrame, queries: DataFrame, filters: Mapping[str, Any] | None, limit: int) -> DataFrame:
-    allowed = _identity(flt.apply(chunks, filters))
+def _with_bonus(scores: DataFrame, allowed: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
     asked = queries.select("query_id", F.col("query").alias("_query"), tx.tokens("query").alias("_qtokens"))
     total = scores.join(allowed, "chunk_id").join(asked, "query_id").withColumn("score", F.col("score") + bonus(F.col("_query"), F.col("_qtokens")))
     return ranked(total.where("score > 0").select("query_id", "chunk_id", "score"), limit).select("query_id", "rank", "chunk_id", "score")
 
 
-def phrase_scores(chunks: DataFrame, queries: DataFrame) -> DataFrame:
-    """query_id, chunk_id, score by BM25 over phrases in weighted fields.
-
-    A query's distinct tokens are phrases of letter and digit runs, any of
-    which may match.
-    """
+def _phrase_hits(chunks: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``hits`` and ``asked`` of phrases: a query's distinct tokens are phrases of letter and digit runs, any of which may match."""
     joined = lambda c: F.array_join(tx.tokens(c), " ")
     docs = chunks.select(
         "chunk_id", tx.phrase_terms(joined(tx.document_text())).alias("text"), tx.phrase_terms(joined(F.coalesce("symbol", F.lit("")))).alias("symbol"),
         tx.phrase_terms(joined(F.coalesce("source_path", F.lit("")))).alias("path"),
     ).withColumn("length", F.size("text") + F.size("symbol") + F.size("path"))
     asked = queries.select("query_id", F.explode(tx.match_terms("query")).alias("token")).withColumn("phrase", tx.phrase_terms("token")).where(F.size("phrase") > 0)
-    phrases = asked.select("phrase").distinct()
-    wanted = phrases.select(F.explode("phrase").alias("term")).distinct()
+    asked = asked.withColumn("key", F.array_join("phrase", " "))
+    phrases = asked.select("key", "phrase").distinct()
+    wanted = phrases.select(F.explode("phrase").alias("term")).distinct().unionByName(queries.sparkSession.createDataFrame([(_ALL,)], "term string"))
     # occurrences of wanted terms, weighted by field: all that phrases of one term need
     weigh = lambda w: lambda t: F.struct(t.alias("term"), F.lit(w).alias("w"))
-    weighted = F.flatten(F.array(*[F.transform(F.col(f), weigh(w)) for f, w in FIELD_WEIGHTS.items()]))
-    seen = docs.select("chunk_id", "length", F.inline(weighted)).join(wanted, "term").groupBy("chunk_id", "length", "term").agg(F.sum("w").alias("f"))
-    one = phrases.where(F.size("phrase") == 1).select("phrase", F.col("phrase")[0].alias("term"))
-    single = seen.join(one, "term").select("chunk_id", "length", "phrase", "f")
+    weighted = F.flatten(F.array(*[F.transform(F.col(f), weigh(w)) for f, w in FIELD_WEIGHTS.items()], F.array(F.struct(F.lit(_ALL).alias("term"), F.lit(1.0).alias("w")))))
+    seen = settle(docs.select("chunk_id", "length", F.inline(weighted)).join(wanted, "term").groupBy("chunk_id", "length", "term").agg(F.sum("w").alias("f")))
+    one = phrases.where(F.size("phrase") == 1).select(F.col("key").alias("term"))
+    single = seen.join(one.unionByName(queries.sparkSession.createDataFrame([(_ALL,)], "term string")), "term").select("chunk_id", "length", F.col("term").alias("key"), "f")
     # longer phrases are looked for only where all their terms stand
-    many = phrases.where(F.size("phrase") > 1).select("phrase", F.size(F.array_distinct("phrase")).alias("n"), F.explode(F.array_distinct("phrase")).alias("term"))
-    met = seen.join(many, "term").groupBy("chunk_id", "phrase", "n").agg(F.count("*").alias("k")).where("k = n").select("chunk_id", "phrase")
+    many = phrases.where(F.size("phrase") > 1).select("key", "phrase", F.size(F.array_distinct("phrase")).alias("n"), F.explode(F.array_distinct("phrase")).alias("term"))
+    met = seen.join(many, "term").groupBy("chunk_id", "key", "phrase", "n").agg(F.count("*").alias("k")).where("k = n").select("chunk_id", "key", "phrase")
     counts = sum((tx.phrase_count(F.col(f), F.col("phrase")) * w for f, w in FIELD_WEIGHTS.items()), F.lit(0.0))
-    longer = met.join(docs, "chunk_id").select("chunk_id", "length", "phrase", counts.alias("f")).where("f > 0")
-    hits = single.unionByName(longer)
-    df = hits.groupBy("phrase").agg(F.count("*").alias("df"))
-    stats = docs.agg(F.count("*").alias("n"), F.coalesce(F.avg("length"), F.lit(1.0)).alias("avg")).first()
-    n, avg = F.lit(int(stats["n"])), F.lit(float(stats["avg"]) or 1.0)
-    raw = F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    idf = F.when(raw > 0, raw).otherwise(F.lit(1e-6))
-    weight = idf * F.col("f") * (PHRASE_K1 + 1) / (F.col("f") + PHRASE_K1 * (1 - PHRASE_B + PHRASE_B * F.col("length") / avg))
-    return hits.join(asked.join(df, "phrase"), "phrase").withColumn("w", weight).groupBy("query_id", "chunk_id").agg(F.sum("w").alias("score"))
+    longer = met.join(docs, "chunk_id").select("chunk_id", "length", "key", counts.alias("f")).where("f > 0")
+    # one occurrence of each distinct token counts, tokens of the same phrase add up
+    return single.unionByName(longer), asked.groupBy("query_id", "key").agg(F.count("*").alias("qtf"))
+
+
+def _phrase_idf(n: Column, df: Column) -> Column:
+    raw = F.log((n - df + 0.5) / (df + 0.5))
+    return F.when(raw > 0, raw).otherwise(F.lit(1e-6))
 
 
 def bm25_phrases(
     chunks: DataFrame, queries: DataFrame, limit: int = 10, filters: Mapping[str, Any] | None = None, two_stage: bool = False, fetch: int | None = None
 ) -> DataFrame:
-    """The best chunks of each query by phrases: query_id, rank, chunk_id, score.
+    """The best chunks of each query by phrases in weighted fields: query_id, rank, chunk_id, score.
 
     With ``two_stage`` only the best ``fetch`` (by default ``limit``) chunks
     before the bonus can be listed, as an engine that cuts first would; else
-    the bonus counts for all.
+    the bonus counts for all chunks that match.
     """
     checked_limit(limit)
-    scores = phrase_scores(chunks, queries)
-    if two_stage:
-        allowed = flt.apply(chunks, filters).select("chunk_id")
-        scores = ranked(scores.join(allowed, "chunk_id"), fetch or limit).drop("rank")
-    return _with_bonus(scores, chunks, queries, filters, limit)
+    hits, asked = _phrase_hits(chunks, queries)
+    if not two_stage:
+        return _best(hits, asked, chunks, queries, filters, limit, PHRASE_K1, PHRASE_B, _phrase_idf, False)
+    cut = _best(hits, asked, chunks, queries, filters, fetch or limit, PHRASE_K1, PHRASE_B, _phrase_idf, False, bonus_too=False)
+    return _with_bonus(cut.select("query_id", "chunk_id", "score"), _identity(chunks), queries, limit)
