@@ -16,7 +16,13 @@ TIE = "_tie"
 def versions(chunks: DataFrame, *columns: str) -> DataFrame:
     """Only the needed columns of the chunk table, with the tie-break of ``latest``."""
     wanted = list(dict.fromkeys(["chunk_id", "indexed_at", *columns]))
-    return chunks.select(*[F.col(c) for c in wanted], F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias(TIE))
+    return spread(chunks.select(*wanted), "chunk_id").select("*", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias(TIE))
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """The rows over at least as many partitions as there are cores, if they are in fewer (one small file, say)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if not df.isStreaming and df.rdd.getNumPartitions() < cores else df
 
 
 def map_rows(df: DataFrame, schema: str, row: Callable[..., tuple], keep: list[str], args: list[str]) -> DataFrame:

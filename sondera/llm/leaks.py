@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sondera.llm.columns import KeyFilter
+from sondera.llm.columns import KeyFilter, spread
 from sondera.llm.neardup import WordCodes, mix
 from sondera.session import settle
 
@@ -102,6 +102,7 @@ def leaked_passages(documents: DataFrame, items: DataFrame, width: int = 4, near
                 yield pd.DataFrame({"doc_id": np.concatenate(ids), "seed": np.concatenate(found)})
 
     texts = documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long"), "text")
+    texts = spread(texts, "doc_id")
     hits = settle(texts.mapInPandas(doc_seeds, "doc_id long, seed long").distinct())
     df = hits.groupBy("seed").agg(F.count("*").alias("df"))
     # the rarest seeds of every window of a passage

@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sondera.llm.columns import spread
 from sondera.session import settle
 
 #: Where the vocabulary files of public tokenizers lie, unless told otherwise.
@@ -54,7 +55,7 @@ def sized(documents: DataFrame, vocabulary: str) -> DataFrame:
             yield batch.drop(columns="text").assign(tokens=[len(encode(t)) if t else 0 for t in batch["text"]])
 
     order = F.xxhash64(F.lit("mixture"), F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")))
-    rows = documents.select("doc_id", clean_source(F.col("source")).alias("source"), order.alias("place"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = spread(documents.select("doc_id", "source", "text"), "doc_id").select("doc_id", clean_source(F.col("source")).alias("source"), order.alias("place"), F.coalesce("text", F.lit("")).alias("text"))
     kind = dict(rows.dtypes)["doc_id"]
     return rows.mapInPandas(count, f"doc_id {kind}, source string, place long, tokens long")
 

@@ -13,6 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sondera.llm.columns import spread
 from sondera.session import settle
 
 FORMS = ("prose", "list", "table", "junk")
@@ -49,7 +50,7 @@ def text_statistics(documents: DataFrame) -> DataFrame:
         x["l"].rlike(r"[.!?…][\"'”»)\]]*\s*$").cast("int").alias("p"), x["l"].rlike(r"^\s*(?:[-*+•–]\s|\d{1,3}[.)]\s|\[)").cast("int").alias("b"),
         (F.regexp_count(x["l"], F.lit(r"[;|\t]|,\S|\S {2,}")) >= 2).cast("int").alias("t"),
     )
-    base = documents.select("doc_id", text.alias("_t")).select("doc_id", "_t", F.transform(F.split("_t", "\n"), line).alias("_w"))
+    base = spread(documents.select("doc_id", "text"), "doc_id").select("doc_id", text.alias("_t")).select("doc_id", "_t", F.transform(F.split("_t", "\n"), line).alias("_w"))
     base = base.select("doc_id", "_t", F.filter(F.transform("_w", counted), lambda x: x["c"] > 0).alias("_l"), F.flatten(F.transform("_w", lambda x: x["w"])).alias("_words"))
 
     def total(of) -> Column:
