@@ -25,7 +25,11 @@ _WORD = re.compile(r"[^\W_]+")
 
 def words(text: str | None) -> list[str]:
     """Words without case, punctuation, spacing and markup."""
-    return _WORD.findall(_MARKUP.sub(" ", text).lower()) if text else []
+    if not text:
+        return []
+    if "<" in text or "&" in text or "](" in text:
+        text = _MARKUP.sub(" ", text)
+    return _WORD.findall(text.lower())
 
 
 def runs(codes: np.ndarray, width: int) -> np.ndarray:
@@ -123,7 +127,9 @@ def leaked_passages(documents: DataFrame, items: DataFrame, width: int = 4, near
     def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codes = WordCodes()
         for batch in batches:
-            made = [(_coded(p, codes), _coded(t, codes)) for p, t in zip(batch["passage"], batch["text"])]
+            # a document or passage of several pairs is read once for a batch
+            once = {t: _coded(t, codes) for t in {*batch["passage"], *batch["text"]}}
+            made = [(once[p], once[t]) for p, t in zip(batch["passage"], batch["text"])]
             results = best_stretches(made)
             out = batch[["doc_id", "item_id"]].assign(
                 matched=[r[0] for r in results], spanned=[r[1] for r in results], edits=[r[2] for r in results], item_words=[len(p) for p, _ in made]
