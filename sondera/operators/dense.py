@@ -128,19 +128,32 @@ def nearest(
     return ranked(found, limit, key)
 
 
+def _flips(margins: np.ndarray, many: int) -> np.ndarray:
+    """For each row and table the ``many`` sets of signs, as bits, that cost least to turn; the empty set is the first."""
+    bits = margins.shape[2]
+    sets = (np.arange(1 << bits)[:, None] >> np.arange(bits)) & 1
+    # some rows at a time, as every set of each table is held
+    parts = [np.argsort(margins[i : i + 256] @ sets.T, axis=2, kind="stable")[:, :, :many] for i in range(0, len(margins), 256)]
+    return np.concatenate(parts)
+
+
 class HashedIndex:
     """Approximate neighbours by random hyperplanes: rows that agree with a query in the signs of some table meet.
 
     Every row is indexed in every table. The planes depend on the seed only,
-    not on the data.
+    not on the data. A query looks into ``probes`` places of each table: that
+    of its own signs and those that differ in the planes it is closest to,
+    where a neighbour is likeliest to lie on the other side.
     """
 
-    def __init__(self, vectors: DataFrame, dimensions: int, tables: int = 24, bits: int = 6, seed: int = 11, key: str = "chunk_id", vector: str = "vector"):
-        self.key, self.tables, self.bits, self.dimensions = key, tables, bits, dimensions
+    def __init__(
+        self, vectors: DataFrame, dimensions: int, tables: int = 24, bits: int = 6, seed: int = 11, key: str = "chunk_id", vector: str = "vector", probes: int = 4,
+    ):
+        self.key, self.tables, self.bits, self.dimensions, self.probes = key, tables, bits, dimensions, max(1, min(probes, 1 << bits))
         self.planes = np.random.default_rng(seed).standard_normal((dimensions, tables * bits))
         self.rows = self._coded(vectors.select(F.col(key), F.col(vector).alias("vector")), key)
 
-    def _coded(self, rows: DataFrame, key: str) -> DataFrame:
+    def _coded(self, rows: DataFrame, key: str, probes: int = 1) -> DataFrame:
         kind, planes, tables, bits, size = dict(rows.dtypes)[key], self.planes, self.tables, self.bits, self.dimensions
 
         def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -149,8 +162,11 @@ class HashedIndex:
                 if batch.empty:
                     continue
                 m = _unit(_matrix(batch["vector"], size))
-                signs = (m @ planes > 0).reshape(len(m), tables, bits)
-                codes = (signs * (1 << np.arange(bits))).sum(axis=2) + np.arange(tables) * (1 << bits)
+                sides = (m @ planes).reshape(len(m), tables, bits)
+                codes = ((sides > 0) * (1 << np.arange(bits))).sum(axis=2)
+                if probes > 1:
+                    codes = codes[:, :, None] ^ _flips(np.abs(sides), probes)
+                codes = (codes.reshape(len(m), tables, -1) + (np.arange(tables) * (1 << bits))[:, None]).reshape(len(m), -1)
                 yield pd.DataFrame({key: batch[key].to_numpy(), "vector": list(m), "codes": list(codes.astype(np.int32))})
 
         return rows.mapInPandas(code, f"`{key}` {kind}, vector array<double>, codes array<int>")
@@ -158,7 +174,7 @@ class HashedIndex:
     def search(self, queries: DataFrame, limit: int = 10) -> DataFrame:
         """query_id, rank, key, score: the best among the rows that a query meets in some table."""
         checked_limit(limit)
-        asked = self._coded(queries.select("query_id", "vector"), "query_id").select("query_id", F.col("vector").alias("q"), "codes")
+        asked = self._coded(queries.select("query_id", "vector"), "query_id", self.probes).select("query_id", F.col("vector").alias("q"), "codes")
         theirs = asked.select("query_id", F.explode("codes").alias("code"))
         met = self.rows.select(self.key, F.explode("codes").alias("code")).join(theirs, "code").select("query_id", self.key).distinct()
         pairs = met.join(self.rows.select(self.key, "vector"), self.key).join(asked.select("query_id", "q"), "query_id")

@@ -80,6 +80,17 @@ def test_dense(spark):
     assert dense.nearest(rows.limit(0), asked, 3).count() == 0 and dense.nearest(rows, asked.limit(0), 3).count() == 0
 
 
+def test_hashed_recall(spark):
+    """Of vectors without near neighbours at least nine tenths of the true neighbours are found, self matches left out."""
+    m = np.random.default_rng(3).standard_normal((1500, 64))
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "vec_id long, vector array<double>")
+    asked = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "vector")
+    found = {(r["query_id"], r["vec_id"]) for r in dense.HashedIndex(rows, 64, key="vec_id").search(asked, 11).collect()}
+    true = {(i, int(j)) for i in range(0, 1500, 50) for j in np.argsort(-(m @ m[i]))[1:11]}
+    assert len(true & found) / len(true) >= 0.9
+
+
 def test_fusion(spark):
     lists = spark.createDataFrame([(1, 0, 1, "a"), (1, 0, 2, "b"), (1, 1, 1, "b"), (1, 1, 2, "c"), (1, 1, 2, "c"), (1, 1, 3, None)], "query_id int, list_idx int, rank int, chunk_id string")
     assert ids(fusion.reciprocal_ranks(lists, 3, k=10)) == ["b", "a", "c"]
