@@ -141,14 +141,36 @@ def leaked_passages(documents: DataFrame, items: DataFrame, width: int = 4, near
     return aligned.groupBy("doc_id", "item_id").agg(F.max(F.struct("matched", "item_words", "edits")).alias("_best")).select("doc_id", "item_id", "_best.*")
 
 
+#: Cells of a table of scores.
+CELLS = 6_000_000
+
+
+def _windows(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[int]]:
+    """The pairs with long documents cut, and the pair that each belongs to.
+
+    A stretch with a positive score takes up less than twice as many words of
+    the document as the passage has; cuts overlap by as many, so none is lost.
+    """
+    made, owner = [], []
+    for i, (p, d) in enumerate(pairs):
+        over = 2 * len(p)
+        size = max(2 * over, CELLS // max(1, len(p)))
+        for at in range(0, max(1, len(d) - over), max(1, size - over)) if len(d) > size else (0,):
+            made.append((p, d[at : at + size]))
+            owner.append(i)
+    return made, owner
+
+
 def best_stretches(pairs: list[tuple[np.ndarray, np.ndarray]], match: int = 1, mismatch: int = -1, gap: int = -1, at_once: int = 128) -> list[tuple[int, int, int]]:
     """Best local alignment of each (passage, document): words matched, passage words spanned, words edited."""
     out: list[tuple[int, int, int]] = [(0, 0, 0)] * len(pairs)
+    whole, (pairs, owner) = pairs, _windows(pairs)
+    best = [0] * len(whole)
     order = sorted(range(len(pairs)), key=lambda i: (len(pairs[i][1]), len(pairs[i][0])))
     while order:
         # as many pairs as keep the table of scores in a few MB, at least one
         last = pairs[order[-1]]
-        take = max(1, min(at_once, 6_000_000 // max(1, len(last[1]) * max(len(pairs[i][0]) for i in order[-at_once:]))))
+        take = max(1, min(at_once, CELLS // max(1, len(last[1]) * max(len(pairs[i][0]) for i in order[-at_once:]))))
         part, order = order[-take:], order[:-take]
         rows, cols = max(len(pairs[i][0]) for i in part), max(len(pairs[i][1]) for i in part)
         if not rows or not cols:
@@ -158,24 +180,34 @@ def best_stretches(pairs: list[tuple[np.ndarray, np.ndarray]], match: int = 1, m
         for k, i in enumerate(part):
             p[k, : len(pairs[i][0])], p_has[k, : len(pairs[i][0])] = pairs[i][0], True
             d[k, : len(pairs[i][1])], d_has[k, : len(pairs[i][1])] = pairs[i][1], True
-        table = np.zeros((rows + 1, len(part), cols + 1), np.int16)
-        ramp = (np.arange(cols + 1) * -gap).astype(np.int16)
-        for r in range(rows):
-            same = (d == p[:, r : r + 1]) & d_has & p_has[:, r : r + 1]
-            row = np.zeros((len(part), cols + 1), np.int16)
-            row[:, 1:] = np.maximum(table[r, :, :-1] + np.where(same, match, mismatch).astype(np.int16), table[r, :, 1:] + gap)
-            np.maximum(row, 0, out=row)
-            # a gap along the document is a running maximum with a slope
-            np.maximum(row, np.maximum.accumulate(row + ramp, axis=1) - ramp, out=row)
-            table[r + 1] = row
+        table = _scores(lambda r: (d == p[:, r : r + 1]) & d_has & p_has[:, r : r + 1], rows, len(part), cols, match, mismatch, gap)  # noqa: B023
         flat = table.transpose(1, 0, 2).reshape(len(part), -1)
         tops = flat.argmax(axis=1)
         for k, i in enumerate(part):
             r, c = divmod(int(tops[k]), cols + 1)
-            out[i] = _trace(table[:, k, :], pairs[i][0], pairs[i][1], r, c, match, mismatch, gap)
+            score = int(table[r, k, c])
+            if score > best[owner[i]]:
+                best[owner[i]] = score
+                out[owner[i]] = _trace(table[:, k, :], pairs[i][0], pairs[i][1], r, c, match, mismatch, gap)
     return out
 
 
+def _scores(same_at, rows: int, many: int, cols: int, match: int, mismatch: int, gap: int) -> np.ndarray:
+    """Scores of local alignments that end at each word of the passages (first axis) and documents (last)."""
+    # scores are at most the greatest ramp and gain together
+    kind = np.int16 if cols * -gap + rows * match < 32_000 else np.int32
+    table = np.zeros((rows + 1, many, cols + 1), kind)
+    ramp = (np.arange(cols + 1) * -gap).astype(kind)
+    for r in range(rows):
+        row = np.zeros((many, cols + 1), kind)
+        row[:, 1:] = np.maximum(table[r, :, :-1] + np.where(same_at(r), match, mismatch).astype(kind), table[r, :, 1:] + gap)
+        np.maximum(row, 0, out=row)
+        # a gap along the document is a running maximum with a slope
+        np.maximum(row, np.maximum.accumulate(row + ramp, axis=1) - ramp, out=row)
+        table[r + 1] = row
+    return table
+
+
 def _trace(table: np.ndarray, p: np.ndarray, d: np.ndarray, r: int, c: int, match: int, mismatch: int, gap: int) -> tuple[int, int, int]:
     matched = edited = 0
     end = r

@@ -47,5 +47,15 @@ def test_alignment():
     assert lk.best_stretches([(p, d), (p, p), (p, d[:0]), (p[:0], d)]) == [(19, 20, 1), (20, 20, 0), (0, 0, 0), (0, 0, 0)]
 
 
+def test_long_document():
+    """Scores don't run over, and stretches across the cuts of a long document are whole."""
+    p = lk.np.arange(1, 101, dtype=lk.np.uint64)
+    for size, places in ((100_000, (50, 30_000, 59_900, 70_000, 99_900)), (1_000_000, (499_950,))):
+        for at in places:
+            d = lk.np.full(size, 999, lk.np.uint64)
+            d[at : at + 100] = p
+            assert lk.best_stretches([(p, d)]) == [(100, 100, 0)]
+
+
 def test_words():
     assert lk.words("**Bold** <i>and</i> [link](http://x.y) snake_case\nÉté") == ["bold", "and", "link", "snake", "case", "été"]
