@@ -130,11 +130,11 @@ def leaked_passages(documents: DataFrame, items: DataFrame, width: int = 4, near
             # a document or passage of several pairs is read once for a batch
             once = {t: _coded(t, codes) for t in {*batch["passage"], *batch["text"]}}
             made = [(once[p], once[t]) for p, t in zip(batch["passage"], batch["text"])]
-            results = best_stretches(made)
+            results = best_stretches(made, limits=(part, edits))
             out = batch[["doc_id", "item_id"]].assign(
                 matched=[r[0] for r in results], spanned=[r[1] for r in results], edits=[r[2] for r in results], item_words=[len(p) for p, _ in made]
             )
-            good = (out["spanned"] >= part * out["item_words"] - 1e-9) & (out["edits"] <= edits * out["spanned"] + 0.5)
+            good = [_fits(r, len(p), part, edits) for r, (p, _) in zip(results, made)]
             yield out.loc[good, ["doc_id", "item_id", "matched", "item_words", "edits"]]
 
     aligned = pairs.select("doc_id", "item_id", "passage", "text").mapInPandas(align, "doc_id long, item_id long, matched int, item_words int, edits int")
@@ -161,11 +161,23 @@ def _windows(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[list[tuple[np.
     return made, owner
 
 
-def best_stretches(pairs: list[tuple[np.ndarray, np.ndarray]], match: int = 1, mismatch: int = -1, gap: int = -1, at_once: int = 128) -> list[tuple[int, int, int]]:
-    """Best local alignment of each (passage, document): words matched, passage words spanned, words edited."""
+def _fits(stretch: tuple[int, int, int], words: int, part: float, edits: float) -> bool:
+    """Whether a stretch has enough of a passage's words and few enough edits."""
+    return stretch[1] >= part * words - 1e-9 and stretch[2] <= edits * stretch[1] + 0.5
+
+
+def best_stretches(
+    pairs: list[tuple[np.ndarray, np.ndarray]], match: int = 1, mismatch: int = -1, gap: int = -1, at_once: int = 128, limits: tuple[float, float] | None = None,
+) -> list[tuple[int, int, int]]:
+    """Best local alignment of each (passage, document): words matched, passage words spanned, words edited.
+
+    With ``limits``, the part of the passage and the edits for each word, a
+    stretch within them is given where there is one: if the best alignment
+    isn't, a stretch of it, or of the next best ones.
+    """
     out: list[tuple[int, int, int]] = [(0, 0, 0)] * len(pairs)
     whole, (pairs, owner) = pairs, _windows(pairs)
-    best = [0] * len(whole)
+    best = [(False, 0)] * len(whole)
     order = sorted(range(len(pairs)), key=lambda i: (len(pairs[i][1]), len(pairs[i][0])))
     while order:
         # as many pairs as keep the table of scores in a few MB, at least one
@@ -186,12 +198,70 @@ def best_stretches(pairs: list[tuple[np.ndarray, np.ndarray]], match: int = 1, m
         for k, i in enumerate(part):
             r, c = divmod(int(tops[k]), cols + 1)
             score = int(table[r, k, c])
-            if score > best[owner[i]]:
-                best[owner[i]] = score
-                out[owner[i]] = _trace(table[:, k, :], pairs[i][0], pairs[i][1], r, c, match, mismatch, gap)
+            if score <= best[owner[i]][1] and not limits:
+                continue
+            steps = _trace(table[:, k, :], pairs[i][0], pairs[i][1], r, c, match, mismatch, gap)
+            found = _counted(steps)
+            if limits and not _fits(found, len(pairs[i][0]), *limits):
+                clean = _within(*pairs[i], steps, score, *limits, match, mismatch, gap)
+                if clean:
+                    found, score = clean, clean[0] - clean[2]
+            # what is within the limits goes before all that isn't
+            fits = bool(limits) and _fits(found, len(pairs[i][0]), *limits)
+            if (fits, score) > best[owner[i]]:
+                best[owner[i]], out[owner[i]] = (fits, score), found
     return out
 
 
+def _within(
+    p: np.ndarray, d: np.ndarray, steps: np.ndarray, score: int, part: float, edits: float, match: int, mismatch: int, gap: int
+) -> tuple[int, int, int] | None:
+    """The longest stretch within the limits of an alignment, or of the next best ones that share no pair of words with those before."""
+    # a stretch within the limits has at least this score
+    need = part * len(p) * (1 - 2 * edits) - 1 - 1e-9
+    barred: list[np.ndarray] = []
+    while len(steps) and score >= max(1, need):
+        found = _longest_clean(steps, len(p), part, edits)
+        if found:
+            return found
+        barred.append(steps[steps[:, 2] <= 1, :2])
+        cells = np.concatenate(barred)
+        cells = cells[np.argsort(cells[:, 0], kind="stable")]
+        starts = np.searchsorted(cells[:, 0], np.arange(len(p) + 1))
+
+        def same_at(r: int, cells=cells, starts=starts) -> np.ndarray:
+            same = d == p[r]
+            same[cells[starts[r] : starts[r + 1], 1]] = False
+            return same[None]
+
+        table = _scores(same_at, len(p), 1, len(d), match, mismatch, gap)[:, 0, :]
+        r, c = divmod(int(table.argmax()), len(d) + 1)
+        score = int(table[r, c])
+        steps = _trace(table, p, d, r, c, match, mismatch, gap, set(map(tuple, cells.tolist())))
+    return None
+
+
+def _longest_clean(steps: np.ndarray, words: int, part: float, edits: float) -> tuple[int, int, int] | None:
+    """The longest part of an alignment that is within the limits, and of which no beginning or end has as many edits as matches."""
+    kind = steps[:, 2]
+    spanned, edited = np.cumsum(kind <= 2), np.cumsum(kind > 0)
+    score = np.cumsum(np.where(kind == 0, 1, -1))
+    best = None
+    for i in np.flatnonzero(kind == 0):
+        had = (spanned[i] - 1, edited[i], score[i] - 1)
+        gained = score[i:] - had[2]
+        drop = np.flatnonzero(gained <= 0)
+        stop = len(gained) if not len(drop) else drop[0]
+        span, edit = spanned[i : i + stop] - had[0], edited[i : i + stop] - had[1]
+        top = np.maximum.accumulate(gained[:stop])
+        rises = (kind[i : i + stop] == 0) & (np.r_[0, top[:-1]] < gained[:stop])
+        good = np.flatnonzero(rises & (span >= part * words - 1e-9) & (edit <= edits * span + 0.5))
+        if len(good) and (best is None or span[good[-1]] > best[1]):
+            j = good[-1]
+            best = (int((kind[i : i + j + 1] == 0).sum()), int(span[j]), int(edit[j]))
+    return best
+
+
 def _scores(same_at, rows: int, many: int, cols: int, match: int, mismatch: int, gap: int) -> np.ndarray:
     """Scores of local alignments that end at each word of the passages (first axis) and documents (last)."""
     # scores are at most the greatest ramp and gain together
@@ -208,15 +278,24 @@ def _scores(same_at, rows: int, many: int, cols: int, match: int, mismatch: int,
     return table
 
 
-def _trace(table: np.ndarray, p: np.ndarray, d: np.ndarray, r: int, c: int, match: int, mismatch: int, gap: int) -> tuple[int, int, int]:
-    matched = edited = 0
-    end = r
+def _trace(
+    table: np.ndarray, p: np.ndarray, d: np.ndarray, r: int, c: int, match: int, mismatch: int, gap: int, barred: set[tuple[int, int]] = frozenset()
+) -> np.ndarray:
+    """The steps of the alignment that ends at a cell: passage word, document word, kind (0 same, 1 changed, 2 dropped, 3 added)."""
+    steps = []
     while r > 0 and c > 0 and table[r, c] > 0:
-        same = p[r - 1] == d[c - 1]
+        same = p[r - 1] == d[c - 1] and (r - 1, c - 1) not in barred
         if table[r, c] == table[r - 1, c - 1] + (match if same else mismatch):
-            matched, edited, r, c = matched + int(same), edited + int(not same), r - 1, c - 1
+            r, c, kind = r - 1, c - 1, 0 if same else 1
         elif table[r, c] == table[r - 1, c] + gap:
-            edited, r = edited + 1, r - 1
+            r, kind = r - 1, 2
         else:
-            edited, c = edited + 1, c - 1
-    return matched, end - r, edited
+            c, kind = c - 1, 3
+        steps.append((r, c, kind))
+    return np.array(steps[::-1], np.int64).reshape(-1, 3)
+
+
+def _counted(steps: np.ndarray) -> tuple[int, int, int]:
+    """Words matched, passage words spanned, words edited."""
+    kind = steps[:, 2]
+    return int((kind == 0).sum()), int((kind <= 2).sum()), int((kind > 0).sum())

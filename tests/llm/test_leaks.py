@@ -47,6 +47,20 @@ def test_alignment():
     assert lk.best_stretches([(p, d), (p, p), (p, d[:0]), (p[:0], d)]) == [(19, 20, 1), (20, 20, 0), (0, 0, 0), (0, 0, 0)]
 
 
+def test_clean_part_of_an_edited_stretch():
+    """Half a passage counts although a longer alignment bridges what was changed, and although a longer copy is edited too much."""
+    p = lk.np.arange(1, 101, dtype=lk.np.uint64)
+    other = lambda n: lk.np.full(n, 999, lk.np.uint64)
+    bridged = lk.np.concatenate([other(9), p[:55], other(20), p[75:], other(9)])
+    longer = lk.np.concatenate([other(9), p[:60], other(18), p[78:], other(9)])
+    spoilt = p.copy()
+    spoilt[3::5] = 998  # every fifth word changed
+    two = lk.np.concatenate([other(9), spoilt, other(300), p[:52], other(9)])
+    none = lk.np.concatenate([other(9), p[:45], other(20), p[65:], other(9)])
+    pairs = [(p, bridged), (p, longer), (p, two), (p, none), (p, spoilt)]
+    assert [r[1] > 0.5 * 100 and r[2] <= 0.15 * r[1] + 0.5 for r in lk.best_stretches(pairs, limits=(0.5, 0.15))] == [True, True, True, False, False]
+
+
 def test_long_document():
     """Scores don't run over, and stretches across the cuts of a long document are whole."""
     p = lk.np.arange(1, 101, dtype=lk.np.uint64)
