@@ -11,6 +11,7 @@ case if a sign or a classifier says so for any of its chunks.
 
 from __future__ import annotations
 
+import logging
 import re
 import zlib
 from collections.abc import Iterator
@@ -24,6 +25,8 @@ from sondera.llm.columns import TIE, suffix, versions
 from sondera.operators.latest import latest
 from sondera.session import settle
 
+_LOG = logging.getLogger(__name__)
+
 KINDS = ("generated", "minified", "vendored", "data")
 
 #: Types of files that are documents or configuration.
@@ -169,10 +172,12 @@ def vector(text: str, path: str | None) -> tuple[np.ndarray, np.ndarray]:
 class Classifiers:
     """A classifier of each kind with its threshold; kinds with too few examples have none."""
 
-    def __init__(self, sample: pd.DataFrame, clean_weight: float = 1.0, least_examples: int = 12, precision: float = 0.97):
+    def __init__(self, sample: pd.DataFrame, clean_weight: float = 1.0, least_examples: int = 12, precision: float = 0.97, kind_weights: dict[str, float] | None = None):
         """``sample``: text, source_path, repository, signs and kinds (lists), one row for each chunk.
 
-        ``clean_weight``: how many files without a sign one of the sample stands for.
+        ``clean_weight``: how many files without a sign one of the sample stands for;
+        ``kind_weights``: the same for the files of each kind. ``report`` says how
+        each kind was judged; a kind without a classifier has no end of a threshold there.
         """
         self.weights, self.bias, self.threshold = np.zeros((len(KINDS), GRAM_BINS + PATH_BINS), np.float32), np.zeros(len(KINDS)), np.full(len(KINDS), np.inf)
         rows = [vector(t, p) for t, p in zip(sample["text"], sample["source_path"])]
@@ -186,17 +191,22 @@ class Classifiers:
             given = paths_only if kind == "vendored" else rows
             has = np.array([any(s.startswith(teaches) and s != "generated:folder" for s in signs) for signs in sample["signs"]], bool)
             use = has | clean
+            self.report[kind] = {"threshold": np.inf, "examples": int(has.sum())}
             if (has & ~held).sum() < least_examples:
+                _LOG.warning("no classifier of %s files: %d examples, %d needed", kind, (has & ~held).sum(), least_examples)
                 continue
+            stands_for = (kind_weights or {}).get(kind, 1.0)
             w, b = train([given[i] for i in np.flatnonzero(use & ~held)], has[use & ~held])
             scores = np.array([(w[bins] * v).sum() + b for bins, v in given])
             # the lowest threshold at which files of held-out repositories are told apart well enough
             for cut in (0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0):
-                right, wrong = int((has & held & (scores > cut)).sum()), clean_weight * int((clean & held & (scores > cut)).sum())
+                right, wrong = stands_for * int((has & held & (scores > cut)).sum()), clean_weight * int((clean & held & (scores > cut)).sum())
                 if right and right / (right + wrong) >= precision:
                     self.weights[k], self.bias[k], self.threshold[k] = w, b, cut
-                    self.report[kind] = {"threshold": cut, "precision": right / (right + wrong), "recall": right / max(1, int((has & held).sum())), "examples": int(has.sum())}
+                    self.report[kind] = {"threshold": cut, "precision": right / (right + wrong), "recall": right / (stands_for * max(1, int((has & held).sum()))), "examples": int(has.sum())}
                     break
+            else:
+                _LOG.warning("no classifier of %s files: none is right often enough in held-out repositories", kind)
 
     def kinds(self, text: str, path: str | None) -> list[str]:
         """The kinds a chunk is of."""
@@ -278,5 +288,7 @@ def _learn(rows: DataFrame, signed: DataFrame, sample_files: int) -> Classifiers
     both = sample.select("file_key", F.inline(F.array_distinct(F.array("one", "two")))).toPandas().sort_values(["file_key", "text"], ignore_index=True)
     both["kinds"] = [picked[k][0] for k in both["file_key"]]
     both["signs"] = [picked[k][1] for k in both["file_key"]]
-    clean = signed.where(F.size("signs") == 0).count()
-    return Classifiers(both, max(1.0, clean / max(1, sum(not k for k, _ in picked.values()))))
+    # how many files one of the sample stands for, among those of each kind and those without a sign
+    sizes = labelled.agg(F.count_if(F.size("kinds") == 0).alias("clean"), *[F.count_if(F.array_contains("kinds", k)).alias(k) for k in KINDS]).first()
+    weights = {k: max(1.0, sizes[k] / max(1, sum(k in ks for ks, _ in picked.values()))) for k in KINDS}
+    return Classifiers(both, max(1.0, sizes["clean"] / max(1, sum(not k for k, _ in picked.values()))), kind_weights=weights)

@@ -1,6 +1,7 @@
 """Files that no project member wrote by hand."""
 
 import random
+import zlib
 
 import pandas as pd
 import pytest
@@ -81,3 +82,24 @@ def test_classifier_without_notices():
 def test_classifier_needs_examples():
     sample = pd.DataFrame({"text": ["a b", "c d"], "source_path": ["x.py", None], "repository": ["r", None], "signs": [["generated:notice"], []], "kinds": [["generated"], []]})
     assert hw.Classifiers(sample).kinds("a b", "x.py") == []
+
+
+def test_thresholds_do_not_depend_on_the_size_of_the_table(caplog):
+    """A larger table of the same mixture gives the same classifier; kinds without one are reported."""
+    rng, rows = random.Random(5), []
+    for i in range(480):
+        made = i % 2 == 0
+        # one clean file of a held-out repository is like the generated ones
+        like = made or i == 1
+        words = [rng.choice(("stub_marshal", "field_tag", "wire_type") if like else ("weather", "river", "garden")) for _ in range(40)]
+        signs = (["generated:notice"], ["generated"]) if made else ([], [])
+        rows.append((" ".join(words), f"r/f{i}.py", HELD if i % 4 < 2 else TAUGHT, *signs))
+    sample = pd.DataFrame(rows, columns=["text", "source_path", "repository", "signs", "kinds"])
+    small, large = hw.Classifiers(sample), hw.Classifiers(sample, 33.0, kind_weights={"generated": 33.0})
+    assert small.threshold[0] == large.threshold[0] < float("inf") and large.report["generated"] == pytest.approx(small.report["generated"])
+    assert large.report["minified"] == {"threshold": float("inf"), "examples": 0} and "no classifier of minified files" in caplog.text
+    assert hw.Classifiers(sample, 33.0).threshold[0] == float("inf")
+
+
+#: Repositories that are held out and that are not.
+HELD, TAUGHT = (next(f"r{i}" for i in range(99) if (zlib.crc32(f"r{i}".encode()) % 4 == 0) == held) for held in (True, False))
