@@ -82,7 +82,7 @@ CONFIG_TYPES = frozenset("yaml yml ini env toml cfg conf properties sh bash txt
 
 
 class Found(NamedTuple):
-    """A credential: its line from 1 and the characters it takes up."""
+    """A credential: its line from 1 and the characters it takes up; several may begin on one line."""
 
     line_no: int
     start: int
@@ -152,18 +152,11 @@ def find(text: str, kind: str = "") -> list[Found]:
     """The credentials of a text in order; ``kind`` is its file type (``yaml``, ``py``)."""
     if not text or not _HINT.search(text):
         return []
-    found: dict[int, Found] = {}
+    spans: set[tuple[int, int]] = set()
     lines_done: set[int] = set()
     unquoted = kind in CONFIG_TYPES
     closed = 0
 
-    def add(start: int, end: int) -> None:
-        begin = text.rfind("\n", 0, start) + 1
-        if begin not in found:
-            found[begin] = Found(0, start, end)
-        elif found[begin].start != start:
-            found[begin] = Found(0, min(found[begin].start, start), max(found[begin].end, end))
-
     for hint in _HINT.finditer(text):
         begin = text.rfind("\n", 0, hint.start()) + 1
         if begin in lines_done or hint.start() < closed:
@@ -178,18 +171,17 @@ def find(text: str, kind: str = "") -> list[Found]:
             ending = _END.search(text, at)
             last = ending.end() if ending else min(len(text), at + 4096)
             if _KEY_BODY.search(text[begin + block.end() : last].replace("\\n", "\n")):
-                add(at, last)
+                spans.add((at, last))
                 closed = last if ending else stop
-            continue
-        for start, end in _values(text, line, begin, unquoted):
-            add(start, end)
-    if not found:
-        return []
+        spans.update(_values(text, line, begin, unquoted))
     out, line_no, seen = [], 1, 0
-    for begin in sorted(found):
-        line_no += text.count("\n", seen, begin)
-        seen = begin
-        out.append(Found(line_no, found[begin].start, found[begin].end))
+    for start, end in sorted(spans):
+        line_no += text.count("\n", seen, start)
+        seen = start
+        if out and start < out[-1].end and out[-1].line_no == line_no:
+            out[-1] = out[-1]._replace(end=max(out[-1].end, end))
+            continue
+        out.append(Found(line_no, start, end))
     return out
 
 
@@ -268,13 +260,12 @@ def redact(text: str, found: list[Found], mark: str = "*") -> bytes:
 
     Line ends inside a credential (a private key) stay, so lines keep their numbers.
     """
-    data = bytearray(text.encode("utf-8", "surrogatepass"))
-    for f in found:
-        low = len(text[: f.start].encode("utf-8", "surrogatepass"))
-        for i in range(low, low + len(text[f.start : f.end].encode("utf-8", "surrogatepass"))):
-            if data[i] not in b"\r\n":
-                data[i] = ord(mark)
-    return bytes(data)
+    parts, at, hidden = [], 0, re.compile(rb"[^\r\n]")
+    for f in sorted(found, key=lambda f: f.start):
+        start = max(at, f.start)
+        parts += [text[at:start].encode("utf-8", "surrogatepass"), hidden.sub(mark.encode(), text[start : f.end].encode("utf-8", "surrogatepass"))]
+        at = max(at, f.end)
+    return b"".join([*parts, text[at:].encode("utf-8", "surrogatepass")])
 
 
 _ROWS = "array<struct<line_no:int,start:int,end:int>>"
