@@ -27,6 +27,12 @@ from sondera.operators.latest import latest
 SECRET_WORDS = frozenset(
     "password passwd pwd passphrase passcode secret token apikey apitoken credential credentials authorization bearer pass".split()
 )
+#: Those of them whose value, in quotes, may be several words.
+PHRASE_WORDS = frozenset("password passwd pwd passphrase passcode".split())
+#: What a text shown to users has and a passphrase doesn't.
+_SENTENCE = re.compile(
+    r"(?i)\b(?:pass(?:word|phrase|code|wd)s?|your|you|please|enter|type|must|should|invalid|required|incorrect|wrong|forgot(?:ten)?|confirm|log ?in|user(?:name)?)\b|[\n{}<>]|%[(\w]|\$[{(]|[.?:…]\s*$"
+)
 #: Words before "key" that make it a secret's name.
 KEY_OWNERS = frozenset("api secret private access signing encryption service auth master account deploy storage session hmac client app admin".split())
 #: What stands in a place of a secret, in lower case.
@@ -48,10 +54,13 @@ _ISSUED = re.compile(
     r"|[a-z]{2,6}_(?=[A-Za-z0-9]*\d)(?=[A-Za-z0-9]*[A-Z])(?=[A-Za-z0-9]*[a-z])[A-Za-z0-9]{24,}|[a-z]{2,5}-(?:prod|live)-(?=[A-Za-z0-9]*\d)(?=[A-Za-z0-9]*[A-Z])[A-Za-z0-9]{16,})(?![A-Za-z0-9_\-/+=])"
 )
 _SCHEME = re.compile(r"(?i)(?<![\w])(?:bearer|basic|token)\s+([A-Za-z0-9._~+/=\-]{16,})")
-_URL = re.compile(r"[A-Za-z][A-Za-z0-9+.\-]{1,20}://[^\s:/@'\"`<>]{0,80}:([^\s@/'\"`<>]{1,120})@[\w.\-\[]")
+_URL = re.compile(r"[A-Za-z][A-Za-z0-9+.\-]{1,20}://[^\s:/@'\"`<>]*:([^\s@/'\"`<>]+)@[\w.\-\[]")
 _BEGIN = re.compile(r"-----BEGIN (?:[A-Z0-9]+ ){0,3}PRIVATE KEY(?: BLOCK)?-----")
 _END = re.compile(r"-----END (?:[A-Z0-9]+ ){0,3}PRIVATE KEY(?: BLOCK)?-----")
 _KEY_BODY = re.compile(r"[A-Za-z0-9+/=]{16,}")
+#: What may stand between two lines of a key: line ends (written out, too), quotes, signs of joining and of remarks.
+_KEY_BREAK = re.compile(r"(?:\\[rn]|[\s\"'`+,;|>#*.()\\]|//)*")
+_KEY_PART = re.compile(r"[A-Za-z0-9+/=]+")
 
 #: A line without one of these can't hold a credential.
 _HINT = re.compile(
@@ -64,7 +73,8 @@ _QUOTED = r"(?P<q>[rbuf]{0,2}(?:\"\"\"|'''|\"|'|`))"
 _KEY = r"(?P<key>[A-Za-z_][A-Za-z0-9_.\-]*)"
 #: key, then what may close a subscript or a quoted key, a type, and a sign of assignment or comparison
 _ASSIGN = re.compile(
-    _KEY + r"(?:[\"'`]\s*)?\]?\)?\s*(?::\s*(?:str|string|String|bytes|Optional\[str\]|\*?string)\s*)?(?P<op>:=|===?|!==?|=>|=|:|\bwas\b|\bis\b|,(?=\s*[\"'`]))[ \t]*\(?[ \t]*"
+    # from the beginning of a word and without going back in it, so a very long one is read once
+    r"(?<![A-Za-z0-9_.\-])[0-9.\-]*+(?P<key>[A-Za-z_][A-Za-z0-9_.\-]*+)" + r"(?:[\"'`]\s*)?\]?\)?\s*(?::\s*(?:str|string|String|bytes|Optional\[str\]|\*?string)\s*)?(?P<op>:=|===?|!==?|=>|=|:|\bwas\b|\bis\b|,(?=\s*[\"'`]))[ \t]*\(?[ \t]*"
 )
 _DEFINE = re.compile(r"#\s*define\s+" + _KEY + r"[ \t]+")
 _FLAG = re.compile(r"(?<![\w\-])--(?P<key>[A-Za-z][A-Za-z0-9\-]*)(?:=|[ \t]+)")
@@ -101,18 +111,24 @@ def is_secret_name(key: str) -> bool:
     return words[-1] in SECRET_WORDS and not (len(words) > 1 and words[-2] in ("max", "min", "num", "n", "total"))
 
 
-def is_secret_value(value: str) -> bool:
-    """Whether a value can be a secret: no placeholder, reference, path, number or phrase."""
+def _may_be_words(key: str) -> bool:
+    """Whether a key's last word names a secret that can be of several words."""
+    words = [w.lower() for w in _WORDS.findall(key.rsplit(".", 1)[-1]) if not w.isdigit()]
+    return bool(words) and words[-1] in PHRASE_WORDS
+
+
+def is_secret_value(value: str, words: bool = False) -> bool:
+    """Whether a value can be a secret: no placeholder, reference, path, number or, without ``words``, phrase."""
     value = value.strip()
     scheme = re.match(r"(?i)(?:bearer|basic|token)\s+(.*)$", value)
     if scheme:
         value = scheme[1]
     bare = value.strip("\"'`")
     return (
-        5 <= len(bare) <= 4096
+        5 <= len(bare)
         and bare.lower() not in PLACEHOLDERS
         and not any(p.search(bare) for p in (_HOLDER_PART, _REFERENCE, _PATH, _NUMBER))
-        and not re.search(r"\s", bare)
+        and (not re.search(r"\s", bare) or (words and not _SENTENCE.search(bare)))
         and "://" not in bare
     )
 
@@ -169,8 +185,12 @@ def find(text: str, kind: str = "") -> list[Found]:
         if block:
             at = begin + block.start()
             ending = _END.search(text, at)
+            after = begin + block.end()
             last = ending.end() if ending else min(len(text), at + 4096)
-            if _KEY_BODY.search(text[begin + block.end() : last].replace("\\n", "\n")):
+            body = _KEY_BODY.search(text[after:last].replace("\\n", " \n"))
+            if body:
+                if not ending:
+                    last = _key_end(text, after + body.start())
                 spans.add((at, last))
                 closed = last if ending else stop
         spans.update(_values(text, line, begin, unquoted))
@@ -185,6 +205,20 @@ def find(text: str, kind: str = "") -> list[Found]:
     return out
 
 
+def _key_end(text: str, at: int) -> int:
+    """Where the lines of a private key end that begin at ``at`` and have no end mark."""
+    end = at
+    while True:
+        part = _KEY_PART.match(text, _KEY_BREAK.match(text, end).end())
+        if not part:
+            return end
+        if len(part[0]) < 16:
+            # the last line is shorter: a group of four, or what is left where the text is cut
+            whole = len(part[0]) % 4 == 0 and re.search(r"[A-Z0-9+/=]", part[0]) and re.match(r"[\"'`,;)]|\s*$|\\[rn]", text[part.end() : part.end() + 2], re.M)
+            return part.end() if whole or part.end() == len(text) else end
+        end = part.end()
+
+
 def _values(text: str, line: str, begin: int, unquoted: bool):
     """Where the credentials of one line stand."""
     remark = bool(_REMARK.match(line))
@@ -199,7 +233,7 @@ def _values(text: str, line: str, begin: int, unquoted: bool):
         if is_secret_value(m[1]) and re.search(r"\d|[A-Z]", m[1]) and re.search(r"(?i)authori[sz]ation|bearer|basic", line) and len(set(m[1])) > 6:
             yield begin + m.start(1), begin + m.end(1)
     for m in _TAG.finditer(line):
-        if is_secret_name(m["key"]) and is_secret_value(m["value"]):
+        if is_secret_name(m["key"]) and is_secret_value(m["value"], _may_be_words(m["key"])):
             yield begin + m.start("value"), begin + m.end("value")
     for pattern in (_ATTRS, _DEFINE, _FLAG, _ASSIGN):
         at = 0
@@ -214,7 +248,7 @@ def _values(text: str, line: str, begin: int, unquoted: bool):
             op = m.groupdict().get("op") or ""
             literal = _read_quoted(text, place)
             if literal:
-                if is_secret_value(literal[2]) and not (op == "," and not re.search(r"(?i)getenv|environ|get\w*\(|default|setting|config|header|set\w*\(", line)):
+                if is_secret_value(literal[2], op not in (",", "==", "!=", "===", "!==") and _may_be_words(m["key"])) and not (op == "," and not re.search(r"(?i)getenv|environ|get\w*\(|default|setting|config|header|set\w*\(", line)):
                     yield literal[0], literal[1]
                 continue
             if op in ("==", "!=", "===", "!==", ","):
@@ -222,7 +256,7 @@ def _values(text: str, line: str, begin: int, unquoted: bool):
             rest = re.match(r"((?:(?i:bearer|basic|token)[ \t]+)?[^\s\"'`,;]+)[,;]?[ \t]*(?:(?:#|//).*)?\r?$", text[place : begin + len(line)])
             value = rest[1] if rest else ""
             if not value and not text[place : begin + len(line)].strip(" \t\r>|-+(\\"):
-                yield from _below(text, begin + len(line), unquoted)
+                yield from _below(text, begin + len(line), unquoted, m["key"])
             elif value and (unquoted or remark or pattern is _FLAG) and _plain_value(value, remark or op in ("was", "is")):
                 if op == "is" and not re.search(r"\d", value):
                     continue
@@ -233,10 +267,10 @@ def _values(text: str, line: str, begin: int, unquoted: bool):
                     yield place, place + len(one[0])
     name = _NAME_ONLY.match(line)
     if name and is_secret_name(name["key"]):
-        yield from _below(text, begin + len(line), unquoted, True)
+        yield from _below(text, begin + len(line), unquoted, name["key"], True)
 
 
-def _below(text: str, at: int, unquoted: bool, named: bool = False):
+def _below(text: str, at: int, unquoted: bool, key: str, named: bool = False):
     """The value on the line after a key that stands alone."""
     begin = at + 1
     stop = text.find("\n", begin)
@@ -247,7 +281,7 @@ def _below(text: str, at: int, unquoted: bool, named: bool = False):
     place = begin + (own.end() if own else len(line) - len(line.lstrip()))
     literal = _read_quoted(text, place)
     if literal:
-        if is_secret_value(literal[2]):
+        if is_secret_value(literal[2], _may_be_words(key)):
             yield literal[0], literal[1]
     elif unquoted:
         value = text[place : begin + len(line)].strip().rstrip(",;")
