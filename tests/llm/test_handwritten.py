@@ -1,7 +1,6 @@
 """Files that no project member wrote by hand."""
 
 import random
-import zlib
 
 import pandas as pd
 import pytest
@@ -46,13 +45,14 @@ def test_files(spark, chunk):
     def add(path, *texts, repo="own", **more):
         rows.extend({"chunk_id": f"{path}{i}", "source_path": path, "file_key": "/" + path, "repository_name": repo, "text": t, **more} for i, t in enumerate(texts))
 
-    for i in range(60):
-        code = "\n".join(f"def {rng.choice('load save read write'.split())}_{rng.randrange(99)}(value):\n    return value.{rng.choice('strip lower items'.split())}()" for _ in range(8))
-        add(f"r{i % 9}/src/f{i}.py", code, repo=f"r{i % 9}")
-        pool = "\n".join(f'_POOL_{rng.randrange(999)} = _pool.add("a.b{rng.randrange(99)}", {rng.randrange(999)}, b"x")' for _ in range(20))
-        add(f"r{i % 9}/core/g{i}.py", NOTICES[i % 6] + "\n" + pool, repo=f"r{i % 9}")
+    for i in range(120):
+        code = "\n".join(f"def {rng.choice('load save read write'.split())}_{rng.randrange(99)}(value):\n    {rng.choice(TALK)}\n    return value.{rng.choice('strip lower items'.split())}()" for _ in range(8))
+        add(f"r{i % 11}/src/f{i}.py", code, repo=f"r{i % 11}")
+        add(f"r{i % 11}/core/g{i}.py", NOTICES[i % 6].replace("x", rng.choice("abcdxyz")).replace("12", str(i)) + "\n" + _pool(rng), repo=f"r{i % 11}")
+        add(f"r{i % 11}/{rng.choice(('vendor', 'node_modules', 'app/deps'))}/v{i}.py", code, repo=f"r{i % 11}")
     add("r0/deep/late.py", "x = 1", "y = 2\n" + NOTICES[5])
     add("r0/talk.py", TALK[0] + "\nx = 1")
+    add("r0/quiet.py", _pool(rng))
     add("r0/readme.md", NOTICES[0])
     add("r0/conf.yaml", "a: 1")
     add("r0/pnpm-lock.yaml", "a: 1")
@@ -60,46 +60,60 @@ def test_files(spark, chunk):
     df = chunk(*rows, extra={"signs": 1, "data": 2, "repository": "x"})
     df = df.unionByName(df.limit(10))
     got = {r["file_key"]: r["signs"] for r in hw.foreign_files(df).collect()}
-    assert "generated:notice" in got["/r0/deep/late.py"] and got["/r0/talk.py"] == [] and got["/o.py"] == [] and "generated:lock" in got["/r0/pnpm-lock.yaml"]
+    assert "generated:remark" in got["/r0/deep/late.py"] and got["/r0/talk.py"] == [] and got["/o.py"] == [] and "/r0/pnpm-lock.yaml" in got
     assert not {"/r0/readme.md", "/r0/conf.yaml", "/m.py", "/q.py"} & set(got)
-    # the classifier knows them too, though it never saw the notices
-    assert sum("generated:classifier" in got[f"/r{i % 9}/core/g{i}.py"] for i in range(60)) >= 55
-    assert sum(bool(got[f"/r{i % 9}/src/f{i}.py"]) for i in range(60)) <= 1
+    # the classifier of texts knows what is made, though it never saw the notices
+    assert "generated:text" in got["/r0/quiet.py"]
+    assert sum("generated:text" in got[f"/r{i % 11}/core/g{i}.py"] for i in range(120)) >= 110
+    assert sum(any(s.startswith("vendored") for s in signs) for f, signs in got.items() if "/v" in f.rsplit("/", 1)[-1] or "/v" in f) >= 115
+    assert sum(bool(got[f"/r{i % 11}/src/f{i}.py"]) for i in range(120)) <= 2
     assert hw.foreign_files(df.limit(0)).count() == 0
 
 
+def _pool(rng):
+    return "\n".join(f'_POOL_{rng.randrange(999)} = _pool.add("a.b{rng.randrange(99)}", {rng.randrange(999)}, b"x")' for _ in range(20))
+
+
+def _row(text, path, repository, signs):
+    return text, path, repository, signs, hw.text_bins(text), hw.remarks(text)
+
+
+COLUMNS = ["text", "source_path", "repository", "signs", "bins", "remarks"]
+
+
 def test_classifier_without_notices():
     rng = random.Random(10)
     hand = lambda: "\n".join(f"def {rng.choice('load save read'.split())}_{rng.randrange(99)}(value):\n    return value.{rng.choice('strip lower'.split())}()" for _ in range(8))
-    made = lambda: "\n".join(f'_POOL_{rng.randrange(999)} = _pool.add("a.b{rng.randrange(99)}", {rng.randrange(999)}, b"x")' for _ in range(15))
-    rows = [(hand(), f"r{i % 11}/src/f{i}.py", f"r{i % 11}", [], []) for i in range(80)] + [(NOTICES[i % 6] + "\n" + made(), f"r{i % 11}/src/g{i}.py", f"r{i % 11}", ["generated:notice"], ["generated"]) for i in range(60)]
-    model = hw.Classifiers(pd.DataFrame(rows, columns=["text", "source_path", "repository", "signs", "kinds"]))
-    assert model.report["generated"]["precision"] >= 0.97 and model.report["generated"]["recall"] >= 0.9
-    assert sum("generated" in model.kinds(made(), f"new/src/x{i}.py") for i in range(20)) >= 18
-    assert sum(bool(model.kinds(hand(), f"new/src/y{i}.py")) for i in range(20)) <= 1
-
-
-def test_classifier_needs_examples():
-    sample = pd.DataFrame({"text": ["a b", "c d"], "source_path": ["x.py", None], "repository": ["r", None], "signs": [["generated:notice"], []], "kinds": [["generated"], []]})
-    assert hw.Classifiers(sample).kinds("a b", "x.py") == []
-
-
-def test_thresholds_do_not_depend_on_the_size_of_the_table(caplog):
-    """A larger table of the same mixture gives the same classifier; kinds without one are reported."""
-    rng, rows = random.Random(5), []
-    for i in range(480):
-        made = i % 2 == 0
-        # one clean file of a held-out repository is like the generated ones
-        like = made or i == 1
-        words = [rng.choice(("stub_marshal", "field_tag", "wire_type") if like else ("weather", "river", "garden")) for _ in range(40)]
-        signs = (["generated:notice"], ["generated"]) if made else ([], [])
-        rows.append((" ".join(words), f"r/f{i}.py", HELD if i % 4 < 2 else TAUGHT, *signs))
-    sample = pd.DataFrame(rows, columns=["text", "source_path", "repository", "signs", "kinds"])
-    small, large = hw.Classifiers(sample), hw.Classifiers(sample, 33.0, kind_weights={"generated": 33.0})
-    assert small.threshold[0] == large.threshold[0] < float("inf") and large.report["generated"] == pytest.approx(small.report["generated"])
-    assert large.report["minified"] == {"threshold": float("inf"), "examples": 0} and "no classifier of minified files" in caplog.text
-    assert hw.Classifiers(sample, 33.0).threshold[0] == float("inf")
-
-
-#: Repositories that are held out and that are not.
-HELD, TAUGHT = (next(f"r{i}" for i in range(99) if (zlib.crc32(f"r{i}".encode()) % 4 == 0) == held) for held in (True, False))
+    rows = [_row(hand(), f"r{i % 11}/src/f{i}.py", f"r{i % 11}", []) for i in range(80)] + [_row(NOTICES[i % 6] + "\n" + _pool(rng), f"r{i % 11}/src/g{i}.py", f"r{i % 11}", ["generated:notice"]) for i in range(60)]
+    model = hw.Classifiers(pd.DataFrame(rows, columns=COLUMNS))
+    judged = model.report["generated", "text"]
+    assert judged["precision"] >= 0.97 and judged["recall"] >= 0.9
+    assert model.judge([_pool(rng) for _ in range(20)], ["new/src/x.py"] * 20)[:, 0, 0].sum() >= 18
+    assert model.judge([hand() for _ in range(20)], ["new/src/y.py"] * 20).any(axis=(1, 2)).sum() <= 1
+
+
+def test_classifier_needs_examples(caplog):
+    sample = pd.DataFrame([_row("a b", "x.py", "r", ["generated:notice"]), _row("c d", None, None, [])], columns=COLUMNS)
+    model = hw.Classifiers(sample)
+    assert not model.judge(["a b", ""], ["x.py", None]).any() and "no classifier of minified files" in caplog.text
+    assert model.report["minified", "text"] == {"threshold": float("inf"), "examples": 0}
+
+
+def test_cut():
+    import numpy as np
+
+    cut, precision, recall = hw.best_cut(np.array([3.0, 2.0, 1.0, 0.0, -1.0]), np.array([True, True, False, True, False]), 0.97)
+    assert (cut, precision) == (1.5, 1.0) and recall == pytest.approx(2 / 3)
+    assert hw.best_cut(np.array([1.0, 1.0]), np.array([True, False]), 0.97)[0] == float("inf") and hw.best_cut(np.array([]), np.array([], bool), 0.9)[0] == float("inf")
+
+
+def test_remarks_are_judged_line_by_line():
+    """A notice among many other remarks counts as one that stands alone; a long line too."""
+    rng, rows = random.Random(4), []
+    for i in range(200):
+        line = f"# Code generated by tool{i}. DO NOT EDIT." if i % 2 else rng.choice(TALK)
+        rows.append(_row(line + f"\nx{i} = {i}", f"r{i % 13}/a{i}.py", f"r{i % 13}", ["generated:notice"] if i % 2 else []))
+    model = hw.Classifiers(pd.DataFrame(rows, columns=COLUMNS))
+    many = "\n".join(TALK * 50)
+    said = model.judge([many + "\n# Code generated by abc. DO NOT EDIT.", many, "# " + "word " * 5000], ["q/b.py"] * 3)[:, 0, 2]
+    assert said.tolist() == [True, False, False]
