@@ -41,8 +41,8 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Lines on which credentials begin."""
-    found = credentials.find_credentials(_table(spark, folder, "chunks"))
-    return found.select("chunk_id", F.explode("found.line_no").alias("line_no")).distinct()
+    found = credentials.find_credentials(_table(spark, folder, "chunks")).select("chunk_id", F.explode("found").alias("f"))
+    return found.where("f.begins").select("chunk_id", F.col("f.line_no").alias("line_no")).distinct()
 
 
 def p4_redacted(spark: SparkSession, folder: str) -> DataFrame:
