@@ -85,7 +85,9 @@ def plan_mixture(documents: DataFrame, targets: DataFrame, total_tokens: int | N
         F.greatest(F.coalesce(F.max("target_share"), F.lit(0.0)), F.lit(0.0)).alias("target_share"),
         F.greatest(F.coalesce(F.min("max_repeats"), F.lit(0)), F.lit(0)).alias("max_repeats"),
     )
-    ordered = sized(documents, vocabulary).join(wanted.select("source"), "source").where("tokens > 0")
+    # counted once: ranges are cut from a sample of what is ordered, which else would be counted twice
+    counted = settle(sized(documents, vocabulary))
+    ordered = counted.join(wanted.select("source"), "source").where("tokens > 0")
     ordered = ordered.repartitionByRange("source", "place", "doc_id").sortWithinPartitions("source", "place", "doc_id")
     ordered = settle(ordered.withColumn("part", F.spark_partition_id()))
 
