@@ -20,7 +20,10 @@ def versions(chunks: DataFrame, *columns: str) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """The rows over at least as many partitions as there are cores, if they are in fewer (one small file, say)."""
+    """The rows over at least as many partitions as there are cores, if they are in fewer (one small file, say).
+
+    Only where the work lies depends on this, never what comes out.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores, key) if not df.isStreaming and df.rdd.getNumPartitions() < cores else df
 
@@ -61,18 +64,25 @@ def suffix(path: Column) -> Column:
 
 
 class KeyFilter:
-    """A filter of fixed size that tells apart most of what isn't among some 64-bit keys.
+    """A filter of bounded size that tells apart most of what isn't among some 64-bit keys.
 
-    However many keys there are, the driver and the tasks hold ``bits`` bits;
-    with very many keys it only lets more through. What it lets through must be
-    joined with the keys still.
+    It has sixteen bits for each key, but ``most`` bits (32 MB) at most: beyond
+    16 million keys it lets more through. What it lets through must be joined
+    with the keys still, so its size never changes a result. Executors make
+    the bitmaps; the driver sees these alone, no keys.
     """
 
-    def __init__(self, keys: DataFrame, column: str, bits: int = 1 << 24):
-        self.bits = bits
-        marks = np.zeros(bits, dtype=bool)
-        marks[keys.select(F.pmod(F.col(column), F.lit(bits)).cast("int").alias("bit")).distinct().toPandas()["bit"].to_numpy(dtype=np.int64)] = True
-        self.packed = keys.sparkSession.sparkContext.broadcast(np.packbits(marks))
+    def __init__(self, keys: DataFrame, column: str, most: int = 1 << 28):
+        self.bits = 1 << 18
+        while self.bits < min(most, 16 * keys.count()):
+            self.bits <<= 1
+        at = F.pmod(F.col(column), F.lit(self.bits)) + 1
+        made = keys.select(F.bitmap_bucket_number(at).alias("block"), F.bitmap_bit_position(at).alias("bit")).groupBy("block").agg(F.bitmap_construct_agg("bit").alias("marks"))
+        packed = np.zeros(self.bits >> 3, np.uint8)
+        size = 1 << 12
+        for block, marks in made.toLocalIterator():
+            packed[(block - 1) * size : block * size] = np.frombuffer(marks, np.uint8)
+        self.packed = keys.sparkSession.sparkContext.broadcast(packed)
 
     def __getstate__(self) -> dict:
         return {"bits": self.bits, "packed": self.packed}
@@ -80,4 +90,4 @@ class KeyFilter:
     def passes(self, keys: np.ndarray) -> np.ndarray:
         """For each signed or unsigned 64-bit key whether it may be among the keys."""
         at = (keys.astype(np.int64, copy=False) % self.bits).astype(np.int64)
-        return (self.packed.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+        return (self.packed.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1

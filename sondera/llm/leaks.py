@@ -20,7 +20,7 @@ from sondera.llm.columns import KeyFilter, spread
 from sondera.llm.neardup import WordCodes, mix
 from sondera.session import settle
 
-_MARKUP = re.compile(r"<[^<>\n]{0,200}>|&[a-z]{2,8};|\]\([^)\s]*\)")
+_MARKUP = re.compile(r"<[^<>\n]*>|&[a-z]{2,8};|\]\([^)\s]*\)")
 _WORD = re.compile(r"[^\W_]+")
 
 def words(text: str | None) -> list[str]:
@@ -55,7 +55,7 @@ def passages(items: DataFrame, common: float = 0.02) -> DataFrame:
     and more than ``common`` of all begin with it. Of repeated item ids one
     counts; items without an id or a text are left out.
     """
-    first = F.regexp_extract("text", r"^\s*([^.!?\n]{1,300}[.!?:])\s", 1)
+    first = F.regexp_extract("text", r"^\s*([^.!?\n]+[.!?:])\s", 1)
     rows = items.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).groupBy("item_id").agg(F.max("text").alias("text")).withColumn("_first", first)
     counts = rows.where("_first <> ''").groupBy("_first").agg(F.count("*").alias("_n"))
     shared = counts.where(F.col("_n") > max(3, common * rows.count())).select("_first", F.lit(True).alias("_common"))
@@ -63,6 +63,10 @@ def passages(items: DataFrame, common: float = 0.02) -> DataFrame:
     return joined.select("item_id", F.when(F.col("_common"), F.substring(F.ltrim("text"), F.length("_first") + 1, F.length("text"))).otherwise(F.col("text")).alias("text"))
 
 
+#: Parts of a seed's documents.
+SALTS = 8
+
+
 def leaked_passages(documents: DataFrame, items: DataFrame, width: int = 4, near: int = 6, keep: int = 3, least: int = 2, part: float = 0.5, edits: float = 0.15) -> DataFrame:
     """Pairs of a document and an item that leaked into it: doc_id, item_id, matched, item_words, edits.
 
@@ -89,21 +93,19 @@ def leaked_passages(documents: DataFrame, items: DataFrame, width: int = 4, near
                     yield pd.DataFrame({"item_id": item, "at": np.arange(len(seeds)), "seed": seeds.view(np.int64), "item_words": len(coded)})
 
     seeds = settle(held.mapInPandas(item_seeds, "item_id long, at int, seed long, item_words int"))
-    # bounded, whatever the number of items
-    known = KeyFilter(seeds, "seed", bits=1 << 22)
+    known = KeyFilter(seeds, "seed")
 
     def doc_seeds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codes = WordCodes()
         for batch in batches:
-            ids, found = [], []
-            for doc, text in zip(batch["doc_id"], batch["text"]):
-                made = runs(_coded(text, codes), width).view(np.int64)
-                made = np.unique(made[known.passes(made)])
-                if len(made):
-                    ids.append(np.full(len(made), doc, dtype=np.int64))
-                    found.append(made)
-            if ids:
-                yield pd.DataFrame({"doc_id": np.concatenate(ids), "seed": np.concatenate(found)})
+            # the runs of a whole batch at once, but for those across two documents
+            coded = [_coded(t, codes) for t in batch["text"]]
+            sizes = np.array([len(c) for c in coded], np.int64)
+            owner = np.repeat(np.arange(len(coded)), sizes)
+            every = runs(np.concatenate(coded), width).view(np.int64) if len(coded) else np.empty(0, np.int64)
+            at = np.flatnonzero((owner[: len(every)] == owner[width - 1 : width - 1 + len(every)]) & known.passes(every))
+            found = pd.DataFrame({"doc_id": batch["doc_id"].to_numpy()[owner[at]], "seed": every[at]})
+            yield found.drop_duplicates()
 
     texts = documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long"), "text")
     texts = spread(texts, "doc_id")
@@ -121,14 +123,29 @@ def leaked_passages(documents: DataFrame, items: DataFrame, width: int = 4, near
     kept = kept.withColumn("_chosen", chosen).where("_chosen").select("seed", "item_id").distinct()
     # as many seeds as the passage has, if it has fewer than asked for
     need = seeds.groupBy("item_id").agg(F.least(F.lit(least), F.countDistinct("seed")).alias("_need"))
-    candidates = hits.join(kept, "seed").groupBy("doc_id", "item_id").agg(F.count("*").alias("_n")).join(need, "item_id").where(F.col("_n") >= F.col("_need"))
-    pairs = candidates.select("doc_id", "item_id").join(texts, "doc_id").join(held.select("item_id", F.col("text").alias("passage")), "item_id")
+    # a seed that a third of all documents have is spread over some tasks
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("_salt")
+    salted = kept.select("seed", "item_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    candidates = hits.select("doc_id", "seed", salt).join(salted, ["seed", "_salt"]).groupBy("doc_id", "item_id").agg(F.count("*").alias("_n")).join(need, "item_id").where(F.col("_n") >= F.col("_need"))
+    candidates = settle(candidates.select("doc_id", "item_id"))
+    # only texts of candidates leave the scan
+    asked = KeyFilter(candidates.select(F.xxhash64("doc_id").alias("key")).distinct(), "key")
+
+    def wanted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.loc[asked.passes(batch["key"].to_numpy(dtype=np.int64)), ["doc_id", "text"]]
+
+    chosen = texts.select("doc_id", "text", F.xxhash64("doc_id").alias("key")).mapInPandas(wanted, "doc_id long, text string")
+    pairs = candidates.join(chosen, "doc_id").join(held.select("item_id", F.col("text").alias("passage")), "item_id")
 
     def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codes = WordCodes()
         for batch in batches:
             # a document or passage of several pairs is read once for a batch
             once = {t: _coded(t, codes) for t in {*batch["passage"], *batch["text"]}}
+            cut = {t: np.unique(runs(c, width)) for t, c in once.items()}
+            may = np.array([_may_fit(len(once[p]), cut[p], cut[t], width, part, edits) for p, t in zip(batch["passage"], batch["text"])], bool)
+            batch = batch[may]
             made = [(once[p], once[t]) for p, t in zip(batch["passage"], batch["text"])]
             results = best_stretches(made, limits=(part, edits))
             out = batch[["doc_id", "item_id"]].assign(
@@ -141,6 +158,17 @@ def leaked_passages(documents: DataFrame, items: DataFrame, width: int = 4, near
     return aligned.groupBy("doc_id", "item_id").agg(F.max(F.struct("matched", "item_words", "edits")).alias("_best")).select("doc_id", "item_id", "_best.*")
 
 
+def _may_fit(words: int, passage: np.ndarray, document: np.ndarray, width: int, part: float, edits: float) -> bool:
+    """Whether a document can hold a stretch within the limits: each edit costs as many runs of a passage as a run has words, no more.
+
+    Runs that a passage repeats count once, so as many as repeat are allowed for.
+    """
+    span = part * words
+    repeated = max(0, words - width + 1) - len(passage)
+    least = span - width + 1 - width * (edits * span + 0.5) - repeated
+    return least <= 0 or len(np.intersect1d(passage, document, assume_unique=True)) >= least - 1e-9
+
+
 #: Cells of a table of scores.
 CELLS = 6_000_000
 

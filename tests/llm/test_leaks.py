@@ -73,3 +73,33 @@ def test_long_document():
 
 def test_words():
     assert lk.words("**Bold** <i>and</i> [link](http://x.y) snake_case\nÉté") == ["bold", "and", "link", "snake", "case", "été"]
+
+
+def test_long_documents_in_a_frame(spark):
+    """A passage with one edit is found in documents of every length with all of its words, and isn't where it isn't."""
+    rng = random.Random(8)
+    item = passage(rng, 80)
+    edited = item[:30] + ["added"] + item[30:]
+    docs = []
+    for i, size in enumerate((10_000, 40_000, 70_000, 140_000)):
+        body = [f"n{rng.randrange(10**6)}" for _ in range(size)]
+        docs += [(i, " ".join(body[: size // 2] + edited + body[size // 2 :])), (100 + i, " ".join(body))]
+    got = lk.leaked_passages(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["matched"], r["edits"]) for r in got) == [(i, 80, 1) for i in range(4)]
+
+
+def test_what_cannot_fit_is_not_aligned():
+    """The bound on shared runs leaves out no stretch within the limits."""
+    rng = random.Random(6)
+    np = lk.np
+    for _ in range(300):
+        words = rng.randrange(4, 90)
+        p = np.array([rng.randrange(60) if rng.random() < 0.2 else rng.randrange(10**6) for _ in range(words)], np.uint64)
+        d = list(p[rng.randrange(max(1, words // 2)) :])
+        for _ in range(rng.randrange(0, 12)):
+            at = rng.randrange(len(d) + 1)
+            d[at : at + rng.randrange(2)] = [7_000_000] if rng.random() < 0.6 else []
+        d = np.array([8_000_000] * 5 + d + [8_000_000] * 5, np.uint64)
+        best = lk.best_stretches([(p, d)], limits=(0.5, 0.15))[0]
+        if lk._fits(best, words, 0.5, 0.15):
+            assert lk._may_fit(words, np.unique(lk.runs(p, 4)), np.unique(lk.runs(d, 4)), 4, 0.5, 0.15)
