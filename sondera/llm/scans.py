@@ -48,8 +48,8 @@ _EDGE_NUMBER = re.compile(rf"^[\[(\-–—|•·\s]*{_NUMBER}[\])\-–—|•·]
 _HEADING = re.compile(r"^\s*\d{1,3}(?:\.\d{1,3})*\.\s+\S")
 _TITLE_WORD = re.compile(r"^(?:[A-Z0-9][\w'’.\-]*|[-–—|/&·•:]|of|the|and|for|in|on|de|der|die|und|des|du|la|di|archive|vol\.?|no\.?)$")
 
-#: How many lines with text at either end of a page are its edges.
-EDGE_LINES = 3
+#: How many lines with text at either end of a page are its edges, and the fewest characters of a word that is corrected, unless told otherwise.
+EDGE_LINES, SHORTEST = 3, 3
 
 
 def fold(line: str) -> str:
@@ -63,14 +63,14 @@ def fold(line: str) -> str:
 def is_page_number(line: str) -> bool:
     """Whether a line holds a page number, in any style, and nothing else."""
     line = line.strip()
-    return bool(line) and len(line) <= 24 and bool(re.search(r"\w", line)) and not line.endswith((".", ",")) and bool(_PAGE_NUMBER.match(line))
+    return bool(line) and bool(re.search(r"\w", line)) and not line.endswith((".", ",")) and bool(_PAGE_NUMBER.match(line))
 
 
 def _lines(text: str) -> list[str]:
     return text.replace("\r\n", "\n").replace("\r", "\n").split("\n")
 
 
-def edge_lines(text: str) -> list[dict]:
+def edge_lines(text: str, many_lines: int = EDGE_LINES) -> list[dict]:
     """The lines at the edges of a page that may be headers, footers or page numbers."""
     lines = _lines(text)
     filled = [i for i, line in enumerate(lines) if line.strip()]
@@ -80,7 +80,7 @@ def edge_lines(text: str) -> list[dict]:
     out, many = [], len(filled)
     for rank, i in enumerate(filled):
         from_edge = min(rank, many - 1 - rank)
-        if from_edge >= EDGE_LINES:
+        if from_edge >= many_lines:
             continue
         line = lines[i].strip()
         if is_page_number(line):
@@ -88,7 +88,7 @@ def edge_lines(text: str) -> list[dict]:
             out.append({"line": i, "text": line, "fold": "", "kind": "pageno", "edge": from_edge, "alone": True})
             continue
         bare = _EDGE_NUMBER.sub("", line).strip() or line
-        if len(line) > 90 or line[-1] in ".!?,;:" + _BREAK or not re.search(r"[A-Za-z]", bare) or _HEADING.match(lines[i]):
+        if line[-1] in ".!?,;:" + _BREAK or not re.search(r"[A-Za-z]", bare) or _HEADING.match(lines[i]):
             continue
         words = bare.split()
         titled = all(_TITLE_WORD.match(w) for w in words) and bare[0].isupper() and sum(w[0].isupper() for w in words) * 2 > len(words)
@@ -185,11 +185,15 @@ class ScanRepair:
     document, or with a page number in their metadata; of each the latest
     version counts. Pages without a text or an id are left out; an empty page
     has no faults; pages without a file are taken together as one file's.
-    Corpus counts are over all pages. Other columns are ignored.
+    Corpus counts are over all pages. Headers, footers and page numbers are
+    looked for among the ``edge_lines`` lines with text at either end of a
+    page; words of fewer than ``shortest`` characters are left as they are,
+    since too many of them differ by one confusion. Building the object runs
+    the jobs that these frames come from. Other columns are ignored.
     """
 
-    def __init__(self, chunks: DataFrame, ratio: float = 5.0, least: int = 5):
-        self.ratio, self.least = ratio, least
+    def __init__(self, chunks: DataFrame, ratio: float = 5.0, least: int = 5, edge_lines: int = EDGE_LINES, shortest: int = SHORTEST):
+        self.ratio, self.least, self.edge_lines, self.shortest = ratio, least, edge_lines, shortest
         self.pages = settle(pages_of(chunks))
         self.edges = settle(self._edges())
         self.bodies = settle(self._bodies())
@@ -200,10 +204,12 @@ class ScanRepair:
     def _edges(self) -> DataFrame:
         schema = "chunk_id string, file_key string, line int, text string, fold string, kind string, edge int, alone boolean"
 
+        many = self.edge_lines
+
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             names = [part.split()[0] for part in schema.split(", ")]
             for batch in batches:
-                rows = [(c, f, *e.values()) for c, f, t in zip(batch["chunk_id"], batch["file_key"], batch["text"]) for e in edge_lines(t)]
+                rows = [(c, f, *e.values()) for c, f, t in zip(batch["chunk_id"], batch["file_key"], batch["text"]) for e in edge_lines(t, many)]
                 yield pd.DataFrame(rows, columns=names)
 
         found = self.pages.mapInPandas(run, schema)
@@ -250,7 +256,7 @@ class ScanRepair:
 
     def _corrections(self) -> DataFrame:
         """word, right: for every word that must be a misread one; of several candidates the likeliest."""
-        plain = F.col("word").rlike(r"\p{L}") & F.length("word").between(3, 60) & ~F.col("word").rlike(r"^[\dliosbzgq|]*\d[\dliosbzgq|]*$")
+        plain = F.col("word").rlike(r"\p{L}") & (F.length("word") >= self.shortest) & ~F.col("word").rlike(r"^[\dliosbzgq|]*\d[\dliosbzgq|]*$")
         whole = self.broken.select(F.col("whole").alias("word"))
         parts = self.vocabulary.select("word").unionByName(whole).where(F.col("word").contains("-")).select(F.explode(F.split("word", "-")).alias("word"))
         every = self.vocabulary.select("word", "n").unionByName(whole.unionByName(parts).distinct().withColumn("n", F.lit(0).cast("long")))
