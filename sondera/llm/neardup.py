@@ -165,15 +165,39 @@ def near_duplicate_classes(
     return members, links
 
 
+#: Copies of a text that a task sets against the others at once.
+COPIES = 4096
+
+
 def near_duplicate_pairs(chunks: DataFrame, **options) -> DataFrame:
     """All pairs of near-duplicate chunks: chunk_id_a < chunk_id_b.
 
     Lists copies of a text against each other too, so its size is that of the
-    answer; ``near_duplicate_classes`` has the same links in short form.
+    answer; ``near_duplicate_classes`` has the same links in short form. A
+    class of very many copies is divided among tasks.
     """
     members, links = near_duplicate_classes(chunks, **options)
     a = members.select(F.col("chunk_id").alias("chunk_id_a"), F.col("alike").alias("alike_a"))
     b = members.select(F.col("chunk_id").alias("chunk_id_b"), F.col("alike").alias("alike_b"))
-    same = a.join(b, F.col("alike_a") == F.col("alike_b")).where(F.col("chunk_id_a") < F.col("chunk_id_b")).select("chunk_id_a", "chunk_id_b")
+    parts = members.groupBy("alike").agg(F.count("*").alias("n")).where("n > 1").select("alike", F.ceil(F.col("n") / COPIES).cast("int").alias("parts"))
+    copies = members.join(parts, "alike")
+    one = copies.select("alike", F.pmod(F.xxhash64("chunk_id"), F.col("parts")).cast("int").alias("part"), F.col("chunk_id").alias("chunk_id_a"))
+    all_ = copies.select("alike", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("chunk_id").alias("chunk_id_b"))
+    same = one.join(all_, ["alike", "part"]).where(F.col("chunk_id_a") < F.col("chunk_id_b")).select("chunk_id_a", "chunk_id_b")
     linked = links.join(a, "alike_a").join(b, "alike_b")
     return same.unionByName(linked.select(F.least("chunk_id_a", "chunk_id_b").alias("chunk_id_a"), F.greatest("chunk_id_a", "chunk_id_b").alias("chunk_id_b")))
+
+
+def link_counts(chunks: DataFrame, **options) -> DataFrame:
+    """One row for each chunk that has a text: chunk_id, class_id, copies, links.
+
+    Chunks with the same set of runs are one class, named by its smallest
+    chunk_id; ``copies`` is how many chunks it has, ``links`` with how many
+    other chunks, of its own and other classes, a chunk is near-duplicate.
+    """
+    members, links = near_duplicate_classes(chunks, **options)
+    classes = members.groupBy("alike").agg(F.min("chunk_id").alias("class_id"), F.count("*").alias("copies"))
+    both = links.select(F.col("alike_a").alias("alike"), F.col("alike_b").alias("other")).unionByName(links.select(F.col("alike_b").alias("alike"), F.col("alike_a").alias("other")))
+    others = both.join(classes.select(F.col("alike").alias("other"), F.col("copies").alias("_of")), "other").groupBy("alike").agg(F.sum("_of").alias("_others"))
+    counted = classes.join(others, "alike", "left").withColumn("links", F.col("copies") - 1 + F.coalesce("_others", F.lit(0)))
+    return members.join(counted, "alike").select("chunk_id", "class_id", "copies", "links")

@@ -39,6 +39,11 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_duplicate_pairs(_table(spark, folder, "chunks"), width=3, threshold=0.6, least_words=30, bands=32, rows=3)
 
 
+def p3_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """Every chunk of at least 30 words with its class of copies and the number of its near-duplicates."""
+    return neardup.link_counts(_table(spark, folder, "chunks"), width=3, threshold=0.6, least_words=30, bands=32, rows=3)
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Lines on which credentials begin."""
     found = credentials.find_credentials(_table(spark, folder, "chunks")).select("chunk_id", F.explode("found").alias("f"))
@@ -105,7 +110,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found, "p1_files": p1_files,
         "p2_found": p2_found, "p2_pages": p2_pages,
-        "p3_found": p3_found,
+        "p3_found": p3_found, "p3_classes": p3_classes,
         "p4_found": p4_found, "p4_redacted": p4_redacted,
         "p5_found": p5_found, "p5_pieces": p5_pieces,
         "p6_found": p6_found, "p6_leaks": p6_leaks,

@@ -54,3 +54,36 @@ def test_min_max_signature():
     agree = (nd.signature(nd.np.unique(base), 2000, 1, 7) == nd.signature(nd.np.unique(alike), 2000, 1, 7)).mean()
     assert abs(agree - 240 / 360) < 0.06
     assert (nd.signature(base[::-1], 8, 3, 7) == nd.signature(base, 8, 3, 7)).all()
+
+
+def test_link_counts(spark, chunk):
+    texts = family(random.Random(3), 30)
+    texts |= {f"copy{i}": texts["d0000"] for i in range(7)}
+    rows = chunk(*[{"chunk_id": k, "text": t} for k, t in texts.items()])
+    pairs = brute(texts, 3, 0.6, 30)
+    got = {r["chunk_id"]: r for r in nd.link_counts(rows, width=3, threshold=0.6, least_words=30, bands=32, rows=3).collect()}
+    assert {k: r["links"] for k, r in got.items()} == {k: sum(k in p for p in pairs) for k in texts}
+    assert got["copy3"]["class_id"] == "copy0" and got["copy3"]["copies"] == 8
+    assert nd.link_counts(rows.limit(0)).count() == 0
+
+
+def test_many_copies(spark, chunk, monkeypatch):
+    """A class that is divided among tasks gives the same pairs."""
+    monkeypatch.setattr(nd, "COPIES", 4)
+    rows = chunk(*[{"chunk_id": f"c{i:02d}", "text": "one and the same text of some words"} for i in range(30)])
+    got = [tuple(r) for r in nd.near_duplicate_pairs(rows).collect()]
+    assert len(got) == len(set(got)) == 435
+
+
+def test_key_filter(spark):
+    from sondera.llm.columns import KeyFilter
+
+    keys = nd.np.random.default_rng(1).integers(-(2**63), 2**63 - 1, 3000)
+    frame = spark.createDataFrame([(int(k),) for k in keys], "key long")
+    for most in (1 << 28, 1 << 12):
+        known = KeyFilter(frame, "key", most)
+        assert known.passes(keys).all()
+    other = nd.np.random.default_rng(2).integers(-(2**63), 2**63 - 1, 20_000)
+    known = KeyFilter(frame, "key")
+    assert known.passes(other).mean() < 0.1 and known.packed.value.nbytes <= 1 << 15
+    assert not KeyFilter(frame.limit(0), "key").passes(other).any()
