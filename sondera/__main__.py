@@ -1,4 +1,4 @@
-"""Command line: python -m sondera create|list|validate|index|watch|reembed|search|evaluate|status|delete-index."""
+"""Command line: python -m sondera create|init-docs|list|validate|noise|index|watch|stop|reembed|search|evaluate|status|delete-index."""
 
 from __future__ import annotations
 
@@ -17,9 +17,12 @@ def _parser() -> argparse.ArgumentParser:
     create = commands.add_parser("create", help="write a new instance's settings")
     create.add_argument("name")
     create.add_argument("sources", nargs="+")
+    docs = commands.add_parser("init-docs", help="write settings of an instance over a folder of documentation")
+    docs.add_argument("folder")
+    docs.add_argument("--name", default="sondera-docs")
     commands.add_parser("list", help="list the instances")
     for name, text in (
-        ("validate", "check the settings"), ("index", "index what changed"), ("watch", "index again and again"), ("reembed", "embed all anew"),
+        ("validate", "check the settings"), ("noise", "files that would be noise in the index"), ("stop", "end a running watch"), ("index", "index what changed"), ("watch", "index again and again"), ("reembed", "embed all anew"),
         ("search", "search"), ("evaluate", "recall and reciprocal rank over a file of queries"), ("status", "count what is stored"), ("delete-index", "delete what is stored"),
     ):
         sub = commands.add_parser(name, help=text)
@@ -27,6 +30,8 @@ def _parser() -> argparse.ArgumentParser:
         if name == "index":
             sub.add_argument("--force", action="store_true")
             sub.add_argument("--embed", action="store_true")
+        if name == "noise":
+            sub.add_argument("--ignore", action="append", default=[], metavar="CATEGORY", help="ignore the files of a category from now on")
         if name == "search":
             sub.add_argument("query")
             sub.add_argument("--limit", type=int, default=8)
@@ -42,6 +47,9 @@ def main(args: list[str] | None = None) -> int:
     if a.command == "create":
         print(cf.create(a.name, a.sources))
         return 0
+    if a.command == "init-docs":
+        print(cf.create_for_docs(a.folder, a.name))
+        return 0
     if a.command == "list":
         for path, config in cf.listed():
             print(f"{config.knowledge.id}\t{path}")
@@ -52,6 +60,12 @@ def main(args: list[str] | None = None) -> int:
         print("missing: " + ", ".join(missing) if missing else "ok")
         return int(bool(missing))
 
+    stop = Path(config.storage.path) / "watch.stop"
+    if a.command == "stop":
+        stop.parent.mkdir(parents=True, exist_ok=True)
+        stop.touch()
+        return 0
+
     from pyspark.sql import functions as F
 
     from sondera import engine as en
@@ -64,12 +78,19 @@ def main(args: list[str] | None = None) -> int:
     if a.command == "index":
         print(json.dumps(vars(en.index_config(spark, config, a.force, a.embed, lambda e, p: print(e, p, file=sys.stderr)))))
     elif a.command == "watch":
+        stop.unlink(missing_ok=True)
         query = watch(spark, lambda: en.index_config(spark, config, embed=config.indexing.embed_on_watch), f"{config.storage.path}/watch", f"{config.indexing.debounce_seconds:g} seconds")
         try:
-            while query.isActive:
+            while query.isActive and not stop.exists():
                 time.sleep(1)
         except KeyboardInterrupt:
-            query.stop()
+            pass
+        query.stop()
+        stop.unlink(missing_ok=True)
+    elif a.command == "noise":
+        if a.ignore:
+            print(en.ignore_noise(config, a.ignore, cf.resolve(a.name)))
+        en.noise(spark, config).show(truncate=False)
     elif a.command == "reembed":
         print(en.embed_config(spark, config, recreate=True))
     elif a.command == "delete-index":

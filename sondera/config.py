@@ -92,6 +92,8 @@ class Parsing:
     max_chunk_tokens: int | None = 1200
     chunk_overlap_tokens: int = 100
     ocr: bool = False
+    table_structure: bool = False
+    force_backend_text: bool = True
 
 
 @dataclass
@@ -204,6 +206,20 @@ def create(knowledge_id: str, sources: list[str], name: str = "", folder: Path |
     return path
 
 
+def create_for_docs(docs: str | Path, knowledge_id: str = "sondera-docs", folder: Path | None = None) -> Path:
+    """Settings of an instance over a folder of documentation, to try the engine out on: documents only."""
+    path = create(knowledge_id, [str(docs)], "Documentation", folder)
+    config = load(path)
+    config.sources = Sources(documents=[Source(path=s.path, type="documents") for s in config.sources.code])
+    path.write_text(dump(config), encoding="utf-8")
+    return path
+
+
+def save(config: Config, path: str | Path) -> None:
+    """Write settings over those of a file."""
+    Path(path).write_text(dump(config), encoding="utf-8")
+
+
 def listed(folder: Path | None = None) -> list[tuple[Path, Config]]:
     """The registry's instances by name; files that can't be read are passed over."""
     out = []

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import logging
+import re
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
-from typing import Any
+from pathlib import Path
+from typing import Any, NamedTuple, Protocol
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,20 +18,51 @@ from sondera import schema as sc
 from sondera.functions import citations as ct
 from sondera.functions import text as tx
 from sondera.operators import dense, evaluate, fusion, index, lexical, lookup, normalize
-from sondera.operators import filters as flt
+from sondera.operators.words import WordIndex, WordStore
+from sondera.session import settle
 from sondera.sources import files, git
 
+_LOG = logging.getLogger(__name__)
+
 CORPORA = ("all", "code", "documents")
 
 
-def corpus(chunks: DataFrame, which: str) -> DataFrame:
-    """The code or the documents of a corpus; code without that mark is what isn't a document."""
-    if which not in CORPORA:
-        raise ValueError(f"corpus must be one of {', '.join(CORPORA)}")
-    document = ct.is_document(F.col("document_type"), F.col("source_type"), F.get_json_object("metadata", "$.page"))
-    if which == "all":
-        return chunks
-    return chunks.where(document) if which == "documents" else chunks.where((F.col("source_type") == "code") | ~document)
+class Retriever(Protocol):
+    """Ranks chunks for a batch of queries (query_id, query): query_id, rank, chunk_id, score."""
+
+    def search(self, queries: DataFrame, limit: int, filters: Mapping[str, Any] | None = None) -> DataFrame: ...
+
+
+@dataclass
+class WordRetriever:
+    """Ranks by phrases in weighted fields."""
+
+    source: lexical.Source
+
+    def search(self, queries: DataFrame, limit: int, filters: Mapping[str, Any] | None = None) -> DataFrame:
+        return lexical.bm25_phrases(self.source, queries, lexical.checked_limit(limit), filters)
+
+
+@dataclass
+class VectorRetriever:
+    """Ranks by the cosine of vectors (chunk_id, vector and the columns of filters) to that of the embedded query."""
+
+    vectors: DataFrame
+    provider: pv.EmbeddingProvider
+    mode: str = "exact"
+
+    def search(self, queries: DataFrame, limit: int, filters: Mapping[str, Any] | None = None) -> DataFrame:
+        aims = pv.embed(queries.select("query_id", "query"), self.provider, "query", queries=True)
+        # a model that fails does so here, not in the middle of a search
+        aims = aims if isinstance(self.provider, pv.HashEmbedding) else settle(aims)
+        return dense.nearest(self.vectors, aims, limit, filters, mode=self.mode)
+
+
+def collect_citations(results: DataFrame) -> DataFrame:
+    """chunk_id and citation of the results that have one, or a link."""
+    link = F.get_json_object("metadata", "$.citation_url")
+    text = F.coalesce(F.nullif(F.col("citation"), F.lit("")), F.nullif(link, F.lit("")))
+    return results.select("chunk_id", text.alias("citation")).where(F.col("citation").isNotNull())
 
 
 def cited(chunks: DataFrame) -> DataFrame:
@@ -44,7 +78,12 @@ def cited(chunks: DataFrame) -> DataFrame:
 
 @dataclass
 class Engine:
-    """A corpus of one or several instances; ``vectors`` may be missing, then search is by words alone."""
+    """A corpus of one or several instances; ``vectors`` may be missing, then search is by words alone.
+
+    ``words`` is the corpus's stored index; without it one is made of the
+    chunks for each search. ``dense`` and ``sparse`` take the place of the
+    engine's own retrievers.
+    """
 
     chunks: DataFrame
     vectors: DataFrame | None = None
@@ -52,6 +91,11 @@ class Engine:
     retrieval: cf.Retrieval | None = None
     reranker: pv.Reranker | None = None
     quantization: str = "exact"
+    words: WordIndex | None = None
+    dense: Retriever | None = None
+    sparse: Retriever | None = None
+    #: Whether an embedding model or reranker that fails is done without, as searches report; else its error is raised.
+    fall_back: bool = True
 
     def _settings(self) -> cf.Retrieval:
         return self.retrieval or cf.Retrieval()
@@ -64,27 +108,58 @@ class Engine:
         """How searches run: hybrid, sparse_only (asked for) or sparse_fallback (no vectors)."""
         if self._settings().dense_candidates == 0:
             return "sparse_only"
-        return "hybrid" if self.vectors is not None and self.provider is not None else "sparse_fallback"
+        return "hybrid" if self.dense or (self.vectors is not None and self.provider is not None) else "sparse_fallback"
+
+    def by_words(self) -> Retriever:
+        """The retriever by words."""
+        return self.sparse or WordRetriever(self.words if self.words is not None else self.chunks)
+
+    def by_vectors(self) -> Retriever:
+        """The retriever by vectors."""
+        return self.dense or VectorRetriever(self._payload(), self.provider, self.quantization)
 
     def stages(self, queries: DataFrame, limit: int | None = None, filters: Mapping[str, Any] | None = None) -> DataFrame:
         """query_id, stage, rank, chunk_id, score of every stage: dense, sparse, fused, reranked, final."""
+        return self.debug(queries, limit, filters)[0]
+
+    def debug(self, queries: DataFrame, limit: int | None = None, filters: Mapping[str, Any] | None = None) -> tuple[DataFrame, dict[str, Any]]:
+        """The stages, and how the search ran: mode, reranked, reranker_error; degraded with fallback_category and fallback_detail if vectors failed."""
         s = self._settings()
         limit = lexical.checked_limit(limit if limit is not None else s.final_results)
-        if self.mode() != "hybrid":
-            best = lexical.bm25_phrases(self.chunks, queries, limit, filters)
-            return best.withColumn("stage", F.lit("sparse")).unionByName(best.withColumn("stage", F.lit("final"))).select("query_id", "stage", "rank", "chunk_id", "score")
-        aims = pv.embed(queries.select("query_id", "query"), self.provider, "query")
-        near = dense.nearest(self._payload(), aims, s.dense_candidates, filters, mode=self.quantization)
-        words = lexical.bm25_phrases(self.chunks, queries, lexical.checked_limit(s.sparse_candidates), filters)
-        lists = near.withColumn("list_idx", F.lit(0)).unionByName(words.withColumn("list_idx", F.lit(1)))
+        said: dict[str, Any] = {"mode": self.mode()}
+        near = None
+        if said["mode"] == "hybrid":
+            try:
+                near = self.by_vectors().search(queries, s.dense_candidates, filters)
+            except Exception as e:  # noqa: BLE001 - whatever a model's library raises
+                if not self.fall_back:
+                    raise
+                said = {"mode": "sparse_fallback", "degraded": True, "fallback_category": error_category(e), "fallback_detail": compact_error(e)}
+                _LOG.warning("searching by words alone: %s: %s", said["fallback_category"], said["fallback_detail"])
+        if near is None:
+            best = self.by_words().search(queries, limit, filters)
+            return self._union([("sparse", best), ("final", best)]), said
+        words = self.by_words().search(queries, s.sparse_candidates, filters)
+        lists = near.select("query_id", "rank", "chunk_id", "score", F.lit(0).alias("list_idx")).unionByName(words.select("query_id", "rank", "chunk_id", "score", F.lit(1).alias("list_idx")))
         fused = fusion.reciprocal_ranks(lists, max(limit, s.dense_candidates, s.sparse_candidates))
         # texts are joined only to what is listed
-        named = fused.join(self.chunks.select("chunk_id", "text", "symbol", "source_path"), "chunk_id").join(queries.select("query_id", "query"), "query_id")
-        ordered = named
+        wanted = ["chunk_id", "source_path", *(["text", "symbol"] if s.rerank else [])]
+        named = fused.join(self.chunks.select(*wanted), "chunk_id").join(queries.select("query_id", "query"), "query_id")
+        ordered, said["reranked"] = named, False
         if s.rerank:
-            ordered = pv.rerank_with(named, self.reranker) if self.reranker else fusion.rerank(named)
+            try:
+                ordered = settle(pv.rerank_with(named, self.reranker)) if self.reranker else fusion.rerank(named)
+                said["reranked"] = True
+            except Exception as e:  # noqa: BLE001
+                if not self.fall_back:
+                    raise
+                said["reranker_error"] = compact_error(e)
+                _LOG.warning("not reranked: %s", said["reranker_error"])
         final = fusion.diversify(ordered, s.max_results_per_source, limit=limit)
-        parts = [("dense", near), ("sparse", words), ("fused", fused), *([("reranked", ordered)] if s.rerank else []), ("final", final)]
+        return self._union([("dense", near), ("sparse", words), ("fused", fused), *([("reranked", ordered)] if said["reranked"] else []), ("final", final)]), said
+
+    @staticmethod
+    def _union(parts: list[tuple[str, DataFrame]]) -> DataFrame:
         out = None
         for stage, part in parts:
             row = part.select("query_id", F.lit(stage).alias("stage"), "rank", "chunk_id", "score")
@@ -100,19 +175,42 @@ class Engine:
         best = self.stages(queries, limit, filters).where("stage = 'final'").select("query_id", "rank", "chunk_id", "score")
         return best.join(cited(self.chunks), "chunk_id")
 
+    def ranked_words(self, queries: DataFrame, limit: int = 8, filters: Mapping[str, Any] | None = None, which: str = "all") -> DataFrame:
+        """query_id, rank, chunk_id, score by words alone, of all, of code or of documents.
+
+        Documents are what is marked so as a source. Code too; queries that
+        find none look among chunks whose type of document is code.
+        """
+        if which not in CORPORA:
+            raise ValueError(f"corpus must be one of {', '.join(CORPORA)}")
+        given = dict(filters or {})
+        if which == "all":
+            return self.by_words().search(queries, limit, filters)
+        marked = self.by_words().search(queries, limit, given | {"source_type": which})
+        if which == "documents":
+            return marked
+        marked = settle(marked)
+        others = queries.join(marked.select("query_id").distinct(), "query_id", "left_anti")
+        return marked.unionByName(self.by_words().search(others, limit, {"document_type": "code"} | given))
+
     def search_words(self, queries: DataFrame, limit: int = 8, filters: Mapping[str, Any] | None = None, which: str = "all") -> DataFrame:
-        """The best chunks by words alone, of all, of code or of documents."""
-        part = corpus(self.chunks, which).select("chunk_id", F.lit(True).alias("_in"))
-        rows = self.chunks.join(part, "chunk_id", "left_semi") if which != "all" else self.chunks
-        best = lexical.bm25_phrases(rows, queries, limit, filters)
-        return best.join(cited(self.chunks), "chunk_id")
+        """The best chunks by words alone, with their columns and citation."""
+        return self.ranked_words(queries, limit, filters, which).join(cited(self.chunks), "chunk_id")
+
+    def search_code(self, queries: DataFrame, limit: int = 8, filters: Mapping[str, Any] | None = None) -> DataFrame:
+        """The best chunks of code."""
+        return self.search_words(queries, limit, filters, "code")
+
+    def search_documents(self, queries: DataFrame, limit: int = 8, filters: Mapping[str, Any] | None = None) -> DataFrame:
+        """The best chunks of documents."""
+        return self.search_words(queries, limit, filters, "documents")
 
     def related(self, targets: DataFrame, limit: int = 5) -> DataFrame:
         """target_id, rank, chunk_id, score: chunks like the targets by symbol, heading and the beginning of the text."""
         found = lookup.find(self.chunks, targets)
         query = F.concat_ws(" ", F.coalesce("symbol", F.lit("")), F.coalesce(F.get_json_object("metadata", "$.heading"), F.lit("")), F.substring("text", 1, 200))
         asked = found.select(F.col("target_id").alias("query_id"), query.alias("query"), F.col("chunk_id").alias("_self"))
-        best = lexical.bm25_phrases(self.chunks, asked.select("query_id", "query"), limit + 1)
+        best = self.by_words().search(asked.select("query_id", "query"), limit + 1)
         others = best.join(asked.select("query_id", "_self"), "query_id").where(F.col("chunk_id") != F.col("_self")).drop("_self")
         return lexical.ranked(others.drop("rank"), limit).select(F.col("query_id").alias("target_id"), "rank", "chunk_id", "score")
 
@@ -121,8 +219,9 @@ class Engine:
         return cited(lookup.by_symbol(self.chunks, symbol, lexical.checked_limit(limit), knowledge_id))
 
     def read_source(self, targets: DataFrame, previous: int = 1, following: int = 1) -> DataFrame:
-        """The targets' chunks and their neighbours, with citations; targets not found give no rows."""
-        return cited(lookup.neighbours(self.chunks, lookup.find(self.chunks, targets), previous, following))
+        """target_id, found, and the target's chunk with its neighbours and citations; a target not found has one row that says so."""
+        made = cited(lookup.neighbours(self.chunks, lookup.find(self.chunks, targets), previous, following))
+        return targets.select("target_id").distinct().join(made, "target_id", "left").withColumn("found", F.col("chunk_id").isNotNull())
 
     def source_metadata(self, targets: DataFrame) -> DataFrame:
         """The targets' chunks without their text."""
@@ -151,53 +250,86 @@ class IndexReport:
     dense_error: str | None = None
 
 
+def word_store(spark: SparkSession, config: cf.Config) -> WordStore:
+    """An instance's inverted index."""
+    return WordStore(spark, f"{config.storage.path}/words", lexical.FIELD_WEIGHTS)
+
+
 def index_config(spark: SparkSession, config: cf.Config, force: bool = False, embed: bool = False, progress: Callable[[str, dict], None] | None = None) -> IndexReport:
-    """List, digest, classify, parse, cut, enrich and store the sources of an instance; only what changed is parsed."""
+    """List, digest, classify, parse, cut, enrich and store the sources of an instance, and their postings.
+
+    Only what changed is parsed and written, unless ``force`` is set or the
+    settings say that runs aren't incremental. Files that no source names any
+    more go too, whatever is on record of them.
+    """
     say = progress or (lambda event, payload: None)
     kid, s = config.knowledge.id, config.indexing
+    force = force or not s.incremental
     roots = [(kid, str(source_root(config, source))) for source in config.all_sources()]
     found = files.listed(spark, roots, ignored_dirs=s.ignored_directories, ignored_types=s.ignored_extensions, follow_links=s.follow_symlinks)
     say("listed", {"roots": len(roots)})
-    states = index.Snapshots(spark, f"{config.storage.path}/state")
+    states = index.Snapshots(spark, f"{config.storage.path}/state", key="path", buckets=16)
     store = index.Snapshots(spark, f"{config.storage.path}/chunks")
-    now, before, table = files.fingerprints(found), states.read(sc.FILE_STATE), store.read(sc.CHUNKS)
-    status = index.classify(now, before)
+    repos = git.repositories(spark, [r for _, r in roots])
+    commits = found.join(repos, "root").select("path", F.col("git_commit").alias("_commit"))
+    now = settle(files.fingerprints(found).join(commits, "path", "left").withColumn("git_commit", F.col("_commit")).select(*[f.name for f in sc.FILE_STATE.fields]))
+    before = states.read(sc.FILE_STATE)
+    status = settle(index.classify(now, before))
     report = IndexReport(**index.report(status).first().asDict())
     say("classified", vars(report).copy())
     wanted = status.where(F.col("status").isin("new", "changed", *(["unchanged"] if force else [])))
-    made = files.parsed(found.join(wanted.select("path"), "path", "left_semi"))
-    stage = index.Snapshots(spark, f"{config.storage.path}/parsed")
-    stage.write(made, None)
-    made = stage.read()
+    made = settle(files.parsed(found.join(wanted.select("path"), "path", "left_semi"), config.parsing))
     bad = made.where(F.col("error").isNotNull()).select(F.col("file_key").alias("path")).distinct()
-    repos = git.repositories(spark, [r for _, r in roots])
     fresh = made.where(F.col("error").isNull()).drop("error").join(found.select(F.col("path").alias("file_key"), "root"), "file_key")
-    fresh = git.enrich(fresh.withColumn("repository_name", F.lit(None).cast("string")), repos)
-    extra = F.create_map(*[x for c in ("repository_name", "git_commit", "repository_url", "citation_url") for x in (F.lit(c), F.col(c))])
+    fresh = git.enrich(fresh.withColumn("repository_name", F.lit(None).cast("string")), repos, known=git.paths(spark, [r for _, r in roots]))
+    extra = F.create_map(*[x for c in ("repository_name", "git_commit", "git_path", "repository_url", "citation_url") for x in (F.lit(c), F.col(c))])
     merged = F.map_filter(F.map_concat(F.from_json("metadata", "map<string,string>"), extra), lambda k, v: v.isNotNull())
     fresh = fresh.withColumn("metadata", F.to_json(F.map_from_entries(F.array_sort(F.map_entries(merged)))))
     fresh = fresh.withColumn("chunk_id", sc.chunk_id()).withColumn("content_hash", sc.content_hash()).withColumn("indexed_at", F.current_timestamp())
-    fresh = normalize.normalize(fresh.select(*[f.name for f in sc.CHUNKS.fields]), config.parsing.max_chunk_tokens, config.parsing.chunk_overlap_tokens)
+    fresh = settle(normalize.normalize(fresh.select(*[f.name for f in sc.CHUNKS.fields]), config.parsing.max_chunk_tokens, config.parsing.chunk_overlap_tokens))
     gone = status.where("status = 'deleted'").select(F.col("path").alias("file_key"))
-    replaced = wanted.select(F.col("path").alias("file_key")).unionByName(gone)
-    store.write(index.replace_files(table, fresh, replaced))
-    rest = before.join(status.where("status in ('deleted', 'changed')").select("path"), "path", "left_anti").join(wanted.select("path"), "path", "left_anti")
-    kept = rest.select(*[f.name for f in sc.FILE_STATE.fields]).unionByName(now.join(wanted.select("path"), "path", "left_semi").join(bad, "path", "left_anti"))
-    states.write(kept)
+    # files of the index that no source has, by any of their names
+    names = found.select(F.explode(F.array("path", F.substring("path", F.length("root") + 2, F.length("path")))).alias("path"))
+    unknown = index.prune_unknown(store.read(sc.CHUNKS), names, kid)[1].select("file_key")
+    replaced = settle(wanted.select(F.col("path").alias("file_key")).unionByName(gone).unionByName(unknown).distinct())
+    if not replaced.isEmpty():
+        word_store(spark, config).add(fresh, replaced)
+        store.replace(fresh, replaced)
+        kept = now.join(wanted.select("path"), "path", "left_semi").join(bad, "path", "left_anti")
+        states.replace(kept, replaced.select(F.col("file_key").alias("path")), by="path")
     report.chunks, report.failed = store.read(sc.CHUNKS).count(), bad.count()
     say("stored", {"chunks": report.chunks, "failed": report.failed})
     if embed:
         try:
             embed_config(spark, config)
         except Exception as e:  # noqa: BLE001 - chunks are kept whatever happens to vectors
-            report.dense_error = compact_error(e)
+            report.dense_error = f"{error_category(e)}: {compact_error(e)}"
     return report
 
 
+def noise(spark: SparkSession, config: cf.Config) -> DataFrame:
+    """What of an instance's sources would be noise in its index: category, files, bytes, folders, samples."""
+    s = config.indexing
+    roots = [(config.knowledge.id, str(source_root(config, source))) for source in config.all_sources()]
+    found = files.listed(spark, roots, ignored_dirs=s.ignored_directories, ignored_types=s.ignored_extensions, follow_links=s.follow_symlinks)
+    return index.noisy_files(files.fingerprints(found), tuple(s.ignored_extensions), tuple(s.ignored_directories))
+
+
+def ignore_noise(config: cf.Config, categories: list[str], path: str | Path | None = None) -> bool:
+    """Ignore the types and folders of some categories from now on, in the settings and in their file; whether that is news."""
+    s, before = config.indexing, (len(config.indexing.ignored_extensions), len(config.indexing.ignored_directories))
+    for category in categories:
+        types, folders = index.NOISE[category]
+        s.ignored_extensions += [t for t in types if t not in s.ignored_extensions]
+        s.ignored_directories += [f for f in folders if f not in s.ignored_directories]
+    news = before != (len(s.ignored_extensions), len(s.ignored_directories))
+    if news and path is not None:
+        cf.save(config, path)
+    return news
+
+
 def source_root(config: cf.Config, source: cf.Source):
     """Where a source's files are; a remote one is brought up to date first."""
-    from pathlib import Path
-
     if source.repo_url:
         base = git.clone_or_update(source.repo_url, git.remote_folder(config.storage.path, source.repo_url), source.ref or None)
     else:
@@ -207,58 +339,100 @@ def source_root(config: cf.Config, source: cf.Source):
 
 def embed_missing(chunks: DataFrame, vectors: DataFrame | None, provider: pv.EmbeddingProvider) -> DataFrame:
     """The table of vectors after chunks were added or changed: only these are embedded, rows of chunks that are gone go."""
-    rows = chunks.select("knowledge_id", "chunk_id", "content_hash", "text")
+    rows = chunks.select("knowledge_id", "chunk_id", "content_hash", "source_path", "ord", "text")
     kept = None
     if vectors is not None:
         kept = vectors.join(rows.select("chunk_id", "content_hash").distinct(), ["chunk_id", "content_hash"], "left_semi")
         rows = rows.join(vectors.select("chunk_id", "content_hash").distinct(), ["chunk_id", "content_hash"], "left_anti")
-    made = pv.embed(rows, provider).withColumn("norm", F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))))
-    made = made.select("knowledge_id", "chunk_id", F.col("vector").cast("array<float>").alias("vector"), "norm", "content_hash")
+    # a source's chunks go to the model one after the other
+    made = pv.embed(rows.sortWithinPartitions("source_path", "ord", "chunk_id"), provider).withColumn("norm", F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))))
+    made = made.select("knowledge_id", "chunk_id", "source_path", F.col("vector").cast("array<float>").alias("vector"), "norm", "content_hash")
     return made if kept is None else kept.select(*made.columns).unionByName(made)
 
 
+def without_source(vectors: DataFrame, source_path: str, knowledge_id: str | None = None) -> DataFrame:
+    """The table of vectors without those of a source, of one instance if it is named."""
+    mine = F.col("source_path").eqNullSafe(F.lit(source_path)) & (F.lit(True) if knowledge_id is None else F.col("knowledge_id").eqNullSafe(F.lit(knowledge_id)))
+    return vectors.where(~mine)
+
+
+def delete_source_vectors(spark: SparkSession, config: cf.Config, source_path: str) -> int:
+    """Delete the stored vectors of a source; returns how many are left."""
+    store = vector_store(spark, config)
+    vectors = store.read(sc.VECTORS)
+    mine = vectors.where(F.col("source_path") == source_path)
+    if not mine.isEmpty():
+        store.replace(vectors.limit(0), mine.select("chunk_id"))
+    return store.read(sc.VECTORS).count()
+
+
+def vector_store(spark: SparkSession, config: cf.Config) -> index.Snapshots:
+    """An instance's vectors."""
+    return index.Snapshots(spark, f"{config.storage.path}/{config.collection}", key="chunk_id")
+
+
 def embed_config(spark: SparkSession, config: cf.Config, recreate: bool = False) -> int:
     """Embed what an instance's vectors lack, or all anew; returns how many vectors there are."""
     chunks = index.Snapshots(spark, f"{config.storage.path}/chunks").read(sc.CHUNKS)
-    store = index.Snapshots(spark, f"{config.storage.path}/{config.collection}")
+    store = vector_store(spark, config)
     store.write(embed_missing(chunks, None if recreate else store.read(), pv.embedding_provider(config.models.embedding)))
     return store.read(sc.VECTORS).count()
 
 
 def open_engine(spark: SparkSession, config: cf.Config) -> Engine:
-    """An engine over an instance's stored chunks, and its vectors if there are any."""
+    """An engine over an instance's stored chunks and postings, and its vectors if there are any."""
     chunks = index.Snapshots(spark, f"{config.storage.path}/chunks").read(sc.CHUNKS)
-    vectors = index.Snapshots(spark, f"{config.storage.path}/{config.collection}").read()
+    vectors = vector_store(spark, config).read()
     mode = {"none": "exact"}.get(config.storage.quantization.mode, config.storage.quantization.mode)
-    return Engine(chunks, vectors, pv.embedding_provider(config.models.embedding) if vectors is not None else None, config.retrieval, pv.reranker(config.models.reranker), mode)
+    provider = pv.embedding_provider(config.models.embedding) if vectors is not None else None
+    return Engine(chunks, vectors, provider, config.retrieval, pv.reranker(config.models.reranker), mode, word_store(spark, config).read())
 
 
-def delete_index(spark: SparkSession, config: cf.Config) -> bool:
-    """Delete all that is stored of an instance; whether there was anything."""
-    return index.Snapshots(spark, config.storage.path).drop()
+class Deleted(NamedTuple):
+    """Whether there was anything to delete, and what went wrong."""
 
+    existed: bool
+    error: str | None = None
 
-def compact_error(error: BaseException, causes: int = 3, width: int = 200) -> str:
-    """An error and what it comes from on one line, without credentials."""
-    import re
-
-    parts, e = [], error
-    while e is not None and len(parts) < causes:
-        parts.append(f"{type(e).__name__}: {e}")
-        e = e.__cause__ or e.__context__
-    text = re.sub(r"\s+", " ", " <- ".join(parts))
-    text = re.sub(r"([A-Za-z][A-Za-z0-9+.-]*://)[^/\s@]+@", r"\1***@", text)
-    text = re.sub(r"(?i)\b(api[_-]?key|token|secret|password|passwd|authorization)(\s*[=:]\s*)[^\s,;&]+", r"\1\2***", text)
-    return text[:width]
+
+def delete_index(spark: SparkSession, config: cf.Config) -> Deleted:
+    """Delete all that is stored of an instance, as far as that is possible."""
+    try:
+        return Deleted(index.Snapshots(spark, config.storage.path).drop())
+    except Exception as e:  # noqa: BLE001 - told, not raised
+        return Deleted(True, compact_error(e))
+
+
+#: Kinds of trouble, by the type of an error and by words of its message; the first that fits counts.
+TROUBLE: tuple[tuple[str, tuple[type[BaseException], ...], tuple[str, ...]], ...] = (
+    ("missing_dependency", (ImportError,), ("modulenotfounderror", "importerror", "no module named")),
+    ("service_unavailable", (ConnectionError, TimeoutError, pv.EmbeddingError), ("connect", "timed out", "refused", "embeddingerror", "urlerror")),
+    ("configuration", (cf.ConfigError, ValueError), ("configerror",)),
+    ("index", (), ("analysisexception", "collection", "vectors")),
+)
+
+
+def _message(error: BaseException) -> str:
+    """What an error says; of one from an executor's Python what was raised there, without the way to it."""
+    told = re.findall(r"^(?!pyspark|org\.|java)(\w[\w.]*(?:Error|Exception|Interrupt|Iteration)\b.*)$", str(error), re.M) if "Traceback (most recent call last)" in str(error) else []
+    return told[-1] if told else str(error)
 
 
 def error_category(error: BaseException) -> str:
     """What kind of trouble an error is: missing_dependency, configuration, service_unavailable, index, unknown."""
-    name, text = type(error).__name__, str(error).lower()
-    if isinstance(error, ImportError):
-        return "missing_dependency"
-    if isinstance(error, (cf.ConfigError, ValueError)):
-        return "configuration"
-    if isinstance(error, (ConnectionError, TimeoutError, pv.EmbeddingError)) or "connect" in text or "timed out" in text or "refused" in text:
-        return "service_unavailable"
-    return "index" if name == "AnalysisException" or "collection" in text or "vectors" in text else "unknown"
+    text = f"{type(error).__name__}: {_message(error)}".lower()
+    by_type = next((kind for kind, types, _ in TROUBLE if isinstance(error, types)), None)
+    return by_type or next((kind for kind, _, words in TROUBLE if any(w in text for w in words)), "unknown")
+
+
+def compact_error(error: BaseException, causes: int = 3, width: int = 200) -> str:
+    """What an error and its causes say, each once, on one line, without credentials."""
+    chain: list[BaseException] = []
+    while error is not None and len(chain) < causes:
+        chain.append(error)
+        error = error.__cause__ or error.__context__
+    said = dict.fromkeys(re.sub(r"\s+", " ", _message(e)).strip() for e in chain)
+    text = ": ".join(t for t in said if t) or type(chain[0]).__name__
+    for pattern, mark in tx.CREDENTIALS:
+        text = re.sub(pattern, mark.replace("$", "\\"), text)
+    return text[:width]

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: What a token is, what its parts are, how much of a text is indexed.
+#: What a token is, and a usual bound of how much of a text is searched.
 TOKEN = r"[A-Za-z_][A-Za-z0-9_\.]*|[0-9]+"
-PART = r"[A-Za-z]+|[0-9]+"
 MAX_INDEXED = 200_000
 
 
@@ -39,12 +38,6 @@ def tokens(text: Column | str) -> Column:
     return F.flatten(F.transform(F.flatten(F.transform(found, token_variants)), singular))
 
 
-def document_text(text="text", symbol="symbol", xml_path="xml_path", source_path="source_path", kind="kind") -> Column:
-    """What of a chunk is searched: a bounded text, its symbol, paths and kind."""
-    empty = lambda c: F.coalesce(F.col(c), F.lit(""))
-    return F.concat_ws("\n", F.substring(empty(text), 1, MAX_INDEXED), empty(symbol), empty(xml_path), empty(source_path), empty(kind))
-
-
 def match_terms(query: Column | str) -> Column:
     """The distinct tokens of a query, for matching any of them."""
     return F.array_distinct(tokens(query))
@@ -55,13 +48,6 @@ def phrase_terms(text: Column | str) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(col(text), F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
 
 
-def phrase_count(terms: Column, phrase: Column) -> Column:
-    """How often a phrase (an array of terms) stands in an array of terms."""
-    n = F.size(phrase)
-    starts = F.when(F.size(terms) >= n, F.sequence(F.lit(1), F.size(terms) - n + 1)).otherwise(F.array().cast("array<int>"))
-    return F.when(n > 0, F.size(F.filter(starts, lambda i: F.slice(terms, i, n) == phrase))).otherwise(F.lit(0))
-
-
 def lines(text: Column | str) -> Column:
     """Lines without their ends; a final line end begins no further line."""
     found = F.split(F.coalesce(col(text), F.lit("")), "\r\n|[\n\r\u000b\f\u001c-\u001e\u0085  ]")
@@ -89,13 +75,13 @@ def preview(text: Column | str, width: int = 120) -> Column:
     return F.when(F.length(one) <= width, one).otherwise(F.concat(F.rtrim(F.substring(one, 1, width - 1)), F.lit("…")))
 
 
-def relative_path(path: Column, root: Column) -> Column:
-    """A path below its root, with forward slashes; the whole path if it isn't below."""
-    base = F.regexp_replace(root, "/+$", "")
-    return F.when(F.startswith(path, F.concat(base, F.lit("/"))), F.substring(path, F.length(base) + 2, F.length(path))).otherwise(path)
+#: What of a message is a credential, and what is put in its place.
+CREDENTIALS = ((r"(://)[^/\s:@]+:[^/\s@]+@", "$1***@"), (r"(?i)\b(api[_-]?key|token|secret|password|bearer)\b\s*[=:]\s*\S+", "$1=***"))
 
 
 def without_credentials(message: Column | str) -> Column:
     """An error message without passwords in URLs and values of secret settings."""
-    urls = F.regexp_replace(col(message), r"([A-Za-z][A-Za-z0-9+.-]*://)[^/\s@]+@", "$1***@")
-    return F.regexp_replace(urls, r"(?i)\b(api[_-]?key|token|secret|password|passwd|authorization)(\s*[=:]\s*)[^\s,;&]+", "$1$2***")
+    out = col(message)
+    for pattern, mark in CREDENTIALS:
+        out = F.regexp_replace(out, pattern, mark)
+    return out

@@ -37,11 +37,6 @@ def hash_embedding(text: Column, dimensions: int) -> Column:
     return unit(bound(F.sha2(F.coalesce(text, F.lit("")), 256), byte))
 
 
-def to_int8(v: Column, scale: Column) -> Column:
-    """Each number as one of 255 steps between -scale and scale."""
-    return F.transform(v, lambda x: F.greatest(F.lit(-127), F.least(F.lit(127), F.round(x.cast("double") * 127.0 / scale).cast("int"))))
-
-
 def sign_bits(v: Column, dimensions: int) -> Column:
     """One bit for each number, set if it is positive, in words of 32 bits."""
     words = []

@@ -1,9 +1,10 @@
 """Ranking by words: BM25 over bags of tokens and over phrases in weighted fields, for batches of queries.
 
-The corpus is tokenised once for a batch. Only tokens that some query asks for
-leave the scan (an equi-join with the queries' few tokens); document lengths
-are counted in the row, so texts are never shuffled. Scores are ranked rounded,
-with the chunk's id against ties, so results don't depend on summation order.
+What is searched is an inverted index, stored or made from a frame of chunks
+on the way (``words``). Only postings of tokens that some query asks for leave
+the scan; texts are never read for a search in a stored one. Scores are ranked
+rounded, with the chunk's id against ties, so results don't depend on the order
+of sums. A search of a batch runs a few small jobs before it returns its frame.
 """
 
 from __future__ import annotations
@@ -16,8 +17,11 @@ from pyspark.sql import functions as F
 
 from sondera.functions import text as tx
 from sondera.operators import filters as flt
+from sondera.operators.words import FIELD_BASE, WordIndex
 from sondera.session import settle
 
+Source = DataFrame | WordIndex
+
 #: Saturation and length normalisation of the two rankings, and the fields' weights.
 BAG_K1, BAG_B = 1.5, 0.75
 PHRASE_K1, PHRASE_B = 1.2, 0.75
@@ -33,26 +37,19 @@ def checked_limit(limit: int) -> int:
     return limit
 
 
-def tokenised(chunks: DataFrame) -> DataFrame:
-    """chunk_id, tokens and length (at least 1) of every chunk."""
-    made = chunks.select("chunk_id", tx.tokens(tx.document_text()).alias("tokens"))
-    return made.select("chunk_id", "tokens", F.greatest(F.size("tokens"), F.lit(1)).alias("length"))
-
-
-def postings(chunks: DataFrame) -> DataFrame:
+def postings(source: Source) -> DataFrame:
     """token, chunk_id, tf: the inverted index as a table."""
-    return tokenised(chunks).select("chunk_id", F.explode("tokens").alias("token")).groupBy("token", "chunk_id").agg(F.count("*").cast("int").alias("tf"))
+    return indexed(source).tokens.select("token", "chunk_id", "tf")
 
 
-def document_frequencies(chunks: DataFrame) -> DataFrame:
-    """token, df: in how many chunks a token stands. One row for each chunk and token goes into the partial counts."""
-    each = tokenised(chunks).select(F.explode(F.array_distinct("tokens")).alias("token"))
-    return each.groupBy("token").agg(F.count("*").alias("df"))
+def document_frequencies(source: Source) -> DataFrame:
+    """token, df: in how many chunks a token stands."""
+    return indexed(source).tokens.groupBy("token").agg(F.count("*").alias("df"))
 
 
-def corpus_statistics(chunks: DataFrame) -> DataFrame:
+def corpus_statistics(source: Source) -> DataFrame:
     """n_docs and avg_len (1.0 for an empty corpus), one row."""
-    return tokenised(chunks).agg(F.count("*").alias("n_docs"), F.coalesce(F.avg("length"), F.lit(1.0)).alias("avg_len"))
+    return indexed(source).docs.agg(F.count("*").alias("n_docs"), F.coalesce(F.avg("bag_length"), F.lit(1.0)).alias("avg_len"))
 
 
 def query_tokens(queries: DataFrame, distinct: bool = False) -> DataFrame:
@@ -80,21 +77,31 @@ def bonus(query: Column, qtokens: Column) -> Column:
     return symbol + path + named + pixels
 
 
-def _named(queries: DataFrame, chunks: DataFrame) -> DataFrame:
-    """query_id, chunk_id where the query stands in the symbol or the path, found by its first letters."""
+def _named(queries: DataFrame, docs: DataFrame) -> DataFrame:
+    """query_id, chunk_id where the query stands in the symbol or the path.
+
+    A query of three runs of letters and digits or more meets chunks by its
+    longest run that isn't at an end, which must be a whole one of theirs; a
+    shorter query by its first three letters. What no query needs isn't made.
+    """
     asked = queries.where(F.length("query") > 0).select("query_id", "query")
+    runs = F.regexp_extract_all(F.lower("query"), F.lit("[a-z0-9]+"), F.lit(0))
+    inner = F.slice(runs, 2, F.greatest(F.size(runs) - 2, F.lit(0)))
+    asked = asked.withColumn("_inner", F.when(F.size(runs) > 2, F.array_max(F.transform(inner, lambda r: F.struct(F.length(r).alias("n"), r.alias("r"))))["r"]))
+    asked = asked.withColumn("_width", F.when(F.col("_inner").isNotNull(), 0).otherwise(F.least(F.length("query"), F.lit(3))))
     ground = F.lower(F.concat_ws("\n", F.coalesce("symbol", F.lit("")), F.coalesce("source_path", F.lit(""))))
-
-    def met(width: int, part: DataFrame) -> DataFrame:
-        n = F.length(ground) - width + 1
-        pieces = F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(ground, i, F.lit(width)))).otherwise(F.array().cast("array<string>"))
-        here = chunks.select("chunk_id", "symbol", "source_path", F.explode(F.array_distinct(pieces)).alias("seed"))
-        return here.join(part.withColumn("seed", F.lower(F.left("query", F.lit(width)))), "seed")
-
     inside = F.contains(F.lower(F.coalesce("symbol", F.lit(""))), F.lower(F.col("query"))) | F.contains(F.coalesce("source_path", F.lit("")), F.col("query"))
-    parts = [met(3, asked.where(F.length("query") >= 3)), met(2, asked.where(F.length("query") == 2)), met(1, asked.where(F.length("query") == 1))]
-    found = [p.where(inside).select("query_id", "chunk_id") for p in parts]
-    return found[0].unionByName(found[1]).unionByName(found[2]).distinct()
+    found = None
+    # at most four numbers
+    for width in sorted(r[0] for r in asked.select("_width").distinct().collect()):
+        n = F.length(ground) - width + 1
+        pieces = F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(ground, i, F.lit(width)))).otherwise(F.array().cast("array<string>"))  # noqa: B023
+        seeds = F.regexp_extract_all(ground, F.lit("[a-z0-9]+"), F.lit(0)) if not width else pieces
+        here = docs.select("chunk_id", "symbol", "source_path", F.explode(F.array_distinct(seeds)).alias("seed"))
+        part = asked.where(F.col("_width") == width).select("query_id", "query", F.coalesce("_inner", F.lower(F.left("query", F.lit(width)))).alias("seed"))
+        met = here.join(part, "seed").where(inside).select("query_id", "chunk_id")
+        found = met if found is None else found.unionByName(met)
+    return (found if found is not None else asked.select("query_id", F.lit("").alias("chunk_id"))).distinct()
 
 
 def ranked(scores: DataFrame, limit: int, score: str = "score") -> DataFrame:
@@ -106,29 +113,23 @@ def ranked(scores: DataFrame, limit: int, score: str = "score") -> DataFrame:
 #: A token in more than this share of the chunks is common: what it adds to a score is small.
 COMMON = 0.05
 
-#: The key of the row that every chunk has beside its tokens, for the corpus's statistics.
-_ALL = ""
-
-
 def _best(
-    hits: DataFrame, asked: DataFrame, chunks: DataFrame, queries: DataFrame, filters: Mapping[str, Any] | None, limit: int, k1: float, b: float,
+    hits: DataFrame, asked: DataFrame, index: WordIndex, length: str, queries: DataFrame, filters: Mapping[str, Any] | None, limit: int, k1: float, b: float,
     idf: Callable[[Column, Column], Column], named: bool, bonus_too: bool = True,
 ) -> DataFrame:
     """The best chunks of each query, exactly, without scoring what can't be among them.
 
-    ``hits`` has chunk_id, length, key, f (how much of a key a chunk has) and a
-    row of every chunk with an empty key; ``asked`` has query_id, key, qtf. A
-    chunk that shares no rare key with a query, and isn't named by it, scores
-    at most what all the query's common keys could add and the bonus for
-    element paths. Where the limit-th best of the other chunks has more than
-    that already, such chunks are left out before common keys are joined.
-    ``named``: whether being named is enough to be listed; ``bonus_too``:
-    whether being named counts at all.
+    ``hits`` has chunk_id, length, key, f (how much of a key a chunk has);
+    ``asked`` has query_id, key, qtf. A chunk that shares no rare key with a
+    query, and isn't named by it, scores at most what all the query's common
+    keys could add and the bonus for element paths. Where the limit-th best of
+    the other chunks has more than that already, such chunks are left out
+    before common keys are joined. ``named``: whether being named is enough to
+    be listed; ``bonus_too``: whether being named counts at all.
     """
-    hits = settle(hits)
-    stats = hits.where(F.col("key") == _ALL).agg(F.count("*").alias("n"), F.avg("length").alias("avg")).first()
-    n, avg = int(stats["n"] or 0), float(stats["avg"] or 1.0)
-    df = hits.where(F.col("key") != _ALL).groupBy("key").agg(F.count("*").alias("df"))
+    hits, chunks = settle(hits), index.docs
+    n, avg = index.statistics(length)
+    df = hits.groupBy("key").agg(F.count("*").alias("df"))
     terms = settle(asked.join(df, "key").withColumn("w", F.col("qtf") * idf(F.lit(max(1, n)), F.col("df"))).withColumn("common", F.col("df") > COMMON * n))
     weight = F.col("w") * F.col("f") * (k1 + 1) / (F.col("f") + k1 * (1 - b + b * F.col("length") / F.lit(avg)))
     allowed = _identity(flt.apply(chunks, filters))
@@ -152,21 +153,29 @@ def _best(
     return _with_bonus(scores if named else scores.where("score > 0"), allowed, queries, limit)
 
 
-def bm25(chunks: DataFrame, queries: DataFrame, limit: int = 10, filters: Mapping[str, Any] | None = None, named: bool = True) -> DataFrame:
+def indexed(source: Source, most_chars: int | None = None) -> WordIndex:
+    """The index of a source: itself, or that of its chunks, of whole texts or of their first characters."""
+    return source if isinstance(source, WordIndex) else WordIndex.of(source, FIELD_WEIGHTS, most_chars)
+
+
+def bm25(source: Source, queries: DataFrame, limit: int = 10, filters: Mapping[str, Any] | None = None, named: bool = True, most_chars: int | None = None) -> DataFrame:
     """The best chunks of each query by BM25 over bags of tokens: query_id, rank, chunk_id, score.
 
-    ``queries`` has query_id and query; repeated query tokens count. Statistics
-    are those of all chunks, filters only choose who may be listed. A chunk
-    whose symbol or path the query names gains a bonus, which alone is enough
-    to be listed (``named=False`` leaves such chunks out). Queries without
-    tokens list only what they name; an empty query lists nothing.
+    ``source`` is a stored index or a frame of chunks. ``queries`` has query_id
+    and query; repeated query tokens count. Statistics are those of all chunks,
+    filters only choose who may be listed. A chunk whose symbol or path the
+    query names gains a bonus, which alone is enough to be listed
+    (``named=False`` leaves such chunks out). Queries without tokens list only
+    what they name; an empty query lists nothing. ``most_chars`` bounds what of
+    a frame's texts is searched (``functions.text.MAX_INDEXED`` is a usual
+    bound); by default nothing does.
     """
     checked_limit(limit)
+    index = indexed(source, most_chars)
     asked = query_tokens(queries).withColumnRenamed("token", "key")
-    wanted = asked.select("key").distinct().unionByName(queries.sparkSession.createDataFrame([(_ALL,)], "key string"))
-    every = tokenised(chunks).select("chunk_id", "length", F.explode(F.concat("tokens", F.array(F.lit(_ALL)))).alias("key"))
-    hits = every.join(wanted, "key").groupBy("chunk_id", "length", "key").agg(F.count("*").alias("f"))
-    return _best(hits, asked, chunks, queries, filters, limit, BAG_K1, BAG_B, lambda n, df: F.log(F.lit(1.0) + (n - df + 0.5) / (df + 0.5)), named)
+    wanted = asked.select(F.col("key").alias("token")).distinct()
+    hits = index.tokens.join(wanted, "token").select("chunk_id", "length", F.col("token").alias("key"), F.col("tf").alias("f"))
+    return _best(hits, asked, index, "bag_length", queries, filters, limit, BAG_K1, BAG_B, lambda n, df: F.log(F.lit(1.0) + (n - df + 0.5) / (df + 0.5)), named)
 
 
 def _with_bonus(scores: DataFrame, allowed: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
@@ -175,28 +184,22 @@ def _with_bonus(scores: DataFrame, allowed: DataFrame, queries: DataFrame, limit
     return ranked(total.where("score > 0").select("query_id", "chunk_id", "score"), limit).select("query_id", "rank", "chunk_id", "score")
 
 
-def _phrase_hits(chunks: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _phrase_hits(index: WordIndex, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``hits`` and ``asked`` of phrases: a query's distinct tokens are phrases of letter and digit runs, any of which may match."""
-    joined = lambda c: F.array_join(tx.tokens(c), " ")
-    docs = chunks.select(
-        "chunk_id", tx.phrase_terms(joined(tx.document_text())).alias("text"), tx.phrase_terms(joined(F.coalesce("symbol", F.lit("")))).alias("symbol"),
-        tx.phrase_terms(joined(F.coalesce("source_path", F.lit("")))).alias("path"),
-    ).withColumn("length", F.size("text") + F.size("symbol") + F.size("path"))
     asked = queries.select("query_id", F.explode(tx.match_terms("query")).alias("token")).withColumn("phrase", tx.phrase_terms("token")).where(F.size("phrase") > 0)
     asked = asked.withColumn("key", F.array_join("phrase", " "))
     phrases = asked.select("key", "phrase").distinct()
-    wanted = phrases.select(F.explode("phrase").alias("term")).distinct().unionByName(queries.sparkSession.createDataFrame([(_ALL,)], "term string"))
-    # occurrences of wanted terms, weighted by field: all that phrases of one term need
-    weigh = lambda w: lambda t: F.struct(t.alias("term"), F.lit(w).alias("w"))
-    weighted = F.flatten(F.array(*[F.transform(F.col(f), weigh(w)) for f, w in FIELD_WEIGHTS.items()], F.array(F.struct(F.lit(_ALL).alias("term"), F.lit(1.0).alias("w")))))
-    seen = settle(docs.select("chunk_id", "length", F.inline(weighted)).join(wanted, "term").groupBy("chunk_id", "length", "term").agg(F.sum("w").alias("f")))
-    one = phrases.where(F.size("phrase") == 1).select(F.col("key").alias("term"))
-    single = seen.join(one.unionByName(queries.sparkSession.createDataFrame([(_ALL,)], "term string")), "term").select("chunk_id", "length", F.col("term").alias("key"), "f")
-    # longer phrases are looked for only where all their terms stand
-    many = phrases.where(F.size("phrase") > 1).select("key", "phrase", F.size(F.array_distinct("phrase")).alias("n"), F.explode(F.array_distinct("phrase")).alias("term"))
-    met = seen.join(many, "term").groupBy("chunk_id", "key", "phrase", "n").agg(F.count("*").alias("k")).where("k = n").select("chunk_id", "key", "phrase")
-    counts = sum((tx.phrase_count(F.col(f), F.col("phrase")) * w for f, w in FIELD_WEIGHTS.items()), F.lit(0.0))
-    longer = met.join(docs, "chunk_id").select("chunk_id", "length", "key", counts.alias("f")).where("f > 0")
+    wanted = phrases.select(F.explode("phrase").alias("term")).distinct()
+    seen = settle(index.terms.join(wanted, "term"))
+    # a phrase of one term is that term
+    single = seen.join(phrases.where(F.size("phrase") == 1).select(F.col("key").alias("term")), "term").select("chunk_id", "length", F.col("term").alias("key"), "f")
+    # a longer one stands where each of its terms does, as many places further on as it is in the phrase
+    many = phrases.where(F.size("phrase") > 1).select("key", F.size("phrase").alias("n"), F.posexplode("phrase").alias("i", "term"))
+    met = seen.join(many, "term").select("chunk_id", "length", "key", "n", "i", F.transform("places", lambda p: p - F.col("i")).alias("starts"))
+    met = met.groupBy("chunk_id", "length", "key", "n").agg(F.collect_list("starts").alias("all")).where(F.size("all") == F.col("n"))
+    starts = F.aggregate(F.slice("all", 2, F.size("all")), F.get("all", F.lit(0)), F.array_intersect)
+    weigh = lambda p: F.when(p >= FIELD_BASE["path"], FIELD_WEIGHTS["path"]).when(p >= FIELD_BASE["symbol"], FIELD_WEIGHTS["symbol"]).otherwise(FIELD_WEIGHTS["text"])
+    longer = met.select("chunk_id", "length", "key", F.aggregate(starts, F.lit(0.0), lambda s, p: s + weigh(p)).alias("f")).where("f > 0")
     # one occurrence of each distinct token counts, tokens of the same phrase add up
     return single.unionByName(longer), asked.groupBy("query_id", "key").agg(F.count("*").alias("qtf"))
 
@@ -207,17 +210,20 @@ def _phrase_idf(n: Column, df: Column) -> Column:
 
 
 def bm25_phrases(
-    chunks: DataFrame, queries: DataFrame, limit: int = 10, filters: Mapping[str, Any] | None = None, two_stage: bool = False, fetch: int | None = None
+    source: Source, queries: DataFrame, limit: int = 10, filters: Mapping[str, Any] | None = None, two_stage: bool = False, fetch: int | None = None, most_chars: int | None = None
 ) -> DataFrame:
     """The best chunks of each query by phrases in weighted fields: query_id, rank, chunk_id, score.
 
     With ``two_stage`` only the best ``fetch`` (by default ``limit``) chunks
     before the bonus can be listed, as an engine that cuts first would; else
-    the bonus counts for all chunks that match.
+    the bonus counts for all chunks that match. ``source`` and ``most_chars``
+    are as for ``bm25``.
     """
     checked_limit(limit)
-    hits, asked = _phrase_hits(chunks, queries)
+    index = indexed(source, most_chars)
+    hits, asked = _phrase_hits(index, queries)
+    how = (PHRASE_K1, PHRASE_B, _phrase_idf)
     if not two_stage:
-        return _best(hits, asked, chunks, queries, filters, limit, PHRASE_K1, PHRASE_B, _phrase_idf, False)
-    cut = _best(hits, asked, chunks, queries, filters, fetch or limit, PHRASE_K1, PHRASE_B, _phrase_idf, False, bonus_too=False)
-    return _with_bonus(cut.select("query_id", "chunk_id", "score"), _identity(chunks), queries, limit)
+        return _best(hits, asked, index, "phrase_length", queries, filters, limit, *how, False)
+    cut = _best(hits, asked, index, "phrase_length", queries, filters, fetch or limit, *how, False, bonus_too=False)
+    return _with_bonus(cut.select("query_id", "chunk_id", "score"), _identity(index.docs), queries, limit)

@@ -6,6 +6,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def by_symbols(chunks: DataFrame, symbols: DataFrame, limit: int) -> DataFrame:
+    """symbol, rank and the first ``limit`` chunks of each of many symbols (``symbol``), in the order of their sources."""
+    place = Window.partitionBy("symbol").orderBy("source_path", "ord", "chunk_id")
+    found = chunks.join(symbols.select("symbol").distinct(), "symbol")
+    return found.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= limit)
+
+
 def by_symbol(chunks: DataFrame, symbol: str, limit: int | None = None, knowledge_id: str | None = None) -> DataFrame:
     """Chunks of a symbol, in the order of their sources."""
     found = chunks.where(F.col("symbol") == symbol)
@@ -21,8 +28,9 @@ def by_path(chunks: DataFrame, path: str) -> DataFrame:
 
 
 def by_repository(chunks: DataFrame, repository: str) -> DataFrame:
-    """Chunks of a repository."""
-    return chunks.where(F.col("repository_name") == repository)
+    """Chunks of a repository, by the name in their column or either name in their metadata."""
+    inside = [F.get_json_object("metadata", f"$.{k}") == repository for k in ("repository", "repository_name")]
+    return chunks.where(F.coalesce(F.col("repository_name") == repository, F.lit(False)) | F.coalesce(inside[0], F.lit(False)) | F.coalesce(inside[1], F.lit(False)))
 
 
 def by_id(chunks: DataFrame, chunk_id: str) -> DataFrame:

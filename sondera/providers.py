@@ -98,38 +98,64 @@ class FastEmbed:
         return np.array(next(iter(self._load().query_embed([text]))))
 
 
+class _Again(Exception):
+    """Worth another attempt."""
+
+
+def attempted(call, attempts: int, first_wait: float = 0.5):
+    """What ``call`` gives, tried again with doubled waits as long as it asks for it; the last trouble is raised as it came."""
+    for wait in [first_wait * 2**i for i in range(attempts - 1)] + [None]:
+        try:
+            return call()
+        except _Again as e:
+            if wait is None:
+                raise e.__cause__ from None
+            time.sleep(wait)
+
+
 class HttpEmbedding:
-    """An embedding service with the usual JSON protocol; overloads and server errors are tried again."""
+    """An embedding service with the usual JSON protocol; overloads, server errors and broken answers are tried again."""
 
+    #: Answers, besides server errors, after which another attempt may succeed.
     RETRIED = frozenset((408, 409, 425, 429))
 
-    def __init__(self, base_url: str, model: str, api_key_env: str = "", batch_size: int = 8, attempts: int = 4, timeout: float = 60.0):
-        self.base_url, self.model, self.api_key_env, self.batch_size, self.attempts, self.timeout, self.dimensions = base_url.rstrip("/"), model, api_key_env, batch_size, attempts, timeout, None
-
-    def _post(self, texts: list[str]) -> list[list[float]]:
-        headers = {"Content-Type": "application/json"}
-        if self.api_key_env and os.environ.get(self.api_key_env):
-            headers["Authorization"] = f"Bearer {os.environ[self.api_key_env]}"
-        body = json.dumps({"model": self.model, "input": texts}).encode()
-        for attempt in range(self.attempts):
-            try:
-                with urllib.request.urlopen(urllib.request.Request(f"{self.base_url}/embeddings", body, headers), timeout=self.timeout) as r:
-                    data = json.load(r)["data"]
-                return [d["embedding"] for d in sorted(data, key=lambda d: d.get("index", 0))]
-            except urllib.error.HTTPError as e:
-                if attempt + 1 == self.attempts or (e.code < 500 and e.code not in self.RETRIED):
-                    raise EmbeddingError(f"the embedding service answered {e.code}") from e
-            except urllib.error.URLError as e:
-                if attempt + 1 == self.attempts:
-                    raise EmbeddingError("the embedding service can't be reached") from e
-            time.sleep(0.5 * 2**attempt)
-        raise EmbeddingError("the embedding service gave no answer")
+    def __init__(self, base_url: str, model: str, api_key_env: str = "", batch_size: int = 8, attempts: int = 4, timeout: float = 60.0, query_instruction: str = "", dimensions: int | None = None):
+        self.base_url, self.model, self.api_key_env, self.batch_size, self.attempts, self.timeout = base_url.rstrip("/"), model, api_key_env, batch_size, attempts, timeout
+        self.query_instruction, self.dimensions = query_instruction, dimensions
+
+    def _ask(self, texts: list[str]) -> bytes:
+        key = os.environ.get(self.api_key_env, "") if self.api_key_env else ""
+        request = urllib.request.Request(f"{self.base_url}/embeddings", json.dumps({"model": self.model, "input": texts}).encode(), {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {key}"} if key else {}))
+        try:
+            with urllib.request.urlopen(request, timeout=self.timeout) as answer:
+                return answer.read()
+        except urllib.error.HTTPError as e:
+            trouble = EmbeddingError(f"the embedding service answered {e.code}")
+            raise (_Again() if e.code >= 500 or e.code in self.RETRIED else trouble) from trouble
+        except OSError as e:
+            raise _Again() from EmbeddingError(f"the embedding service can't be reached ({type(e).__name__})")
+
+    def _vectors(self, texts: list[str]) -> np.ndarray:
+        """Vectors in the order of the texts, as many as there are texts and all of one size."""
+        raw = self._ask(texts)
+        try:
+            rows = sorted(json.loads(raw)["data"], key=lambda row: row.get("index", 0))
+            made = np.array([row["embedding"] for row in rows], np.float64)
+        except (ValueError, KeyError, TypeError, AttributeError) as e:
+            raise _Again() from EmbeddingError(f"the embedding service's answer can't be read ({type(e).__name__})")
+        if made.ndim != 2 or len(made) != len(texts):
+            raise EmbeddingError(f"{len(made)} vectors for {len(texts)} texts")
+        if self.dimensions and made.shape[1] != self.dimensions:
+            raise EmbeddingError(f"vectors of {made.shape[1]} numbers where {self.dimensions} are set")
+        return made
 
     def embed_texts(self, texts: list[str]) -> np.ndarray:
-        return np.array([v for i in range(0, len(texts), self.batch_size) for v in self._post(texts[i : i + self.batch_size])])
+        parts = [texts[i : i + self.batch_size] for i in range(0, len(texts), self.batch_size)]
+        made = [attempted(lambda part=part: self._vectors(part), self.attempts) for part in parts]
+        return np.concatenate(made) if made else np.empty((0, self.dimensions or 0))
 
     def embed_query(self, text: str) -> np.ndarray:
-        return self.embed_texts([text])[0]
+        return self.embed_texts([f"{self.query_instruction}{text}"])[0]
 
 
 def embedding_provider(model: Model) -> EmbeddingProvider:
@@ -144,22 +170,27 @@ def embedding_provider(model: Model) -> EmbeddingProvider:
     if name in ("openai", "openai_compatible", "http"):
         if not model.base_url:
             raise ConfigError("an embedding service needs a base_url")
-        return HttpEmbedding(model.base_url, model.model, model.api_key_env, model.batch_size)
+        return HttpEmbedding(model.base_url, model.model, model.api_key_env, model.batch_size, query_instruction=model.query_instruction)
     raise ConfigError(f"unknown embedding provider {model.provider}")
 
 
-def embed(rows: DataFrame, provider: EmbeddingProvider, text: str = "text", vector: str = "vector") -> DataFrame:
-    """Rows with a vector for their text. Hash vectors are made in SQL; models run on Arrow batches."""
+def embed(rows: DataFrame, provider: EmbeddingProvider, text: str = "text", vector: str = "vector", queries: bool = False) -> DataFrame:
+    """Rows with a vector for their text. Hash vectors are made in SQL; models run on Arrow batches.
+
+    ``queries``: the texts are queries, which some models embed in another way
+    (with an instruction) than the texts that they look for.
+    """
     if isinstance(provider, HashEmbedding):
         return rows.withColumn(vector, vx.hash_embedding(F.col(text), provider.dimensions))
 
     @F.pandas_udf("array<double>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            made = provider.embed_texts([t or "" for t in batch])
+            texts = [t or "" for t in batch]
+            made = [provider.embed_query(t) for t in texts] if queries else provider.embed_texts(texts)
             if len(made) != len(batch):
                 raise EmbeddingError(f"{len(made)} vectors for {len(batch)} texts")
-            yield pd.Series(list(np.asarray(made, dtype=np.float64)), index=batch.index)
+            yield pd.Series([np.asarray(v, dtype=np.float64) for v in made], index=batch.index)
 
     return rows.withColumn(vector, run(F.col(text)))
 

@@ -17,11 +17,8 @@ CHUNKS = _struct(
     knowledge_id=_S, file_key=_S, source_path=_S, kind=_S, symbol=_S, start_line=_I, end_line=_I, ord=_I, text=_S, metadata=_S,
     chunk_id=_S, content_hash=_S, indexed_at=T.TimestampType(), source_type=_S, document_type=_S, language=_S, repository_name=_S, xml_path=_S,
 )
-POSTINGS = _struct(knowledge_id=_S, token=_S, chunk_id=_S, tf=_I)
-DOC_STATS = _struct(knowledge_id=_S, chunk_id=_S, length=_I)
-VECTORS = _struct(knowledge_id=_S, chunk_id=_S, vector=T.ArrayType(T.FloatType()), norm=_D, content_hash=_S)
+VECTORS = _struct(knowledge_id=_S, chunk_id=_S, source_path=_S, vector=T.ArrayType(T.FloatType()), norm=_D, content_hash=_S)
 FILE_STATE = _struct(knowledge_id=_S, path=_S, mtime=_D, size=_L, sha256=_S, git_commit=_S)
-META = _struct(knowledge_id=_S, generation=_L)
 QUERIES = _struct(query_id=_L, query=_S, expected=T.ArrayType(_S))
 
 #: Metadata keys that are columns of their own, so that filters reach the scan.

@@ -10,10 +10,14 @@ import hashlib
 import os
 from collections.abc import Iterable, Iterator
 from pathlib import Path
+from typing import TYPE_CHECKING
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
+if TYPE_CHECKING:
+    from sondera.config import Parsing
+
 #: Folders and types that are no sources.
 IGNORED_DIRS = frozenset(".git .hg .svn .venv venv node_modules __pycache__ .mypy_cache .pytest_cache .ruff_cache .tox dist build .idea .vscode target".split())
 IGNORED_TYPES = frozenset(".pyc .pyo .so .o .a .dll .exe .class .jar .zip .gz .tar .png .jpg .jpeg .gif .ico .woff .woff2".split())
@@ -79,7 +83,7 @@ def read_text(path: str) -> str:
     return Path(path).read_bytes().decode("utf-8", "replace").replace("\r\n", "\n").replace("\r", "\n")
 
 
-def parsed(files: DataFrame) -> DataFrame:
+def parsed(files: DataFrame, options: Parsing | None = None) -> DataFrame:
     """Chunks of the files, one stage: the chunk columns and ``error`` for a file that failed (then with a path only)."""
     from sondera.sources.parsers import CHUNK_FIELDS, parse_file
 
@@ -90,7 +94,7 @@ def parsed(files: DataFrame) -> DataFrame:
             rows = []
             for kid, root, path in zip(batch["knowledge_id"], batch["root"], batch["path"]):
                 try:
-                    rows += [(kid, path, *[c.get(f) for f in CHUNK_FIELDS], None) for c in parse_file(path, root)]
+                    rows += [(kid, path, *[c.get(f) for f in CHUNK_FIELDS], None) for c in parse_file(path, root, options)]
                 except Exception as e:  # noqa: BLE001 - a file that fails is reported and tried again next time
                     rows.append((kid, path, *[None] * len(CHUNK_FIELDS), f"{type(e).__name__}: {e}"[:200]))
             out = pd.DataFrame(rows, columns=names)

@@ -7,21 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from sondera import schema as sc
 from sondera.operators import index as ix
+from sondera.operators.words import WordStore
+from sondera.session import settle
 
 
-def index_stream(chunks: DataFrame, snapshots: ix.Snapshots, checkpoint: str, once: bool = True, every: str = "10 seconds") -> StreamingQuery:
-    """Replace the files that a stream of chunks brings, one micro-batch after another.
+def index_stream(chunks: DataFrame, snapshots: ix.Snapshots, checkpoint: str, once: bool = True, every: str = "10 seconds", words: WordStore | None = None) -> StreamingQuery:
+    """Replace the files that a stream of chunks brings, one micro-batch after another, and their postings in ``words`` if given.
 
-    A batch that is run again after a failure finds its number in the pointer
-    and changes nothing.
+    Only the buckets of these files are written. A batch that is run again
+    after a failure finds its number in the manifest and changes nothing.
     """
 
     def upsert(batch: DataFrame, number: int) -> None:
-        fresh = ix.newest_chunks(batch)
-        table = snapshots.read(sc.CHUNKS)
-        snapshots.write(ix.replace_files(table.select(*fresh.columns), fresh), batch=f"{checkpoint}#{number}")
+        fresh = settle(ix.newest_chunks(batch))
+        name = f"{checkpoint}#{number}"
+        if words is not None:
+            words.add(fresh, batch=name)
+        snapshots.replace(fresh, batch=name)
 
     writer = chunks.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()

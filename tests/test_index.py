@@ -12,7 +12,9 @@ from sondera import engine as en
 from sondera import schema as sc
 from sondera.operators import index as ix
 from sondera.operators import normalize as nz
+from sondera.operators.lexical import FIELD_WEIGHTS
 from sondera.operators.latest import latest
+from sondera.operators.words import WordStore
 from sondera.sources import files, parsers, tables
 from sondera.streaming import events as ev
 from sondera.streaming.watch import index_stream
@@ -50,9 +52,15 @@ def test_parsers():
     source = "import os\nclass A(B):\n    @classmethod\n    def m(cls):\n        def inner(): pass\n    async def n(self): pass\ndef f():\n    def g(): pass\n"
     py = {c.get("symbol"): c["kind"] for c in parsers.python_chunks(source)}
     assert py == {None: "module", "A": "class", "A.m": "method", "A.n": "method", "f": "function", "g": "function"}
+    made = parsers.python_chunks("from a import (b,\n  c)\nimport d as e\n@dec(1)\ndef f():\n    import g\nclass K:\n    if True:\n        def m(self): pass\n    class L:\n        def n(self): pass\n")
+    assert made[0]["metadata"]["imports"] == ["from a import b, c", "import d as e"]
+    assert [(c["symbol"], c["kind"], c["start_line"]) for c in made[1:]] == [("f", "function", 5), ("K", "class", 7), ("K.m", "method", 9), ("K.L", "class", 10), ("K.L.n", "method", 11)] and made[1]["metadata"]["decorators"] == ["dec(1)"]
     with pytest.raises(SyntaxError):
         parsers.python_chunks("def (")
     xml = parsers.xml_chunks("<root>\n<a>\n<detector>\n<pix/>\n<pix/>\n</detector>\n</a>\n</root>")
+    # a closing tag closes the nearest of its name and no other; the rest ends with the text
+    crossed = parsers.xml_chunks("<a>\n<b>\n<c>\n<d/>\n</b>\n<e>\n<f/>\n</e>\n</a>\n<!-- -->")
+    assert [(c["symbol"], c["start_line"], c["end_line"]) for c in crossed] == [("a", 1, 9), ("a/b", 2, 5), ("a/b/c", 3, 10), ("a/c/e", 6, 8)]
     assert ("root/a/detector", 3, 6) in {(c["symbol"], c["start_line"], c["end_line"]) for c in xml}
     assert parsers.xml_chunks("<a/>") == []
     assert parsers.html_text("<head><title>t</title></head><h1>Title</h1><p>Hello <b>world</b></p>") == "# Title\nHello world"
@@ -112,12 +120,65 @@ def test_snapshots_and_stream(spark, chunk, tmp_path):
     assert store.read().count() == 2
     rows.write.parquet(f"{tmp_path}/in")
     other = ix.Snapshots(spark, f"file://{tmp_path}/other")
+    words = WordStore(spark, f"file://{tmp_path}/words", FIELD_WEIGHTS)
     for _ in range(2):
         source = spark.readStream.schema(sc.CHUNKS).parquet(f"{tmp_path}/in")
-        index_stream(source, other, f"file://{tmp_path}/check").awaitTermination()
+        index_stream(source, other, f"file://{tmp_path}/check", words=words).awaitTermination()
+    assert words.read().docs.count() == 2
     assert other.read().count() == 2 and other.drop() and other.read() is None
 
 
+def test_only_touched_buckets_are_written(spark, chunk, tmp_path):
+    store = ix.Snapshots(spark, f"file://{tmp_path}/s", buckets=8, keep=2)
+    rows = chunk(*[{"source_path": f"f{i}.py", "chunk_id": f"c{i}", "text": "t"} for i in range(40)])
+    store.write(rows)
+    first = store.pointer()["parts"]
+    assert store.replace(chunk({"source_path": "f7.py", "chunk_id": "new"})) == 2
+    second = store.pointer()["parts"]
+    assert sum(first[b] != second[b] for b in first) == 1
+    got = {r["chunk_id"] for r in store.read().collect()}
+    assert got == {f"c{i}" for i in range(40)} - {"c7"} | {"new"}
+    # an id that comes under another file goes from where it was
+    store.replace(chunk({"source_path": "moved.py", "chunk_id": "c3"}))
+    assert sorted(r["file_key"] for r in store.read().where("chunk_id = 'c3'").collect()) == ["/r/moved.py"] and store.read().count() == 40
+    store.replace(rows.limit(0), rows.where("chunk_id = 'c5'").select("file_key"))
+    assert store.read().where("chunk_id = 'c5'").count() == 0 and store.read().count() == 39
+    names = [n for n in store._names() if n.startswith("manifest-")]
+    assert len(names) == 2 and {p.split("/")[0] for n in names for p in store._manifest(n)["parts"].values()} >= {n for n in store._names() if n.startswith("v")} - {store._names()[-1]}
+
+
+def test_two_writers_and_a_crash(spark, chunk, tmp_path, monkeypatch):
+    """Of two writers one is told; what a writer left half done is never seen and never in the way."""
+    one, two = (ix.Snapshots(spark, f"file://{tmp_path}/s") for _ in range(2))
+    one.write(chunk({"chunk_id": "a"}))
+    seen = one.pointer()
+    two.write(chunk({"chunk_id": "b"}))
+    monkeypatch.setattr(one, "pointer", lambda: seen)
+    with pytest.raises(ix.Conflict):
+        one.write(chunk({"chunk_id": "c"}))
+    monkeypatch.undo()
+    assert [r["chunk_id"] for r in one.read().collect()] == ["b"] and one.pointer()["generation"] == 2
+    for step in ("_publish", "_tidy"):
+        with monkeypatch.context() as m:
+            m.setattr(ix.Snapshots, step, lambda *a: (_ for _ in ()).throw(OSError("lost")))
+            with pytest.raises(OSError):
+                one.write(chunk({"chunk_id": step}))
+        want = "b" if step == "_publish" else "_tidy"
+        assert [r["chunk_id"] for r in two.read().collect()] == [want]
+    assert one.write(chunk({"chunk_id": "d"})) == 4 and [r["chunk_id"] for r in two.read().collect()] == ["d"]
+
+
+def test_noise(spark, tmp_path):
+    files_ = spark.createDataFrame([("/r/a.npy", 5), ("/r/b/c.zip", 7), ("/r/htmlcov/x.py", 1), ("/r/htmlcov/y.log", 2), ("/r/.log", 3), ("/r/ok.py", 9), (None, 1)], "path string, size long")
+    got = {r["category"]: (r["files"], r["bytes"], r["folders"], r["samples"]) for r in ix.noisy_files(files_).collect()}
+    assert got == {"binary/data": (1, 5, 0, "a.npy"), "archives": (1, 7, 0, "c.zip"), "logs/cache/build": (0, 0, 1, "htmlcov"), "logs": (1, 2, 0, "y.log")}
+    assert "archives" not in {r["category"] for r in ix.noisy_files(files_, (".zip",)).collect()} and ix.noisy_files(files_.limit(0)).count() == 0
+    config = cf.Config(cf.Knowledge("demo"), cf.Storage(str(tmp_path)), sources=cf.Sources(code=[cf.Source(path=str(tmp_path))]))
+    cf.save(config, tmp_path / "demo.yaml")
+    assert en.ignore_noise(config, ["logs/cache/build"], tmp_path / "demo.yaml") and not en.ignore_noise(config, ["logs/cache/build"])
+    assert "htmlcov" in cf.load(tmp_path / "demo.yaml").indexing.ignored_directories
+
+
 def test_jsonl_and_documents(spark, chunk, tmp_path):
     chunk({"source_path": "a.md", "text": "t"}).write.json(f"{tmp_path}/j")
     assert tables.read_jsonl(spark, f"{tmp_path}/j").first()["text"] == "t"
@@ -146,7 +207,8 @@ def test_index_run(spark, tmp_path):
     assert engine.chunks.count() == 2 and engine.mode() == "hybrid"
     assert en.embed_config(spark, config) == 2
     assert engine.search(engine.queries("Two More"), 1).first()["symbol"] == "Two"
-    assert en.delete_index(spark, config) and not (tmp_path / "data").exists()
+    assert en.delete_source_vectors(spark, config, "note.md") == 0
+    assert en.delete_index(spark, config) == (True, None) and not (tmp_path / "data").exists()
 
 
 def test_settings(tmp_path, monkeypatch):

@@ -1,13 +1,17 @@
 """Ranking by words and vectors, fusion, lookup, evaluation, the engine."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from sondera import config as cf
-from sondera.engine import Engine, corpus
+from sondera.engine import Engine, collect_citations
+from sondera.functions import text as tx
 from sondera.functions import vectors as vx
 from sondera.operators import dense, evaluate, filters, fusion, lexical, lookup
+from sondera.operators.words import Variants, WordStore
 from sondera.providers import HashEmbedding
 
 
@@ -48,10 +52,66 @@ def test_phrases_rank(spark, corpus_):
     assert len(ids(lexical.bm25_phrases(corpus_, q(spark, "the detector"), 2, two_stage=True))) == 2
 
 
-def test_text_bound(spark, chunk):
+def test_whole_texts_and_a_bound(spark, chunk):
+    """Whole texts are searched, unless a bound is asked for."""
     rows = chunk({"chunk_id": "long", "text": "word " * 40_001 + "marker", "source_path": "path/long.txt"})
-    assert lexical.bm25(rows, q(spark, "marker"), 5).count() == 0
-    assert ids(lexical.bm25(rows, q(spark, "long"), 5)) == ["long"]
+    assert ids(lexical.bm25(rows, q(spark, "marker"), 5)) == ["long"] and ids(lexical.bm25_phrases(rows, q(spark, "marker"), 5)) == ["long"]
+    assert lexical.bm25(rows, q(spark, "marker"), 5, most_chars=tx.MAX_INDEXED).count() == 0
+    assert ids(lexical.bm25(rows, q(spark, "long"), 5, most_chars=tx.MAX_INDEXED)) == ["long"]
+
+
+def test_phrase_counts(spark, chunk):
+    """A phrase counts where its terms follow each other, in each field by its weight."""
+    rows = chunk(
+        {"chunk_id": "a", "text": "my_func my.func func my", "source_path": "z"}, {"chunk_id": "b", "text": "func my", "symbol": "my_func", "source_path": "z"}, {"chunk_id": "c", "text": "x", "symbol": "my", "source_path": "func"},
+        {"chunk_id": "d", "text": None, "source_path": None}, {"chunk_id": "e", "text": "zz zz zz zz", "source_path": "q"},
+    )
+    hits, _ = lexical._phrase_hits(lexical.indexed(rows), q(spark, "my_func", "zz_zz"))
+    got = {(r["chunk_id"], r["key"]): r["f"] for r in hits.collect()}
+    index = lexical.indexed(rows)
+    texts = {r["chunk_id"]: r for r in rows.collect()}
+    for chunk_id, r in texts.items():
+        fields = {"text": "\n".join(x or "" for x in (r["text"], r["symbol"], r["xml_path"], r["source_path"], r["kind"])), "symbol": r["symbol"] or "", "path": r["source_path"] or ""}
+        for key in ("my func", "zz zz"):
+            want, phrase = 0.0, key.split()
+            for field, text in fields.items():
+                terms = re.findall("[a-z0-9]+", " ".join(v for raw in re.findall(tx.TOKEN, text) for v in Variants()[raw]))
+                want += lexical.FIELD_WEIGHTS[field] * sum(terms[i : i + len(phrase)] == phrase for i in range(len(terms)))
+            assert got.get((chunk_id, key), 0.0) == want
+    assert index.statistics("phrase_length")[0] == 5 and got["b", "my func"] == 18.0
+
+
+def test_named_by_runs_and_letters(spark, chunk):
+    rows = chunk({"chunk_id": "a", "symbol": "x", "source_path": "lib/my-long name/file.py"}, {"chunk_id": "b", "symbol": "Ab", "source_path": "other"})
+    got = {(r["query_id"], r["chunk_id"]) for r in lexical._named(q(spark, "my-long name/file", "long", "b", "AB", "", "zz-long name/x", "lib/m"), rows).collect()}
+    assert got == {(1, "a"), (2, "a"), (3, "a"), (3, "b"), (4, "b"), (7, "a")}
+
+
+def test_stored_index(spark, chunk, tmp_path):
+    """A stored index answers as one made on the way does, after every run."""
+    store = WordStore(spark, f"file://{tmp_path}/words", lexical.FIELD_WEIGHTS, buckets=3, most_segments=2)
+    assert store.read() is None
+    asked = q(spark, "alpha beta", "gamma_delta", "a.py")
+    make = lambda *texts, start=0, path="a": [{"chunk_id": f"{path}{i + start}", "text": t, "source_path": f"{path}.py", "file_key": f"/{path}.py"} for i, t in enumerate(texts)]
+    files = {"a": make("alpha beta", "gamma delta gamma_delta", path="a"), "b": make("alpha", "beta beta", path="b")}
+    steps = [(None, files["a"] + files["b"], None), ("a", make("alpha alpha gamma_delta", path="a"), None), ("c", make("delta gamma", "alpha beta", path="c"), None), ("b", [], "/b.py"), ("d", make("beta", path="d"), None)]
+    now: dict[str, list] = {}
+    for n, (name, rows, gone) in enumerate(steps):
+        if name is None:
+            now = dict(files)
+        elif gone:
+            now.pop(name)
+        else:
+            now[name] = rows
+        fresh = chunk(*rows) if rows else chunk({"chunk_id": "x"}).limit(0)
+        before = store.docs.pointer()["generation"]
+        assert store.add(fresh, spark.createDataFrame([(gone,)], "file_key string") if gone else None, batch=str(n)) == before + 1
+        assert store.add(fresh, batch=str(n)) == before + 1
+        index, plain = store.read(), chunk(*[r for rs in now.values() for r in rs])
+        for rank in (lexical.bm25, lexical.bm25_phrases):
+            rounded = lambda df: sorted((r["query_id"], r["rank"], r["chunk_id"], round(r["score"], 9)) for r in df.collect())
+            assert rounded(rank(index, asked, 5)) == rounded(rank(plain, asked, 5)), (n, rank)
+    assert len(store.docs.pointer()["note"]) <= 2
 
 
 def test_filters(corpus_):
@@ -129,11 +189,97 @@ def test_engine(spark, corpus_):
     assert final.count() == 3 and engine.search(asked, 3).select("source_path").distinct().count() >= 3
     words = Engine(corpus_)
     assert words.mode() == "sparse_fallback" and Engine(corpus_, retrieval=cf.Retrieval(dense_candidates=0)).mode() == "sparse_only"
-    assert set(ids(words.search_words(asked, 5, which="documents"))) == {"g"}
-    assert corpus(corpus_, "code").count() == 4
+    assert set(ids(words.search_documents(asked, 5))) == {"g"}
+    assert set(ids(words.search_code(asked, 5))) == {"m1", "m2", "c"}
+    marked = corpus_.withColumn("document_type", F.when(F.col("chunk_id") == "e", "code").otherwise(F.col("document_type"))).withColumn("symbol", F.when(F.col("chunk_id") == "e", "Lonely").otherwise(F.col("symbol")))
+    assert ids(Engine(marked).search_code(engine.queries("lonely"), 5)) == ["e"]
+    with pytest.raises(ValueError):
+        words.search_words(asked, 5, which="other")
+    assert collect_citations(words.search_words(asked, 2)).count() == 2
     aims = spark.createDataFrame([("t", "m1", None)], "target_id string, chunk_id string, source_id string")
     assert "m1" not in ids(words.related(aims, 2)) and words.related(aims, 2).count() == 2
-    assert words.read_source(aims).count() == 2 and "text" not in words.source_metadata(aims).columns
+    lost = spark.createDataFrame([("z", "none", None)], "target_id string, chunk_id string, source_id string")
+    assert words.read_source(aims).count() == 2 and [r["found"] for r in words.read_source(lost).collect()] == [False]
+    assert "text" not in words.source_metadata(aims).columns
     assert words.info().first()["chunks"] == 6
     cases = spark.createDataFrame([(1, "calibrate detector", ["m1"])], "query_id long, query string, expected array<string>")
     assert words.evaluate(cases).first()["mrr"] == 1.0
+
+
+@pytest.fixture
+def failing():
+    """A model that can't be reached, and one that embeds queries in another way than texts; made here so that executors get its code."""
+
+    class Failing:
+        dimensions = 2
+
+        def __init__(self, works: bool = False):
+            self.works = works
+
+        def embed_texts(self, texts):
+            if not self.works:
+                raise ConnectionError("http://u:p@h refused token=abc")
+            return np.array([[0.0, 1.0]] * len(texts))
+
+        def embed_query(self, text):
+            self.embed_texts([text])
+            return np.array([1.0, 0.0])
+
+        def scores(self, queries, texts):
+            raise RuntimeError("no memory for the reranker")
+
+    return Failing
+
+
+def test_what_fails_is_done_without(spark, corpus_, failing):
+    vectors = corpus_.select("chunk_id", F.array(F.lit(1.0), F.lit(0.0)).alias("vector")).where("chunk_id = 'g'").unionByName(corpus_.select("chunk_id", F.array(F.lit(0.0), F.lit(1.0)).alias("vector")).where("chunk_id = 'x'"))
+    asked = q(spark, "calibrate detector")
+    stages, said = Engine(corpus_, vectors, failing()).debug(asked, 3)
+    assert said["mode"] == "sparse_fallback" and said["degraded"] and said["fallback_category"] == "service_unavailable" and "abc" not in said["fallback_detail"] and "u:p" not in said["fallback_detail"]
+    assert stages.where("stage = 'final'").count() == 3
+    with pytest.raises(Exception, match="refused"):
+        Engine(corpus_, vectors, failing(), fall_back=False).debug(asked, 3)
+    stages, said = Engine(corpus_, vectors, failing(True), cf.Retrieval(rerank=True), failing()).debug(asked, 3)
+    assert said["mode"] == "hybrid" and said["reranked"] is False and "no memory" in said["reranker_error"]
+    # queries are embedded as queries
+    assert ids(stages.where("stage = 'dense'"))[0] == "g" and stages.where("stage = 'final'").count() == 3
+    with pytest.raises(Exception, match="no memory"):
+        Engine(corpus_, vectors, failing(True), cf.Retrieval(rerank=True), failing(), fall_back=False).debug(asked, 3)
+
+
+def test_own_retrievers(spark, corpus_):
+    class Fixed:
+        def search(self, queries, limit, filters=None):
+            return queries.select("query_id", F.lit(1).alias("rank"), F.lit("g").alias("chunk_id"), F.lit(1.0).alias("score"))
+
+    assert ids(Engine(corpus_, sparse=Fixed()).stages(q(spark, "a"), 1).where("stage = 'final'")) == ["g"]
+    assert ids(Engine(corpus_, dense=Fixed(), sparse=Fixed()).stages(q(spark, "a"), 1).where("stage = 'final'")) == ["g"]
+
+
+def test_http_embedding(monkeypatch):
+    """Answers are tried again after trouble on the service's side, put in order and checked."""
+    import json
+
+    from sondera import providers as pv
+
+    made = pv.HttpEmbedding("http://x.invalid", "m", batch_size=2, query_instruction="find: ", dimensions=2)
+    monkeypatch.setattr(pv.time, "sleep", lambda s: None)
+    asked, answers = [], []
+
+    def ask(self, texts):
+        asked.append(texts)
+        answer = answers.pop(0)
+        if isinstance(answer, Exception):
+            raise pv._Again() from answer
+        return answer
+
+    monkeypatch.setattr(pv.HttpEmbedding, "_ask", ask)
+    good = lambda *vectors: json.dumps({"data": [{"index": i, "embedding": v} for i, v in reversed(list(enumerate(vectors)))]}).encode()
+    answers[:] = [pv.EmbeddingError("503"), b"<html>", good([1, 0], [0, 1]), good([1, 1])]
+    assert made.embed_texts(["a", "b", "c"]).tolist() == [[1, 0], [0, 1], [1, 1]]
+    answers[:] = [good([1, 0])]
+    assert made.embed_query("a").tolist() == [1, 0] and asked[-1] == ["find: a"]
+    for wrong in ([good([1, 0], [0, 1])], [good([1, 0, 0])], [pv.EmbeddingError("503")] * 4, [b"{}"] * 4):
+        answers[:] = list(wrong)
+        with pytest.raises(pv.EmbeddingError):
+            made.embed_texts(["a"])
