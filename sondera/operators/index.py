@@ -78,7 +78,7 @@ def newest_chunks(chunks: DataFrame, *columns: Column | str) -> DataFrame:
     if not columns:
         rest = [c for c in chunks.columns if c != "chunk_id"]
         return latest(chunks, "chunk_id", "indexed_at", rest, "content_hash").select(*chunks.columns)
-    small = chunks.select(F.col("chunk_id"), F.col("indexed_at").alias("_at"), F.col("content_hash").alias("_hash"), *[c for c in columns if c != "chunk_id"])
+    small = chunks.select(F.col("chunk_id"), F.col("indexed_at").alias("_at"), F.col("content_hash").alias("_hash"), *[c for c in columns if not isinstance(c, str) or c != "chunk_id"])
     names = [c for c in small.columns if c not in ("chunk_id", "_at", "_hash")]
     return latest(small, "chunk_id", "_at", names, "_hash") if names else small.where(F.col("chunk_id").isNotNull()).select("chunk_id").distinct()
 

@@ -113,6 +113,27 @@ def ranked(scores: DataFrame, limit: int, score: str = "score") -> DataFrame:
 #: A token in more than this share of the chunks is common: what it adds to a score is small.
 COMMON = 0.05
 
+#: Rows of a frame that are sent to every task at most: some 10 MB.
+SENT = 100_000
+
+
+def small(df: DataFrame, most: int = SENT) -> DataFrame:
+    """The frame, marked to be sent to every task if it has so few rows; counted, not guessed."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def _gains(queries: DataFrame, docs: DataFrame) -> DataFrame:
+    """query_id, chunk_id, bonus of all pairs with a bonus: the query stands in the symbol or path, or shares a token with the element path."""
+    pixel = lambda c: F.when(c.isin(*PIXEL_WORDS), F.array(c, F.lit("\0pixel"))).otherwise(F.array(c))
+    marked = lambda c: F.array_distinct(F.flatten(F.transform(c, pixel)))
+    asked = queries.select("query_id", F.col("query").alias("_query"), tx.tokens("query").alias("_qtokens"))
+    elements = _identity(docs.where(F.contains(F.coalesce("xml_path", F.lit("")), F.lit("/")))).select("chunk_id", F.explode(marked("_elements")).alias("token"))
+    by_element = elements.join(asked.select("query_id", F.explode(marked("_qtokens")).alias("token")), "token").select("query_id", "chunk_id")
+    pairs = _named(queries, docs).unionByName(by_element).distinct()
+    made = pairs.join(_identity(docs), "chunk_id").join(asked, "query_id").select("query_id", "chunk_id", bonus(F.col("_query"), F.col("_qtokens")).alias("bonus"))
+    return made.where("bonus > 0")
+
+
 def _best(
     hits: DataFrame, asked: DataFrame, index: WordIndex, length: str, queries: DataFrame, filters: Mapping[str, Any] | None, limit: int, k1: float, b: float,
     idf: Callable[[Column, Column], Column], named: bool, bonus_too: bool = True,
@@ -121,36 +142,45 @@ def _best(
 
     ``hits`` has chunk_id, length, key, f (how much of a key a chunk has);
     ``asked`` has query_id, key, qtf. A chunk that shares no rare key with a
-    query, and isn't named by it, scores at most what all the query's common
-    keys could add and the bonus for element paths. Where the limit-th best of
-    the other chunks has more than that already, such chunks are left out
-    before common keys are joined. ``named``: whether being named is enough to
-    be listed; ``bonus_too``: whether being named counts at all.
+    query scores at most what each of the query's common keys adds to any
+    chunk. Where the limit-th best of the other chunks has more than that,
+    only these are scored. Of the rest all chunks are, those of a chunk in one
+    task, which keeps the best of each query alone. Pairs with a bonus are
+    few, and scored by themselves. ``named``: whether a bonus is enough to be
+    listed; ``bonus_too``: whether it counts at all.
     """
-    hits, chunks = settle(hits), index.docs
+    hits, docs = settle(hits), index.docs
     n, avg = index.statistics(length)
-    df = hits.groupBy("key").agg(F.count("*").alias("df"))
-    terms = settle(asked.join(df, "key").withColumn("w", F.col("qtf") * idf(F.lit(max(1, n)), F.col("df"))).withColumn("common", F.col("df") > COMMON * n))
-    weight = F.col("w") * F.col("f") * (k1 + 1) / (F.col("f") + k1 * (1 - b + b * F.col("length") / F.lit(avg)))
-    allowed = _identity(flt.apply(chunks, filters))
-
-    rare = hits.join(terms.where(~F.col("common")).select("query_id", "key", "w"), "key").select("query_id", "chunk_id", weight.alias("s"))
-    if bonus_too:
-        rare = rare.unionByName(_named(queries, chunks).withColumn("s", F.lit(0.0)))
-    first = settle(rare.groupBy("query_id", "chunk_id").agg(F.sum("s").alias("score")).join(allowed.select("chunk_id"), "chunk_id", "left_semi"))
+    impact = F.col("f") * (k1 + 1) / (F.col("f") + k1 * (1 - b + b * F.col("length") / F.lit(avg)))
+    # of each key how often it stands, and the most it adds to any chunk
+    keys = hits.groupBy("key").agg(F.count("*").alias("df"), F.max(impact).alias("top"))
+    terms = settle(asked.join(keys, "key").withColumn("w", F.col("qtf") * idf(F.lit(max(1, n)), F.col("df"))).withColumn("common", F.col("df") > COMMON * n))
+    weight = (F.col("w") * impact).alias("s")
+    if filters:
+        docs = flt.apply(docs, filters)
+        hits = settle(hits.join(docs.select("chunk_id"), "chunk_id", "left_semi"))
+    keyed = ["query_id", "key", "w"]
+
+    rare = hits.join(small(terms.where(~F.col("common")).select(*keyed)), "key").select("query_id", "chunk_id", weight)
+    first = settle(rare.groupBy("query_id", "chunk_id").agg(F.sum("s").alias("score")))
     floor = ranked(first, limit).groupBy("query_id").agg(F.count("*").alias("_k"), F.min("score").alias("_floor"))
-    most = terms.where("common").groupBy("query_id").agg((F.sum("w") * (k1 + 1) + (2 * BONUS_XML if bonus_too else 0.0) + 1e-6).alias("_most"))
+    most = terms.groupBy("query_id").agg((F.coalesce(F.sum(F.when(F.col("common"), F.col("w") * F.col("top"))), F.lit(0.0)) + 1e-6).alias("_most"))
     # of these queries every chunk must be scored
     whole = settle(most.join(floor, "query_id", "left").select("query_id", (F.coalesce(F.col("_k") < limit, F.lit(True)) | (F.col("_most") >= F.col("_floor"))).alias("whole")))
-    common = terms.where("common").select("query_id", "key", "w").join(whole, "query_id")
-    everywhere = hits.join(common.where("whole").select("query_id", "key", "w"), "key").select("query_id", "chunk_id", weight.alias("s"))
-    ahead = first.select("query_id", "chunk_id").join(common.where("not whole").select("query_id", "key", "w"), "query_id")
-    among = hits.join(ahead, ["chunk_id", "key"]).select("query_id", "chunk_id", weight.alias("s"))
-    parts = first.select("query_id", "chunk_id", F.col("score").alias("s")).unionByName(everywhere).unionByName(among)
-    scores = parts.groupBy("query_id", "chunk_id").agg(F.sum("s").alias("score"))
+    told = small(terms.join(whole, "query_id").select(*keyed, "common", "whole"))
+    everywhere = hits.repartition("chunk_id").join(told.where("whole"), "key").groupBy("query_id", "chunk_id").agg(F.sum(weight).alias("score"))
+    ahead = first.join(whole.where("not whole"), "query_id", "left_semi")
+    more = hits.join(ahead.select("query_id", "chunk_id"), "chunk_id").join(told.where("common and not whole"), ["query_id", "key"]).select("query_id", "chunk_id", weight)
+    among = ahead.select("query_id", "chunk_id", F.col("score").alias("s")).unionByName(more).groupBy("query_id", "chunk_id").agg(F.sum("s").alias("score"))
+    plain = ranked(everywhere.unionByName(among), limit).select("query_id", "chunk_id", "score")
     if not bonus_too:
-        return ranked(scores.join(allowed.select("chunk_id"), "chunk_id", "left_semi"), limit).select("query_id", "rank", "chunk_id", "score")
-    return _with_bonus(scores if named else scores.where("score > 0"), allowed, queries, limit)
+        return ranked(plain, limit).select("query_id", "rank", "chunk_id", "score")
+    gained = settle(_gains(queries, docs))
+    pairs = hits.join(small(gained), "chunk_id").join(told, ["query_id", "key"]).select("query_id", "chunk_id", weight).groupBy("query_id", "chunk_id").agg(F.sum("s").alias("_base"))
+    boosted = gained.join(pairs, ["query_id", "chunk_id"], "left" if named else "inner").select("query_id", "chunk_id", (F.coalesce("_base", F.lit(0.0)) + F.col("bonus")).alias("score"))
+    # whoever a chunk without a bonus is behind, is ahead of it with one, too: the best without are enough
+    others = plain.join(gained.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
+    return ranked(others.unionByName(boosted), limit).select("query_id", "rank", "chunk_id", "score")
 
 
 def indexed(source: Source, most_chars: int | None = None) -> WordIndex:

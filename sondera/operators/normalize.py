@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sondera import schema as sc
@@ -37,31 +35,50 @@ def line_windows(lines: list[str], most: int, overlap: int) -> list[tuple[int, i
     return out
 
 
+_PIECES = "array<struct<piece:int,pieces:int,start_line:int,end_line:int,text:string>>"
+
+
+def _limits(max_tokens: int, overlap_tokens: int) -> tuple[int, int]:
+    """Most characters of a piece, and of an overlap."""
+    return CHARS_PER_TOKEN * max_tokens, CHARS_PER_TOKEN * max(0, min(overlap_tokens, max_tokens // 2))
+
+
+def pieces(max_tokens: int, overlap_tokens: int = 0, text: str = "text", start_line: str = "start_line") -> Column:
+    """What a text is cut into, as an array in its row: nothing is exchanged or joined."""
+    most, overlap = _limits(max_tokens, overlap_tokens)
+
+    @F.pandas_udf(_PIECES)
+    def cut(texts: pd.Series, starts: pd.Series) -> pd.Series:
+        out = []
+        for whole, first in zip(texts, starts):
+            lines = (whole or "").splitlines(keepends=True)
+            windows = line_windows(lines, most, overlap)
+            first = 1 if pd.isna(first) else int(first)
+            out.append([{"piece": i, "pieces": len(windows), "start_line": first + a, "end_line": first + b - 1, "text": "".join(lines[a:b])} for i, (a, b) in enumerate(windows)])
+        return pd.Series(out, dtype=object)
+
+    return cut(F.col(text), F.col(start_line))
+
+
+def _cut(chunks: DataFrame, max_tokens: int | None, overlap_tokens: int) -> DataFrame:
+    """The chunks, each row as often as it has pieces, with ``_piece``, ``_pieces``, ``_start``, ``_end`` and ``_text``."""
+    names = ["_piece", "_pieces", "_start", "_end", "_text"]
+    rows = chunks.withColumn("_whole", F.coalesce("text", F.lit("")))
+    long = F.length("_whole") > (_limits(max_tokens, overlap_tokens)[0] if max_tokens else 0)
+    whole = (rows.where(~long) if max_tokens else rows).select(*chunks.columns, F.lit(0).alias("_piece"), F.lit(1).alias("_pieces"), F.col("start_line").alias("_start"), F.col("end_line").alias("_end"), F.col("_whole").alias("_text"))
+    if not max_tokens:
+        return whole
+    made = rows.where(long).withColumn("_cut", pieces(max_tokens, overlap_tokens, "_whole"))
+    return whole.unionByName(made.select(*chunks.columns, F.inline("_cut").alias(*names)))
+
+
 def split_chunks(chunks: DataFrame, max_tokens: int | None, overlap_tokens: int = 0) -> DataFrame:
     """chunk_id, piece, pieces, start_line, end_line, text: every chunk, cut if it is over the budget.
 
     Texts within the budget (or all, without one) are one piece and unchanged.
     """
-    most = CHARS_PER_TOKEN * max_tokens if max_tokens else None
-    overlap = CHARS_PER_TOKEN * max(0, min(overlap_tokens, max_tokens // 2)) if max_tokens else 0
-    long = F.length("text") > most if most else F.lit(False)
-    base = chunks.select("chunk_id", "start_line", "end_line", F.coalesce("text", F.lit("")).alias("text"))
-    whole = base.where(~long).select("chunk_id", F.lit(0).alias("piece"), F.lit(1).alias("pieces"), "start_line", "end_line", "text")
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for cid, first, text in zip(batch["chunk_id"], batch["start_line"], batch["text"]):
-                lines = text.splitlines(keepends=True)
-                windows = line_windows(lines, most, overlap)
-                first = int(first) if first == first and first is not None else 1
-                rows += [(cid, i, len(windows), first + a, first + b - 1, "".join(lines[a:b])) for i, (a, b) in enumerate(windows)]
-            yield pd.DataFrame(rows, columns=["chunk_id", "piece", "pieces", "start_line", "end_line", "text"])
-
-    if not most:
-        return whole
-    parts = base.where(long).select("chunk_id", F.col("start_line").cast("double"), "text").mapInPandas(cut, "chunk_id string, piece int, pieces int, start_line int, end_line int, text string")
-    return whole.unionByName(parts)
+    made = _cut(chunks.select("chunk_id", "start_line", "end_line", "text"), max_tokens, overlap_tokens)
+    return made.select("chunk_id", F.col("_piece").alias("piece"), F.col("_pieces").alias("pieces"), F.col("_start").alias("start_line"), F.col("_end").alias("end_line"), F.col("_text").alias("text"))
 
 
 def renumber(chunks: DataFrame, piece: str | None = None) -> DataFrame:
@@ -74,15 +91,13 @@ def renumber(chunks: DataFrame, piece: str | None = None) -> DataFrame:
 
 def normalize(chunks: DataFrame, max_tokens: int | None, overlap_tokens: int = 0) -> DataFrame:
     """Chunks under the budget: pieces inherit what they are cut from, name it in their metadata, and are numbered anew."""
-    parts = split_chunks(chunks, max_tokens, overlap_tokens).withColumnRenamed("start_line", "_start").withColumnRenamed("end_line", "_end").withColumnRenamed("text", "_text")
-    joined = chunks.join(parts, "chunk_id")
+    made = _cut(chunks, max_tokens, overlap_tokens)
     merged = F.map_concat(
         F.coalesce(F.from_json("metadata", "map<string,string>"), F.create_map().cast("map<string,string>")),
-        F.create_map(F.lit("parent_chunk_id"), F.col("chunk_id"), F.lit("sub_chunk_index"), F.col("piece").cast("string"), F.lit("sub_chunk_count"), F.col("pieces").cast("string")),
+        F.create_map(F.lit("parent_chunk_id"), F.col("chunk_id"), F.lit("sub_chunk_index"), F.col("_piece").cast("string"), F.lit("sub_chunk_count"), F.col("_pieces").cast("string")),
     )
     entries = F.map_from_entries(F.array_sort(F.map_entries(merged)))
-    out = joined.withColumn("metadata", F.when(F.col("pieces") > 1, F.to_json(entries)).otherwise(F.col("metadata")))
-    for name in ("start", "end"):
-        out = out.withColumn(f"{name}_line", F.col(f"_{name}").cast("int"))
+    out = made.withColumn("metadata", F.when(F.col("_pieces") > 1, F.to_json(entries)).otherwise(F.col("metadata")))
+    out = out.withColumn("start_line", F.col("_start").cast("int")).withColumn("end_line", F.col("_end").cast("int"))
     out = out.withColumn("text", F.col("_text")).withColumn("content_hash", sc.content_hash())
-    return renumber(out, "piece").select(*chunks.columns)
+    return renumber(out, "_piece").select(*chunks.columns)
