@@ -167,27 +167,31 @@ def dense_topk_filtered(spark: SparkSession, folder: str) -> DataFrame:
 
 @_query
 def dense_scalar_rescored(spark: SparkSession, folder: str) -> DataFrame:
-    return _score(dense.nearest(*_vectors(spark, folder), key="vec_id", mode="scalar"))
+    rows, asked = _vectors(spark, folder)
+    return _score(dense.nearest(dense.quantised(rows, "scalar"), asked, key="vec_id", mode="scalar"))
 
 
 @_query
 def dense_binary_rescored(spark: SparkSession, folder: str) -> DataFrame:
-    return _score(dense.nearest(*_vectors(spark, folder), key="vec_id", mode="binary", oversampling=4.0))
+    rows, asked = _vectors(spark, folder)
+    return _score(dense.nearest(dense.quantised(rows, "binary"), asked, key="vec_id", mode="binary", oversampling=4.0))
 
 
 @_query
 def dense_hashed(spark: SparkSession, folder: str) -> DataFrame:
     rows, asked = _vectors(spark, folder)
-    return _score(dense.HashedIndex(rows, 64, key="vec_id").search(asked))
+    return _score(dense.HashedIndex.fitted(rows, 64, key="vec_id").search(asked))
 
 
 @_query
 def dense_hashed_recall(spark: SparkSession, folder: str) -> DataFrame:
-    """How many of the ten exact neighbours the hashed index finds; that a query finds itself doesn't count."""
+    """How many of the ten exact neighbours the hashed index finds, and the share of rows compared exactly; that a query finds itself doesn't count."""
     rows, asked = _vectors(spark, folder)
     exact = dense.nearest(rows, asked, 11, key="vec_id").where("vec_id <> query_id").select("query_id", "vec_id")
-    found = dense.HashedIndex(rows, 64, key="vec_id").search(asked, 11).select("query_id", "vec_id", F.lit(1).alias("hit"))
-    return exact.join(found, ["query_id", "vec_id"], "left").agg(F.round(F.count("hit") / F.count("*"), 4).alias("recall"), F.count("*").alias("expected"))
+    index_ = dense.HashedIndex.fitted(rows, 64, key="vec_id")
+    found = index_.search(asked, 11).select("query_id", "vec_id", F.lit(1).alias("hit"))
+    compared = F.round(F.least(F.lit(1.0), F.lit(index_.shortlist) / F.lit(rows.count())), 4)
+    return exact.join(found, ["query_id", "vec_id"], "left").agg(F.round(F.count("hit") / F.count("*"), 4).alias("recall"), F.count("*").alias("expected"), F.first(compared).alias("compared"))
 
 
 @_query

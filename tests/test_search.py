@@ -135,6 +135,13 @@ def test_dense(spark):
     assert all(int(r["chunk_id"][1:]) % 3 == 1 for r in only)
     for mode in ("scalar", "binary"):
         assert {r["chunk_id"] for r in dense.nearest(rows, asked, 1, mode=mode, oversampling=5).collect()} == {"v000", "v100"}
+        stored = dense.quantised(rows, mode)
+        assert stored.select(F.max(F.length(dense.QUANTISED[mode][0]))).first()[0] == {"scalar": 16, "binary": 2}[mode]
+        assert sorted(map(tuple, dense.nearest(stored, asked, 5, mode=mode).collect())) == sorted(map(tuple, dense.nearest(rows, asked, 5, mode=mode).collect()))
+    # queries in several parts and blocks, and equal vectors, by their keys
+    same = rows.unionByName(rows.where("chunk_id = 'v000'").withColumn("chunk_id", F.concat(F.lit("a"), F.lit("0"))))
+    for block, held in ((1, 1), (1024, 1 << 22)):
+        assert [r["chunk_id"] for r in dense.nearest(same, asked.where("query_id = 'v000'"), 2, block=block, held=held).orderBy("rank").collect()] == ["a0", "v000"]
     found = dense.HashedIndex(rows, 16).search(asked, 5)
     assert {r["chunk_id"] for r in found.where("rank = 1").collect()} == {"v000", "v100"}
     assert dense.nearest(rows.limit(0), asked, 3).count() == 0 and dense.nearest(rows, asked.limit(0), 3).count() == 0
@@ -146,11 +153,27 @@ def test_hashed_recall(spark):
     m /= np.linalg.norm(m, axis=1, keepdims=True)
     rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "vec_id long, vector array<double>")
     asked = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "vector")
-    found = {(r["query_id"], r["vec_id"]) for r in dense.HashedIndex(rows, 64, key="vec_id").search(asked, 11).collect()}
+    index = dense.HashedIndex.fitted(rows, 64, key="vec_id")
+    found = {(r["query_id"], r["vec_id"]) for r in index.search(asked, 11).collect()}
+    assert index.bits == 6 and index.probes > 1 and index.shortlist < 0.12 * 1500
     true = {(i, int(j)) for i in range(0, 1500, 50) for j in np.argsort(-(m @ m[i]))[1:11]}
     assert len(true & found) / len(true) >= 0.9
 
 
+def test_fitted_to_clusters(spark):
+    """Where neighbours are near, few places are looked into."""
+    rng = np.random.default_rng(5)
+    centres = rng.standard_normal((60, 32))
+    m = np.repeat(centres, 20, axis=0) + 0.15 * rng.standard_normal((1200, 32))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "vec_id long, vector array<double>")
+    index = dense.HashedIndex.fitted(rows, 32, key="vec_id")
+    assert index.probes == 1
+    asked = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "vector")
+    got = index.search(asked, 10).collect()
+    assert all(r["query_id"] // 20 == r["vec_id"] // 20 for r in got) and len(got) == 120
+    assert dense.HashedIndex.fitted(rows.limit(0), 32, key="vec_id").search(asked, 5).count() == 0
+
+
 def test_fusion(spark):
     lists = spark.createDataFrame([(1, 0, 1, "a"), (1, 0, 2, "b"), (1, 1, 1, "b"), (1, 1, 2, "c"), (1, 1, 2, "c"), (1, 1, 3, None)], "query_id int, list_idx int, rank int, chunk_id string")
     assert ids(fusion.reciprocal_ranks(lists, 3, k=10)) == ["b", "a", "c"]
