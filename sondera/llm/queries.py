@@ -125,7 +125,16 @@ def oracle_sql() -> dict[str, str]:
     share = lambda part, whole, name: f"round(CASE WHEN {whole} > 0 THEN {part} / {whole} ELSE 0 END, 6) AS {name}"
     common = ", ".join(f"'{w}'" for w in quality.COMMON_WORDS)
     word = "[\\p{L}\\p{N}_]+"
+    # exact shares of runs of three words, and the classes of equal sets of runs
+    runs = f"""w AS (SELECT chunk_id, regexp_extract_all(lower(coalesce(text, '')), '{word}') AS w FROM {latest} WHERE chunk_id IS NOT NULL),
+            s AS (SELECT chunk_id, list_sort(list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS s FROM w WHERE len(w) >= 30),
+            e AS (SELECT chunk_id, len(s) AS n, unnest(s) AS g FROM s),
+            p AS (SELECT a.chunk_id AS chunk_id_a, b.chunk_id AS chunk_id_b FROM e a JOIN e b ON a.g = b.g AND a.chunk_id < b.chunk_id GROUP BY ALL HAVING count(*) >= 0.6 * (max(a.n) + max(b.n) - count(*)) - 1e-9)"""
     return {
+        "p3_found": f"WITH {runs} SELECT chunk_id_a, chunk_id_b FROM p",
+        "p3_classes": f"""WITH {runs}, k AS (SELECT s, min(chunk_id) AS class_id, count(*) AS copies FROM s GROUP BY s),
+            l AS (SELECT c, count(*) AS links FROM (SELECT chunk_id_a AS c FROM p UNION ALL SELECT chunk_id_b FROM p) GROUP BY c)
+            SELECT chunk_id, class_id, copies, coalesce(links, 0) AS links FROM s JOIN k USING (s) LEFT JOIN l ON l.c = chunk_id""",
         "p8_statistics": f"""
             WITH t AS (SELECT doc_id, row_number() OVER () AS r, lower(regexp_replace(coalesce(text, ''), '\\r\\n?', chr(10), 'g')) AS t FROM documents),
             w AS (SELECT r, l, regexp_extract_all(l, '{word}') AS w FROM (SELECT r, unnest(string_split(t, chr(10))) AS l FROM t)),
