@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +30,8 @@ def build_session(master: str | None = None, app: str = "sondera", **conf: str)
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
+        # what was settled goes when no frame needs it any more
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     settings.update({k.replace("__", "."): v for k, v in conf.items()})
     for key, value in settings.items():
@@ -51,7 +55,7 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share, as the cluster names it.
 
     Only where ``spark.checkpoint.dir`` is unset, as in tests on one machine,
-    a temporary folder is made.
+    a temporary folder is made, which goes when the process ends.
     """
     folder = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(CHECKPOINT_CONF)
     if not folder:
@@ -59,7 +63,9 @@ def shared_folder(spark: SparkSession) -> str:
             raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
         own = spark.sparkContext.applicationId
         if own not in _folders:
-            _folders[own] = "file://" + tempfile.mkdtemp(prefix="sondera-")
+            made = tempfile.mkdtemp(prefix="sondera-")
+            atexit.register(shutil.rmtree, made, ignore_errors=True)
+            _folders[own] = "file://" + made
         folder = _folders[own]
     return folder
 
@@ -68,7 +74,8 @@ def settle(df: DataFrame) -> DataFrame:
     """Compute a frame once and cut its lineage, in the shared folder.
 
     The files are in storage that outlives executors, so a lost executor costs
-    no recomputation and later stages read what was written.
+    no recomputation and later stages read what was written. In sessions of
+    ``build_session`` they are deleted once no frame refers to them.
     """
     spark = df.sparkSession
     context = spark.sparkContext

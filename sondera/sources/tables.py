@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sondera import schema as sc
 from sondera.functions import text as tx
+from sondera.operators.index import Snapshots
 
 
 def scan(chunks: DataFrame, knowledge_id: str | None = None, ordered: bool = False) -> DataFrame:
@@ -26,6 +27,15 @@ def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("_r", F.dense_rank().over(last)).where("_r = 1").drop("_r", "_file")
 
 
+def import_jsonl(spark: SparkSession, path: str, store: Snapshots) -> bool:
+    """Fill a store from files of JSON lines, only if it is empty; whether it was."""
+    now = store.read()
+    if now is not None and not now.isEmpty():
+        return False
+    store.write(read_jsonl(spark, path))
+    return True
+
+
 def documents_as_chunks(documents: DataFrame, knowledge_id: str = "documents") -> DataFrame:
     """One chunk for each document, with all its lines."""
     source = F.concat(F.coalesce("source", F.lit("unknown")), F.lit("/"), F.col("doc_id").cast("string"))
@@ -62,7 +72,7 @@ def markdown_sections(rows: DataFrame, key: str, text: str = "text") -> DataFram
 
 
 def parsed_texts(rows: DataFrame, key: str, text: str, parse) -> DataFrame:
-    """key, ord, kind, symbol, start_line, end_line, text: what ``parse`` makes of texts that are rows; of a text that fails nothing."""
+    """key, ord, kind, symbol, start_line, end_line, text: what ``parse`` makes of texts that are rows; of a text that fails one row of the kind ``error`` that says why."""
     kind = dict(rows.dtypes)[key]
     names = [key, "ord", "kind", "symbol", "start_line", "end_line", "text"]
 
@@ -72,9 +82,10 @@ def parsed_texts(rows: DataFrame, key: str, text: str, parse) -> DataFrame:
             for k, t in zip(batch[key], batch["_text"]):
                 try:
                     out += [(k, i, c.get("kind"), c.get("symbol"), c["start_line"], c["end_line"], c["text"]) for i, c in enumerate(parse(t or ""))]
-                except (SyntaxError, ValueError, RecursionError):
-                    continue
-            yield pd.DataFrame(out, columns=names)
+                except (SyntaxError, ValueError, RecursionError) as e:
+                    out.append((k, 0, "error", None, None, None, f"{type(e).__name__}: {e}"))
+            made = pd.DataFrame(out, columns=names)
+            yield made.astype({"start_line": "Int32", "end_line": "Int32"})
 
     return rows.select(key, F.col(text).alias("_text")).mapInPandas(run, f"`{key}` {kind}, ord int, kind string, symbol string, start_line int, end_line int, text string")
 

@@ -182,6 +182,10 @@ def test_noise(spark, tmp_path):
 def test_jsonl_and_documents(spark, chunk, tmp_path):
     chunk({"source_path": "a.md", "text": "t"}).write.json(f"{tmp_path}/j")
     assert tables.read_jsonl(spark, f"{tmp_path}/j").first()["text"] == "t"
+    store = ix.Snapshots(spark, f"file://{tmp_path}/from-lines")
+    assert tables.import_jsonl(spark, f"{tmp_path}/j", store) and not tables.import_jsonl(spark, f"{tmp_path}/j", store) and store.read().count() == 1
+    broken = tables.parsed_texts(spark.createDataFrame([(1, "def ("), (2, "x = 1")], "i int, t string"), "i", "t", parsers.python_chunks)
+    assert {(r["i"], r["kind"], r["start_line"]) for r in broken.collect()} == {(1, "error", None), (2, "module", 1)}
     docs = spark.createDataFrame([(1, "a\nb", None, None, None, None, None)], "doc_id long, text string, lang string, source string, document_type string, repository_name string, updated_at timestamp")
     row = tables.documents_as_chunks(docs).first()
     assert row["end_line"] == 2 and row["source_path"] == "unknown/1" and row["chunk_id"].startswith("documents_chk_")
