@@ -15,6 +15,7 @@ quotes, line ends and everything else stay as they were.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
@@ -216,7 +217,7 @@ def _read_quoted(text: str, at: int) -> tuple[list[tuple[int, int]], str] | None
     m = _QUOTED.match(text, at)
     if not m:
         return None
-    value, pieces, quote, i = "", [], m["q"].lstrip("rbufRBUF"), m.end()
+    parts, pieces, quote, i = [], [], m["q"].lstrip("rbufRBUF"), m.end()
     while True:
         close = i
         while True:
@@ -226,12 +227,12 @@ def _read_quoted(text: str, at: int) -> tuple[list[tuple[int, int]], str] | None
             if text[close - 1] != "\\" or quote == "`" or close == i:
                 break
             close += 1
-        value += text[i:close]
+        parts.append(text[i:close])
         pieces.append((i, close))
         more = _NEXT_PART.match(text, close + len(quote))
         joined = more and ("+" in more[0] or "\\" in more[0] or ".." in more[0])
         if not joined:
-            return pieces, value
+            return pieces, "".join(parts)
         i, quote = more.end(), more[1]
 
 
@@ -553,8 +554,13 @@ def find(text: str, kind: str = "", least: int = LEAST) -> list[Found]:
         lines_done = len(text) if lines_done < 0 else lines_done
         for pieces, key in _line(text, text[begin:lines_done], begin, unquoted, least):
             add(pieces, key)
+    read = 0
     for m in _SEAM.finditer(text):
+        # further seams of a literal are read with its first
+        if m.start() < read:
+            continue
         pieces, value = _joined(text, m.start()) or ([], "")
+        read = pieces[-1][1] if pieces else read
         if _has_shape(value):
             add(pieces, "")
     out, line_no, seen = [], 1, 0
@@ -585,24 +591,24 @@ def _blocks(text: str):
     """Private keys: pieces with whether they begin there. One that is cut off goes as far as its lines do."""
     if "PRIVATE KEY" not in text:
         return
+    begins, ends = list(_BEGIN.finditer(text)), list(_END.finditer(text))
+    begun, ended = [m.start() for m in begins], [m.start() for m in ends]
     done = 0
-    for m in _BEGIN.finditer(text):
+    for i, m in enumerate(begins):
         if m.start() < done:
             continue
-        ending = _END.search(text, m.end())
-        another = _BEGIN.search(text, m.end())
-        if ending and another and another.start() < ending.start():
-            ending = None
-        last = ending.end() if ending else (another.start() if another else len(text))
+        k = bisect_left(ended, m.end())
+        another = begun[i + 1] if i + 1 < len(begun) else len(text)
+        ending = ends[k] if k < len(ends) and ended[k] < another else None
+        last = ending.end() if ending else another
         body = _KEY_BODY.search(text[m.end() : last].replace("\\n", " \n"))
         if body:
             last = last if ending else _key_end(text, m.end() + body.start())
             yield [((m.start(), last), True)]
             done = last
     # the rest of a key that began in another chunk
-    for m in _END.finditer(text):
-        before = [b.start() for b in _BEGIN.finditer(text, 0, m.start())]
-        if before and not any(e.start() > before[-1] for e in _END.finditer(text, 0, m.start())):
+    for k, m in enumerate(ends):
+        if bisect_left(begun, m.start()) > (bisect_left(begun, ended[k - 1]) if k else 0):
             continue
         start = text.rfind("\n", 0, m.start()) + 1
         top = None

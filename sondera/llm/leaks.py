@@ -20,7 +20,7 @@ from sondera.llm.columns import KeyFilter, spread
 from sondera.llm.neardup import WordCodes, mix
 from sondera.session import settle
 
-_MARKUP = re.compile(r"<[^<>\n]*>|&[a-z]{2,8};|\]\([^)\s]*\)")
+_MARKUP = re.compile(r"<[^<>\n]*>|&[a-z]{2,8};|\]\([^()\s]*\)")
 _WORD = re.compile(r"[^\W_]+")
 
 def words(text: str | None) -> list[str]:
