@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from sondera.llm.columns import TIE, KeyFilter, versions
 from sondera.operators.latest import latest
+from sondera.operators.lexical import small
 from sondera.session import settle
 
 _WORD = re.compile(r"\w+")
@@ -105,6 +106,25 @@ def signed_texts(df: DataFrame, keep: list[str], width: int, least_words: int, b
     return df.select(*keep, "text").mapInPandas(run, schema)
 
 
+#: Rows of a band's key that one task sets against all of the key; of how many rows one is counted to find such keys.
+ROWS_OF_KEY, COUNTED = 4096, 64
+
+
+def _divided(keyed: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides of the join of rows with equal keys, and its columns: keys with very many rows (boilerplate) are divided among tasks.
+
+    Such keys are found by counting the rows of each sixty-fourth set, by its
+    digest. Only where pairs are made depends on that: every pair is.
+    """
+    few = keyed.where(F.pmod(F.xxhash64("alike"), F.lit(COUNTED)) == 0).groupBy("key").agg(F.count("*").alias("n"))
+    hot = settle(few.where(F.col("n") * COUNTED > ROWS_OF_KEY).select("key", F.ceil(F.col("n") * COUNTED / ROWS_OF_KEY).cast("int").alias("parts")))
+    if hot.isEmpty():
+        return keyed, keyed, ["key"]
+    placed = keyed.join(small(hot), "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    one = placed.withColumn("part", F.pmod(F.xxhash64(F.lit("part"), F.col("alike")), F.col("parts")).cast("int"))
+    return one, placed.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))), ["key", "part"]
+
+
 def near_duplicate_classes(
     chunks: DataFrame, width: int = 5, threshold: float = 0.8, least_words: int = 1, bands: int = 24, rows: int = 5, seed: int = 7
 ) -> tuple[DataFrame, DataFrame]:
@@ -127,10 +147,11 @@ def near_duplicate_classes(
     # any copy has the same bands, so the first will do
     keyed = newest.dropDuplicates(["alike"]).select("alike", "size", F.posexplode("bands").alias("band", "key"))
     keyed = keyed.select("alike", "size", F.xxhash64("band", "key").alias("key"))
-    other = keyed.select(F.col("alike").alias("alike_b"), F.col("size").alias("size_b"), "key")
+    left, right, on = _divided(keyed)
+    right = right.select(F.col("alike").alias("alike_b"), F.col("size").alias("size_b"), *on)
     # a set can reach t only if the smaller has t times the runs of the larger
     close = (F.least("size", "size_b") >= threshold * F.greatest("size", "size_b") - 1e-9) & (F.col("alike") < F.col("alike_b"))
-    pairs = settle(keyed.join(other, "key").where(close).select(F.col("alike").alias("alike_a"), "alike_b").distinct())
+    pairs = settle(left.join(right, on).where(close).select(F.col("alike").alias("alike_a"), "alike_b").distinct())
 
     # only the texts of candidates are cut into runs again, one of each class
     wanted = pairs.select(F.col("alike_a").alias("alike")).unionByName(pairs.select(F.col("alike_b").alias("alike"))).distinct()

@@ -87,3 +87,16 @@ def test_key_filter(spark):
     known = KeyFilter(frame, "key")
     assert known.passes(other).mean() < 0.1 and known.packed.value.nbytes <= 1 << 15
     assert not KeyFilter(frame.limit(0), "key").passes(other).any()
+
+
+def test_boilerplate(spark, chunk, monkeypatch):
+    """Texts that share a long beginning meet under one key, which is divided among tasks, and give the same pairs."""
+    rng = random.Random(7)
+    head = " ".join(f"licence{i}" for i in range(60))
+    texts = {f"b{i:02d}": head + " " + " ".join(f"w{rng.randrange(10**6)}" for _ in range(rng.choice((8, 60)))) for i in range(60)}
+    rows = chunk(*[{"chunk_id": k, "text": t} for k, t in texts.items()])
+    options = {"width": 3, "threshold": 0.6, "least_words": 30, "bands": 32, "rows": 3}
+    plain = {tuple(r) for r in nd.near_duplicate_pairs(rows, **options).collect()}
+    monkeypatch.setattr(nd, "ROWS_OF_KEY", 3)
+    monkeypatch.setattr(nd, "COUNTED", 2)
+    assert {tuple(r) for r in nd.near_duplicate_pairs(rows, **options).collect()} == plain == brute(texts, 3, 0.6, 30) and len(plain) > 100
