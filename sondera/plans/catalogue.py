@@ -221,9 +221,10 @@ def _engine(spark: SparkSession, folder: str, with_vectors: bool = True) -> Engi
 
 @_query
 def index_build(spark: SparkSession, folder: str) -> DataFrame:
-    """An inverted index of the newest chunks, written anew: how many postings it has."""
-    store = WordStore(spark, f"{shared_folder(spark)}/build-{uuid.uuid4().hex}", lexical.FIELD_WEIGHTS)
+    """An inverted index of the newest chunks, written anew: how many postings it has. Later searches of the folder use it."""
+    store = WordStore(spark, f"{shared_folder(spark)}/words-{uuid.uuid4().hex}", lexical.FIELD_WEIGHTS)
     store.add(_chunks(spark, folder))
+    _stored.setdefault((spark.sparkContext.applicationId, folder), store)
     made = store.read()
     tokens = made.tokens.agg(F.count("*").alias("tokens"), F.sum("tf").alias("occurrences"))
     return tokens.crossJoin(made.docs.agg(F.count("*").alias("chunks"), F.sum("bag_length").alias("length")))
@@ -320,8 +321,9 @@ def lookup_repository(spark: SparkSession, folder: str) -> DataFrame:
 
 @_query
 def lookup_path(spark: SparkSession, folder: str) -> DataFrame:
-    chunks = _chunks(spark, folder, "source_path", "kind", "symbol")
-    return flt.apply(chunks, {"source_path_prefix": "carillon-core/packages/unit1", "kind": ["class", "module"], "symbol": None}).select("chunk_id", "source_path", "kind")
+    # all versions of a chunk have the same place and kind, so these filters reach the scan
+    rows = flt.apply(_t(spark, folder, "chunks"), {"source_path_prefix": "carillon-core/packages/unit1", "kind": ["class", "module"], "symbol": None})
+    return index.newest_chunks(rows, "source_path", "kind").select("chunk_id", "source_path", "kind")
 
 
 #: What looking around a chunk needs.
