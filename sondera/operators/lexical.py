@@ -39,17 +39,17 @@ def checked_limit(limit: int) -> int:
 
 def postings(source: Source) -> DataFrame:
     """token, chunk_id, tf: the inverted index as a table."""
-    return indexed(source).tokens.select("token", "chunk_id", "tf")
+    return indexed(source, lasting=False).tokens.select("token", "chunk_id", "tf")
 
 
 def document_frequencies(source: Source) -> DataFrame:
     """token, df: in how many chunks a token stands."""
-    return indexed(source).tokens.groupBy("token").agg(F.count("*").alias("df"))
+    return indexed(source, lasting=False).tokens.groupBy("token").agg(F.count("*").alias("df"))
 
 
 def corpus_statistics(source: Source) -> DataFrame:
     """n_docs and avg_len (1.0 for an empty corpus), one row."""
-    return indexed(source).docs.agg(F.count("*").alias("n_docs"), F.coalesce(F.avg("bag_length"), F.lit(1.0)).alias("avg_len"))
+    return indexed(source, lasting=False).docs.agg(F.count("*").alias("n_docs"), F.coalesce(F.avg("bag_length"), F.lit(1.0)).alias("avg_len"))
 
 
 def query_tokens(queries: DataFrame, distinct: bool = False) -> DataFrame:
@@ -183,9 +183,9 @@ def _best(
     return ranked(others.unionByName(boosted), limit).select("query_id", "rank", "chunk_id", "score")
 
 
-def indexed(source: Source, most_chars: int | None = None) -> WordIndex:
+def indexed(source: Source, most_chars: int | None = None, lasting: bool = True) -> WordIndex:
     """The index of a source: itself, or that of its chunks, of whole texts or of their first characters."""
-    return source if isinstance(source, WordIndex) else WordIndex.of(source, FIELD_WEIGHTS, most_chars)
+    return source if isinstance(source, WordIndex) else WordIndex.of(source, FIELD_WEIGHTS, most_chars, lasting)
 
 
 def bm25(source: Source, queries: DataFrame, limit: int = 10, filters: Mapping[str, Any] | None = None, named: bool = True, most_chars: int | None = None) -> DataFrame:

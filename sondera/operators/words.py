@@ -56,30 +56,30 @@ class Terms(dict):
         return made
 
 
-SCHEMA = (
-    "chunk_id string, bag_length int, phrase_length int, tokens array<struct<token:string,tf:int>>, terms array<struct<term:string,f:double,places:array<int>>>"
-)
+MADE = "bag_length int, phrase_length int, tokens array<struct<token:string,tf:int>>, terms array<struct<term:string,f:double,places:array<int>>>"
 
 
 def analysed(chunks: DataFrame, weights: dict[str, float], most_chars: int | None = None) -> DataFrame:
-    """chunk_id, bag_length, phrase_length, tokens (token, tf) and terms (term, weighted f, places) of every chunk.
+    """The chunks without their texts, with bag_length, phrase_length, tokens (token, tf) and terms (term, weighted f, places).
 
     Whole texts, or their first ``most_chars`` characters. Runs in Arrow
     batches: a token's variants are worked out once, not in every row.
     """
     empty = lambda c: F.coalesce(F.col(c), F.lit(""))
     text = empty("text") if most_chars is None else F.substring(empty("text"), 1, most_chars)
-    rows = chunks.select("chunk_id", text.alias("text"), *[empty(c).alias(c) for c in ("symbol", "xml_path", "source_path", "kind")])
+    kept = [c for c in chunks.columns if c != "text"]
+    rows = chunks.select(*kept, text.alias("_0"), *[empty(c).alias(f"_{i}") for i, c in enumerate(("symbol", "xml_path", "source_path", "kind"), 1)])
+    schema = ", ".join([*[f"`{n}` {t}" for n, t in chunks.select(*kept).dtypes], MADE])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         variants = Variants()
         terms = Terms(variants)
         for batch in batches:
-            ids, text, symbol, xml, path, kind = (c.to_pylist() for c in batch.columns)
+            text, symbol, xml, path, kind = (c.to_pylist() for c in batch.columns[len(kept) :])
             bags, places_of = _Lists(), _Lists()
             lengths, phrase_lengths = [], []
             tf, weight, places, place_ends = [], [], [], [0]
-            for i in range(len(ids)):
+            for i in range(len(text)):
                 # what is indexed is one text of five lines, so tokens end at their ends
                 whole = [_TOKEN.findall(part) for part in (text[i], symbol[i], xml[i], path[i], kind[i])]
                 bag = Counter(v for part in whole for raw in part for v in variants[raw])
@@ -107,11 +107,11 @@ def analysed(chunks: DataFrame, weights: dict[str, float], most_chars: int | Non
             lists = pa.ListArray.from_arrays(pa.array(place_ends, pa.int32()), pa.array(places, pa.int32()))
             made = pa.StructArray.from_arrays([pa.array(places_of.keys, pa.string()), pa.array(weight, pa.float64()), lists], ["term", "f", "places"])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(lengths, pa.int32()), pa.array(phrase_lengths, pa.int32()), pa.ListArray.from_arrays(bags.offsets(), tokens), pa.ListArray.from_arrays(places_of.offsets(), made)],
-                ["chunk_id", "bag_length", "phrase_length", "tokens", "terms"],
+                [*batch.columns[: len(kept)], pa.array(lengths, pa.int32()), pa.array(phrase_lengths, pa.int32()), pa.ListArray.from_arrays(bags.offsets(), tokens), pa.ListArray.from_arrays(places_of.offsets(), made)],
+                [*kept, "bag_length", "phrase_length", "tokens", "terms"],
             )
 
-    return rows.mapInArrow(run, SCHEMA)
+    return rows.mapInArrow(run, schema)
 
 
 class _Lists:
@@ -152,11 +152,11 @@ class WordIndex:
     terms: DataFrame
 
     @classmethod
-    def of(cls, chunks: DataFrame, weights: dict[str, float], most_chars: int | None = None) -> WordIndex:
-        """The index of a frame of chunks, computed when it is read."""
+    def of(cls, chunks: DataFrame, weights: dict[str, float], most_chars: int | None = None, lasting: bool = True) -> WordIndex:
+        """The index of a frame of chunks: written to the shared folder for as long as it is in use, or (``lasting=False``) made each time it is read."""
         made = analysed(chunks.where(F.col("chunk_id").isNotNull()), weights, most_chars)
-        lengths = made.select("chunk_id", "bag_length", "phrase_length")
-        return cls(chunks.drop("text").join(lengths, "chunk_id"), _tokens(made), _terms(made))
+        made = settle(made) if lasting else made
+        return cls(made.drop("tokens", "terms"), _tokens(made), _terms(made))
 
     def statistics(self, length: str) -> tuple[int, float]:
         """How many chunks there are, and their mean length (1.0 without any)."""
@@ -199,12 +199,12 @@ class WordStore:
         segments = list(now.get("note") or [])
         number = 1 + max([s["number"] for s in segments], default=0)
         made = settle(analysed(chunks.where(F.col("chunk_id").isNotNull()), self.weights, self.most_chars))
-        fresh = chunks.drop("text").join(made.select("chunk_id", "bag_length", "phrase_length"), "chunk_id").withColumn("segment", F.lit(number))
+        fresh = made.drop("tokens", "terms").withColumn("segment", F.lit(number))
         dead = None
         if now["generation"]:
             old = self.docs.read(at=now)
-            touched = chunks.select("file_key") if files is None else chunks.select("file_key").unionByName(files.select("file_key"))
-            dead = old.join(touched.distinct(), "file_key", "left_semi").select("chunk_id").union(old.select("chunk_id").join(chunks.select("chunk_id").distinct(), "chunk_id", "left_semi")).distinct()
+            touched = fresh.select("file_key") if files is None else fresh.select("file_key").unionByName(files.select("file_key"))
+            dead = old.join(touched.distinct(), "file_key", "left_semi").select("chunk_id").union(old.select("chunk_id").join(fresh.select("chunk_id").distinct(), "chunk_id", "left_semi")).distinct()
         name = self._write(number, _tokens(made), _terms(made), dead)
         segments.append({"number": number, "name": name})
         if len(segments) > self.most_segments:
