@@ -12,6 +12,7 @@ from sondera.functions import text as tx
 from sondera.functions import vectors as vx
 from sondera.operators import dense, evaluate, filters, fusion, lexical, lookup
 from sondera.operators.words import Variants, WordStore
+from sondera.plans import catalogue
 from sondera.providers import HashEmbedding
 
 
@@ -270,6 +271,22 @@ def test_what_fails_is_done_without(spark, corpus_, failing):
         Engine(corpus_, vectors, failing(True), cf.Retrieval(rerank=True), failing(), fall_back=False).debug(asked, 3)
 
 
+@pytest.mark.parametrize("name", ["hybrid_search", "search_stages"])
+def test_hybrid_search_fails_with_its_vectors(spark, chunk, tmp_path, monkeypatch, name):
+    """A failed search by vectors is an error, not a ranking by words alone."""
+    chunk({"chunk_id": "a", "text": "calibrate the detector"}).write.parquet(f"{tmp_path}/chunks.parquet")
+    spark.createDataFrame([("i", "detector", ["a"])], "item_id string, query string, expected array<string>").write.parquet(f"{tmp_path}/eval_items.parquet")
+    assert catalogue.queries()[name](spark, str(tmp_path)).count()
+
+    def broken(*args, **more):
+        raise RuntimeError("no vectors here")
+
+    monkeypatch.setattr(dense, "nearest", broken)
+    with pytest.raises(RuntimeError, match="no vectors here"):
+        catalogue.queries()[name](spark, str(tmp_path))
+    assert catalogue.queries()["sparse_fallback"](spark, str(tmp_path)).count() == 1
+
+
 def test_own_retrievers(spark, corpus_):
     class Fixed:
         def search(self, queries, limit, filters=None):
